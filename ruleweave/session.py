@@ -30,11 +30,12 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="ruleweave-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ruleweave-"))
+    return context.getCheckpointDir()
 
 
 def scratch_table(spark: SparkSession, name: str) -> str:
@@ -48,10 +49,11 @@ def settle(frame: DataFrame) -> DataFrame:
     Used for the small grouped tables every later step starts from, so the
     source is read once and a lost executor costs no second pass over it.
     """
-    spark = frame.sparkSession
-    context = spark.sparkContext
+    context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
+        folder = shared_folder(frame.sparkSession)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(folder)
     return frame.checkpoint(eager=True)
 
 
