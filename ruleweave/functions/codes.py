@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ruleweave.contract import DOMAINS, PROVIDER_STATES, UNVERIFIED, VERIFIED
+from ruleweave.contract import DOMAINS, FEATURES, PROVIDER_STATES, UNVERIFIED, VERIFIED
 from ruleweave.functions import urls
 
 # The order in which features are encoded and reported unresolved.
@@ -189,17 +189,38 @@ CELLS = {
 }
 
 
-def accepted(name: str) -> Column:
-    """The cell of a feature is verified and its code is in the feature's domain."""
-    cell = F.col("cells")[name]
-    return (cell["mapping_status"] == VERIFIED) & F.coalesce(
-        cell["encoded_value"].isin(*DOMAINS[name]), F.lit(False)
+def cells() -> Column:
+    """The nine cells in contract order, each with its ``feature`` and whether it is
+    ``accepted``: verified, with a code in the feature's domain.
+    """
+    names = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("name"), F.array(*[F.lit(v) for v in DOMAINS[name]]).alias("domain")
+            )
+            for name in FEATURES
+        ]
     )
 
+    def judged(feature: Column, cell: Column) -> Column:
+        inside = F.coalesce(
+            F.array_contains(feature["domain"], cell["encoded_value"]), F.lit(False)
+        )
+        return F.struct(
+            feature["name"].alias("feature"),
+            *[cell[f].alias(f) for f in ("raw_value", "encoded_value", "mapping_status", "explanation")],
+            ((cell["mapping_status"] == VERIFIED) & inside).alias("accepted"),
+        )
+
+    return F.zip_with(names, F.array(*[CELLS[name]() for name in FEATURES]), judged)
+
+
+def cell(name: str) -> Column:
+    return F.col("cells")[FEATURES.index(name)]
+
 
 def unresolved_features() -> Column:
-    names = [
-        F.when(F.col("cells")[name]["mapping_status"] != VERIFIED, F.lit(name))
-        for name in ENCODING_ORDER
-    ]
-    return F.filter(F.array(*names), lambda n: n.isNotNull())
+    """Unresolved features in encoding order."""
+    order = F.array(*[F.lit(name) for name in ENCODING_ORDER])
+    open_cells = F.filter("cells", lambda c: c["mapping_status"] != VERIFIED)
+    return F.array_intersect(order, F.transform(open_cells, lambda c: c["feature"]))

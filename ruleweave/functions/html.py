@@ -28,21 +28,35 @@ _TAGS = (
 )
 _ATTRIBUTE = (
     r"(?is)^<[a-z]+(?:[\s/]+[^\s=>/\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?)*?"
-    r"[\s/]+{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
+    r"[\s/]+{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
 )
 
 
 def unescape(text: Column) -> Column:
     """The five predefined character references."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    plain = text
+    for name, char in (
+        ("&lt;", "<"),
+        ("&gt;", ">"),
+        ("&quot;", '"'),
+        ("&#39;", "'"),
+        ("&apos;", "'"),
+        ("&amp;", "&"),
+    ):
+        plain = F.replace(plain, F.lit(name), F.lit(char))
+    return F.when(text.contains("&"), plain).otherwise(text)
 
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of one tag; empty if absent."""
-    pattern = _ATTRIBUTE.format(name=name)
-    return unescape(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]))
+
+    def unquoted(raw: Column) -> Column:
+        quoted = F.substring(raw, 1, 1).isin('"', "'")
+        inner = F.substring(raw, F.lit(2), F.length(raw) - 2)
+        return F.when(quoted, inner).otherwise(raw)
+
+    value = urls.let(F.regexp_extract(tag, _ATTRIBUTE.format(name=name), 1), unquoted)
+    return urls.let(value, unescape)
 
 
 def kind(tag: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ruleweave.contract import FEATURES, LABELS, TARGET
+from ruleweave.contract import FEATURES, LABELS, SHARED_DOMAIN, TARGET
 from ruleweave.functions.keys import item
 
 
@@ -30,3 +30,15 @@ def class_item(code: Column | None = None) -> Column:
 def transaction() -> Column:
     """The ten items of a labelled record as one array."""
     return F.array(*feature_items(), class_item())
+
+
+def one_hot() -> list[Column]:
+    """One boolean column per possible item, features first, then classes."""
+    columns = [
+        (F.col(name) == value).alias(f"{name}={value}")
+        for name in FEATURES
+        for value in SHARED_DOMAIN
+    ]
+    return columns + [
+        (F.col(TARGET) == value).alias(f"{TARGET}={label}") for value, label in LABELS.items()
+    ]

@@ -62,12 +62,12 @@ def trimmed(url: Column) -> Column:
     return F.regexp_replace(url, r"^\s+|\s+$", "")
 
 
-def parts(url: Column) -> Column:
-    """``scheme, server, path, query, fragment`` of a URL; absent parts are empty.
+def _text(url: Column) -> Column:
+    """Without leading blanks and control characters, line breaks and tabs."""
+    return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
 
-    Leading blanks and control characters, line breaks and tabs are ignored.
-    """
-    text = F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
+
+def _parts(text: Column) -> Column:
     return F.struct(
         F.lower(F.regexp_extract(text, _SCHEME, 1)).alias("scheme"),
         F.regexp_extract(text, _AUTHORITY, 1).alias("server"),
@@ -77,6 +77,11 @@ def parts(url: Column) -> Column:
     )
 
 
+def parts(url: Column) -> Column:
+    """``scheme, server, path, query, fragment`` of a URL; absent parts are empty."""
+    return let(_text(url), _parts)
+
+
 def host(server: Column) -> Column:
     """Lower-case host of a server part, without user, port and brackets."""
     bracketed = F.regexp_extract(server, r"^(?:.*@)?[^\[]*\[([^\]]*)", 1)
@@ -304,15 +309,24 @@ def resolve(base: Column, page: Column, link: Column) -> Column:
             .otherwise(F.concat(start, _without_dots(relative), ending))
         )
 
-    return F.when(link == "", base).otherwise(let(parts(link), absolute))
+    # Two plain forms need no taking apart: a rooted path, and a full URL.
+    rooted = link.rlike(r"^/(?!/)[^?#\x00-\x20]*$") & ~link.contains("/.")
+    full = link.rlike(r"^[a-z][a-z0-9+.\-]*://[^/?#\x00-\x20]+/[^?#\x00-\x20]*$")
+    return (
+        F.when(link == "", base)
+        .when(rooted, F.concat(start, link))
+        .when(full, link)
+        .otherwise(let(parts(link), absolute))
+    )
 
 
 def is_external(url: Column, page_host: Column) -> Column:
     """True if the URL has a host that is neither the page host nor below it."""
-    server = F.regexp_extract(F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", ""), _AUTHORITY, 1)
-    return let(
-        bare(host(server)),
+    named = let(
+        bare(host(F.regexp_extract(_text(url), _AUTHORITY, 1))),
         lambda name: (name != "")
         & (name != page_host)
         & ~name.endswith(F.concat(F.lit("."), page_host)),
     )
+    # A URL names a host only after two slashes.
+    return url.contains("/") & url.rlike(r"/[\t\r\n]*/") & named

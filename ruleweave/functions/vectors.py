@@ -9,7 +9,7 @@ from ruleweave.contract import DOMAINS, FEATURES
 
 
 def add_raw_values(frame: DataFrame, text: str = "features") -> DataFrame:
-    """Add ``raw``: the JSON keys and, per feature, value text and JSON type.
+    """Add ``names`` (the JSON keys) and ``raw``: text and JSON type per feature.
 
     Types are told apart because the text "1.7" is no integer while the number
     1.7 truncates to 1, and because text values do not count as codes.
@@ -19,92 +19,111 @@ def add_raw_values(frame: DataFrame, text: str = "features") -> DataFrame:
         F.struct(
             F.try_variant_get("document", f"$.{name}", "string").alias("text"),
             F.schema_of_variant(F.try_variant_get("document", f"$.{name}", "variant")).alias("type"),
-        ).alias(name)
+        )
         for name in FEATURES
     ]
-    return parsed.withColumn(
-        "raw", F.struct(F.json_object_keys(F.col(text)).alias("keys"), *values)
+    return parsed.withColumn("names", F.json_object_keys(F.col(text))).withColumn(
+        "raw", F.array(*values)
     ).drop("document")
 
 
+def _is_fraction(kind: Column) -> Column:
+    return kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+
+
 def _integer(cell: Column) -> Column:
+    """Whole number of one raw value; NULL if it is none."""
     text, kind = cell["text"], cell["type"]
     return (
         F.when(kind == "BIGINT", text.try_cast("long"))
-        .when(
-            (kind == "DOUBLE") | kind.startswith("DECIMAL") | (kind == "FLOAT"),
-            text.try_cast("double").try_cast("long"),
-        )
+        .when(_is_fraction(kind), text.try_cast("double").try_cast("long"))
         .when((kind == "STRING") & text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text).try_cast("long"))
         .when(kind == "BOOLEAN", F.when(text == "true", 1).otherwise(0).cast("long"))
     )
 
 
-def _domain_text(name: str) -> str:
-    return "[" + ", ".join(str(v) for v in sorted(DOMAINS[name])) + "]"
+def _domains() -> Column:
+    """Name and domain of every feature, in contract order."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("name"),
+                F.array(*[F.lit(v).cast("long") for v in sorted(DOMAINS[name])]).alias("values"),
+            )
+            for name in FEATURES
+        ]
+    )
+
+
+def _failure(code: Column, domain: Column) -> Column:
+    allowed = F.array_join(domain["values"].cast("array<string>"), ", ")
+    return F.when(
+        code.isNull(), F.concat(F.lit("Feature '"), domain["name"], F.lit("' must be an integer"))
+    ).when(
+        ~F.array_contains(domain["values"], code),
+        F.concat(
+            F.lit("Feature '"),
+            domain["name"],
+            F.lit("' has invalid value "),
+            code.cast("string"),
+            F.lit("; expected ["),
+            allowed,
+            F.lit("]"),
+        ),
+    )
 
 
 def check_vectors(frame: DataFrame, text: str = "features") -> DataFrame:
-    """Add ``vector_error`` (first failure, NULL if valid) and ``codes`` (the nine ints).
+    """Add ``vector_error`` (first failure, NULL if valid) and ``codes`` (nine integers).
 
     Order of checks: missing keys, extra keys, then per feature integer and domain.
     """
-    frame = add_raw_values(frame, text).withColumn(
-        "codes", F.struct(*[_integer(F.col("raw")[name]).alias(name) for name in FEATURES])
+    frame = add_raw_values(frame, text).withColumn("codes", F.transform("raw", _integer))
+    present = F.coalesce(F.col("names"), F.array().cast("array<string>"))
+    expected = F.array(*[F.lit(name) for name in FEATURES])
+    missing = F.array_join(F.array_except(expected, present), ", ")
+    extra = F.array_join(F.array_sort(F.array_except(present, expected)), ", ")
+    failures = F.filter(
+        F.zip_with("codes", _domains(), _failure), lambda message: message.isNotNull()
     )
-    keys = F.coalesce(F.col("raw")["keys"], F.array().cast("array<string>"))
-    names = F.array(*[F.lit(name) for name in FEATURES])
-    missing = F.array_except(names, keys)
-    extra = F.array_sort(F.array_except(keys, names))
-    failures = []
-    for name in FEATURES:
-        code = F.col("codes")[name]
-        failures.append(F.when(code.isNull(), F.lit(f"Feature '{name}' must be an integer")))
-        failures.append(
-            F.when(
-                ~code.isin(*DOMAINS[name]),
-                F.concat(
-                    F.lit(f"Feature '{name}' has invalid value "),
-                    code.cast("string"),
-                    F.lit(f"; expected {_domain_text(name)}"),
-                ),
-            )
-        )
     error = (
         F.when(
-            F.size(missing) > 0,
-            F.concat(
-                F.lit("Live feature record is missing required features: "),
-                F.array_join(missing, ", "),
-            ),
+            missing != "",
+            F.concat(F.lit("Live feature record is missing required features: "), missing),
         )
         .when(
-            F.size(extra) > 0,
-            F.concat(
-                F.lit("Live feature record contains unsupported features: "),
-                F.array_join(extra, ", "),
-            ),
+            extra != "",
+            F.concat(F.lit("Live feature record contains unsupported features: "), extra),
         )
-        .otherwise(F.coalesce(*failures))
+        .otherwise(F.get(failures, F.lit(0)))
     )
     return frame.withColumn("vector_error", error)
 
 
 def spread_codes(frame: DataFrame) -> DataFrame:
     """The checked codes as nine int columns; NULL for refused vectors."""
-    valid = F.col("vector_error").isNull()
-    return frame.withColumns(
-        {name: F.when(valid, F.col("codes")[name]).cast("int") for name in FEATURES}
-    )
+    kept = frame.withColumn("accepted", F.when(F.col("vector_error").isNull(), F.col("codes")))
+    return kept.withColumns(
+        {name: F.col("accepted")[i].cast("int") for i, name in enumerate(FEATURES)}
+    ).drop("accepted")
 
 
-def counted_code(name: str) -> Column:
-    """Code of a feature as it enters distributions: JSON numbers and booleans only."""
-    cell = F.col("raw")[name]
-    value = F.when(
-        ~cell["type"].isin("STRING", "VOID"),
-        F.when(cell["type"] == "BOOLEAN", F.when(cell["text"] == "true", 1.0).otherwise(0.0)).otherwise(
-            cell["text"].try_cast("double")
-        ),
+def counted_codes() -> Column:
+    """``feature, value`` of the codes that enter distributions.
+
+    JSON numbers and booleans in the domain count; text does not.
+    """
+
+    def counted(cell: Column, domain: Column) -> Column:
+        text, kind = cell["text"], cell["type"]
+        value = F.when(kind == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0)).when(
+            (kind == "BIGINT") | _is_fraction(kind), text.try_cast("double")
+        )
+        inside = F.array_contains(domain["values"].cast("array<double>"), value)
+        return F.struct(
+            domain["name"].alias("feature"), F.when(inside, value.cast("int")).alias("value")
+        )
+
+    return F.filter(
+        F.zip_with("raw", _domains(), counted), lambda entry: entry["value"].isNotNull()
     )
-    return F.when(value.isin(*[float(v) for v in DOMAINS[name]]), value.cast("int"))

@@ -25,9 +25,16 @@ VECTOR_TEST = "Dataset Feature Vector Test"
 # -- rows ------------------------------------------------------------------------
 
 
+def _row_id(frame: DataFrame) -> Column:
+    """The caller's ``id`` if there is one."""
+    value = F.col("id") if "id" in frame.columns else F.lit(None)
+    return value.cast("long").alias("id")
+
+
 def scored_rows(scored: DataFrame, created_at: Column, url: Column | None = None) -> DataFrame:
     """History rows of scored vectors (nine features and ``predicted``)."""
     return scored.select(
+        _row_id(scored),
         (F.lit(VECTOR_TEST) if url is None else url).alias("url"),
         F.col("predicted").cast("int").alias("prediction"),
         label_text(F.col("predicted")).alias("label"),
@@ -55,6 +62,7 @@ def blocked_rows(blocked: DataFrame, created_at: Column) -> DataFrame:
         )
     )
     return blocked.select(
+        _row_id(blocked),
         safe.alias("url"),
         F.lit(None).cast("int").alias("prediction"),
         F.lit(None).cast("string").alias("label"),
@@ -102,10 +110,15 @@ def apply_filters(history: DataFrame, filters: Mapping) -> DataFrame:
         history = history.where(F.col("label") == filters["classification"])
     if filters.get("status") in STATUSES:
         history = history.where(F.col("prediction_status") == filters["status"])
+    stored = "day" in history.columns  # lets whole day folders be skipped
     if filters.get("date_from"):
         history = history.where(F.col("created_at") >= _moment(filters["date_from"]))
+        if stored:
+            history = history.where(F.col("day") >= F.lit(filters["date_from"].date()))
     if filters.get("date_to"):
         history = history.where(F.col("created_at") < _moment(filters["date_to"]))
+        if stored:
+            history = history.where(F.col("day") <= F.lit(filters["date_to"].date()))
     return history
 
 
@@ -147,19 +160,10 @@ def feature_distribution(counted: DataFrame) -> DataFrame:
     Codes given as text are valid but not counted; zero counts are absent.
     ``observations`` is the number of counted rows of the feature.
     """
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("feature"), vectors.counted_code(name).alias("value")
-            )
-            for name in FEATURES
-        ]
-    )
     valid = (F.col("prediction_status") == PREDICTED) & F.col("vector_error").isNull()
     values = (
         counted.where(valid)
-        .select(F.inline(entries))
-        .where(F.col("value").isNotNull())
+        .select(F.inline(vectors.counted_codes()))
         .groupBy("feature", "value")
         .agg(F.count("*").alias("row_count"))
     )

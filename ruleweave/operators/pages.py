@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.contract import FEATURES, UNAVAILABLE, UNVERIFIED
+from ruleweave.contract import FEATURES, UNVERIFIED
 from ruleweave.functions import codes, html, urls
 from ruleweave.operators import providers
 
@@ -107,22 +107,32 @@ def encode(observations: DataFrame) -> DataFrame:
         "anchor_percent", codes.anchor_percent()
     )
     return (
-        measured.withColumn(
-            "cells", F.struct(*[codes.CELLS[name]().alias(name) for name in FEATURES])
-        )
-        .withColumn("complete", F.forall(F.array(*[codes.accepted(n) for n in FEATURES]), lambda x: x))
+        measured.withColumn("cells", codes.cells())
+        .withColumn("complete", F.forall("cells", lambda c: c["accepted"]))
         .withColumn("unresolved_features", codes.unresolved_features())
     )
 
 
-def route(encoded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows to score (with the nine codes), rows blocked, and rows refused.
+def add_route(encoded: DataFrame) -> DataFrame:
+    """Add ``route``: rows to score, blocked rows, and rows refused for their URL.
 
-    Only complete rows may be scored; rows with a URL error are neither.
+    Only complete rows may be scored.  The route is a column, so pages are
+    parsed once however many branches follow.
     """
-    accepted = encoded.where(F.col("url_error").isNull())
-    ready = accepted.where("complete").withColumns(
-        {name: F.col("cells")[name]["encoded_value"] for name in FEATURES}
+    return encoded.withColumn(
+        "route",
+        F.when(F.col("url_error").isNotNull(), "refused")
+        .when(F.col("complete"), "scored")
+        .otherwise("blocked"),
+    )
+
+
+def ready_rows(routed: DataFrame) -> DataFrame:
+    """The rows to score, with their nine codes as columns."""
+    return routed.where(F.col("route") == "scored").withColumns(
+        {name: codes.cell(name)["encoded_value"] for name in FEATURES}
     )
-    blocked = accepted.where("not complete").withColumn("prediction_status", F.lit(UNAVAILABLE))
-    return ready, blocked, encoded.where(F.col("url_error").isNotNull())
+
+
+def blocked_rows(routed: DataFrame) -> DataFrame:
+    return routed.where(F.col("route") == "blocked")

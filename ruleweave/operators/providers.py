@@ -188,7 +188,7 @@ def provider_vectors(requests: DataFrame, provider: DataFrame | None) -> DataFra
             "vector_error", F.lit("Feature encoding is unavailable: mapping_unverified")
         )
     checked = vectors.spread_codes(vectors.check_vectors(provider.select("url", "features")))
-    supplied = checked.drop("raw", "codes").withColumn("supplied", F.lit(True))
+    supplied = checked.drop("names", "raw", "codes").withColumn("supplied", F.lit(True))
     return (
         requests.join(supplied, "url", "left")
         .withColumn(

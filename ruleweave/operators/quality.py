@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleweave.contract import CLASS_COUNTS, FEATURES, RECORD, TARGET
@@ -131,29 +131,43 @@ def column_profile(records: DataFrame) -> DataFrame:
 
 def correlation_matrix(records: DataFrame) -> DataFrame:
     """Pearson correlation of every column pair, pairwise complete, NULL if constant."""
-    pairs = [(a, b) for a in RECORD for b in RECORD]
-    upper = [(a, b) for i, a in enumerate(RECORD) for b in RECORD[i:]]
-    aggregates = []
-    for i, (a, b) in enumerate(upper):
-        x, y = F.col(a).cast("long"), F.col(b).cast("long")
-        n = F.when(x.isNotNull() & y.isNotNull(), F.col("n")).otherwise(0)
-        for name, term in (("n", n), ("x", n * x), ("y", n * y), ("xx", n * x * x), ("yy", n * y * y), ("xy", n * x * y)):
-            aggregates.append(F.sum(F.coalesce(term, F.lit(0))).cast("double").alias(f"{name}{i}"))
-    position = {pair: i for i, pair in enumerate(upper)}
-
-    def coefficient(a: str, b: str) -> Column:
-        i = position.get((a, b), position.get((b, a)))
-        n, x, y, xx, yy, xy = (F.col(f"{name}{i}") for name in ("n", "x", "y", "xx", "yy", "xy"))
-        return F.try_divide(n * xy - x * y, F.sqrt(n * xx - x * x) * F.sqrt(n * yy - y * y))
-
+    pairs = [(a, b) for i, a in enumerate(RECORD) for b in RECORD[i:]]
     entries = F.array(
         *[
             F.struct(
-                F.lit(a).alias("column_a"),
-                F.lit(b).alias("column_b"),
-                coefficient(a, b).alias("correlation"),
+                F.lit(i).alias("pair"),
+                F.col(a).cast("long").alias("x"),
+                F.col(b).cast("long").alias("y"),
             )
-            for a, b in pairs
+            for i, (a, b) in enumerate(pairs)
         ]
     )
-    return records.agg(*aggregates).select(F.inline(entries))
+    x, y, w = F.col("x"), F.col("y"), F.col("n")
+    sums = (
+        records.select("n", F.inline(entries))
+        .where(x.isNotNull() & y.isNotNull())
+        .groupBy("pair")
+        .agg(
+            F.sum(w).cast("double").alias("k"),
+            F.sum(w * x).cast("double").alias("sx"),
+            F.sum(w * y).cast("double").alias("sy"),
+            F.sum(w * x * x).cast("double").alias("sxx"),
+            F.sum(w * y * y).cast("double").alias("syy"),
+            F.sum(w * x * y).cast("double").alias("sxy"),
+        )
+    )
+    k, sx, sy, sxx, syy, sxy = (F.col(c) for c in ("k", "sx", "sy", "sxx", "syy", "sxy"))
+    spread = F.sqrt(k * sxx - sx * sx) * F.sqrt(k * syy - sy * sy)
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    both = sums.withColumn("correlation", F.try_divide(k * sxy - sx * sy, spread)).withColumn(
+        "name", names[F.col("pair")]
+    )
+    a, b = F.col("name")["a"], F.col("name")["b"]
+    mirrored = F.filter(
+        F.array(
+            F.struct(a.alias("column_a"), b.alias("column_b")),
+            F.when(a != b, F.struct(b.alias("column_a"), a.alias("column_b"))),
+        ),
+        lambda e: e.isNotNull(),
+    )
+    return both.select(F.inline(mirrored), "correlation")

@@ -143,8 +143,8 @@ def cross_validate(cells: DataFrame, folds: int = 5, **limits) -> DataFrame:
     )
     counts = list(mining.COUNTS)
     fit_on = (
-        cells.select(F.explode(others).cast("string").alias("fold"), "key", *counts)
-        .groupBy(F.col("fold").alias("run"), "key")
+        cells.select(F.explode(others).alias("fold"), "key", *counts)
+        .groupBy(F.col("fold").cast("string").alias("run"), "key")
         .agg(*[F.sum(name).alias(name) for name in counts])
     )
     rules = settle(ranking.class_relative_rules(fit_on, **limits))

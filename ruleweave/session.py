@@ -57,6 +57,17 @@ def settle(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Use all cores for work on a table that has fewer splits than cores.
+
+    Tables of any size have more splits than cores and are left as they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame.rdd.getNumPartitions() >= cores:
+        return frame
+    return frame.repartition(cores)
+
+
 def broadcast_checked(frame: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only if the side really has at most ``max_rows`` rows.
 

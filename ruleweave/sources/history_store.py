@@ -4,40 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ruleweave.contract import HISTORY_SCHEMA, PREDICTED
 
 
+_STORED = T.StructType([*HISTORY_SCHEMA, T.StructField("day", T.DateType())])
+
+
 def append_history(rows: DataFrame, path: str) -> None:
     """Append rows, partitioned by day so date filters prune folders."""
-    rows.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy(
-        "day"
-    ).parquet(path)
+    _by_day(rows).mode("append").parquet(path)
+
+
+def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write one numbered batch, replacing an earlier attempt at it."""
+    _by_day(rows).mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def _by_day(rows: DataFrame):
+    return rows.withColumn("day", F.to_date("created_at")).write.partitionBy("day")
 
 
 def complete_history(rows: DataFrame) -> DataFrame:
-    """History rows in the current schema.
+    """History rows in the current schema; ``day`` is kept if present.
 
     Columns an older table lacks are added as NULL; a missing state means the
     row was predicted.
     """
-    empty = rows.sparkSession.createDataFrame([], HISTORY_SCHEMA)
-    names = [f.name for f in HISTORY_SCHEMA]
-    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in HISTORY_SCHEMA if f.name in rows.columns]
-    return (
-        empty.unionByName(rows.select(*typed), allowMissingColumns=True)
-        .withColumn("prediction_status", F.coalesce("prediction_status", F.lit(PREDICTED)))
-        .select(*names)
+    columns = [
+        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in HISTORY_SCHEMA
+    ]
+    day = ["day"] if "day" in rows.columns else []
+    return rows.select(*columns, *day).withColumn(
+        "prediction_status", F.coalesce("prediction_status", F.lit(PREDICTED))
     )
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The stored history in the current schema; an absent table is empty."""
+    """The stored history in the current schema; an absent table is empty.
+
+    The schema is given, not merged from files, so no footer is read up front.
+    """
     try:
-        rows = spark.read.option("mergeSchema", True).parquet(path)
+        rows = spark.read.schema(_STORED).parquet(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], HISTORY_SCHEMA)
+        rows = spark.createDataFrame([], _STORED)
     return complete_history(rows)

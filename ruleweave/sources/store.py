@@ -6,7 +6,9 @@ import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
+from ruleweave.contract import FEATURES
 from ruleweave.operators.fingerprint import fingerprint
 from ruleweave.plans.training import Model
 
@@ -98,14 +100,49 @@ def write_report(tables: dict[str, DataFrame], path: str) -> None:
         table.write.mode("overwrite").json(f"{path}/{name}")
 
 
+# Report fields the dashboard shows.
+EVALUATION_FIELDS = (
+    "accuracy double, macro_precision double, macro_recall double, macro_f1 double, weighted_f1 double"
+)
+QUALITY_FIELDS = (
+    "row_count long, duplicate_rows long, unique_rows long, "
+    "conflicting_group_count long, missing_values long"
+)
+MANIFEST_FIELDS = "rules_digest string, dataset_digest string"
+
+
 def read_report(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """One table of a report; empty if the report is absent."""
+    """The one row of a report table; all fields NULL if the report is absent."""
     try:
-        return spark.read.schema(schema).json(f"{path}/{name}")
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return spark.createDataFrame([], schema)
-        raise
+        return spark.read.schema(schema).json(f"{path}/{name}").limit(1)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        nothing = spark.createDataFrame([], schema)
+        return nothing.agg(*[F.first(f.name).alias(f.name) for f in nothing.schema])
+
+
+def report_view(
+    spark: SparkSession, path: str, model_loaded: bool, verified: bool = False
+) -> DataFrame:
+    """One row with the evaluation, quality and model state fields of a report.
+
+    The three parts are one-row tables, keyed alike to stand side by side.
+    """
+
+    def part(name: str, schema: str) -> DataFrame:
+        return read_report(spark, path, name, schema).withColumn("part", F.spark_partition_id() * 0)
+
+    state = "Verified" if verified and model_loaded else "Integrity verification not configured"
+    return (
+        part("evaluation", EVALUATION_FIELDS)
+        .join(part("quality", QUALITY_FIELDS), "part", "full")
+        .join(part("manifest", MANIFEST_FIELDS), "part", "full")
+        .drop("part")
+        .withColumn("feature_names", F.lit(",".join(FEATURES)))
+        .withColumn("model_loaded", F.lit(model_loaded))
+        .withColumn("integrity", F.lit(state))
+    )
 
 
 def manifest(

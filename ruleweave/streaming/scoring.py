@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ruleweave.functions import vectors
 from ruleweave.operators import history, pages
 from ruleweave.operators.scoring import score
-from ruleweave.sources.history_store import append_history
+from ruleweave.sources.history_store import write_batch
 
 
 def score_vectors(stream: DataFrame, table: DataFrame, text: str = "features") -> DataFrame:
@@ -30,16 +30,19 @@ def encode_pages(stream: DataFrame) -> DataFrame:
 def write_history(
     scored: DataFrame, path: str, checkpoint: str, created_at: Column | None = None
 ) -> StreamingQuery:
-    """Append valid scored vectors of a stream to the history, batch by batch."""
+    """Write valid scored vectors of a stream as history rows, one folder per batch.
+
+    A batch repeated after a failure replaces its own folder, so rows are never
+    written twice.
+    """
     moment = F.current_timestamp().cast("timestamp_ntz") if created_at is None else created_at
 
-    def append(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
         valid = batch.where(F.col("vector_error").isNull())
-        rows = history.scored_rows(valid, moment)
-        append_history(rows.withColumn("batch_id", F.lit(batch_id)), path)
+        write_batch(history.scored_rows(valid, moment), path, batch_id)
 
     return (
-        scored.writeStream.foreachBatch(append)
+        scored.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
