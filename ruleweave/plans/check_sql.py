@@ -155,7 +155,7 @@ SELECT *, support / (class_n / n) AS relative_support FROM (
       SELECT x.*, t.n, {class_n} AS class_n, joint / t.n AS support,
         {_items()} AS antecedent, {_length()} AS antecedent_length,
         {_key('x.', True)} AS rkey, {_mask('x.')} AS rmask
-      FROM ({per_class}) x, {p}tot t WHERE joint > 0 AND {_length('x.')} > 0)))""",
+      FROM ({per_class}) x, {p}tot t WHERE joint / t.n >= {support} AND {_length('x.')} > 0)))""",
         ),
         (f"{p}rules", f"SELECT *, row_number() OVER (ORDER BY {order}) AS rank FROM ({rules})"),
     ]
@@ -575,8 +575,8 @@ def _coded() -> Ctes:
         (
             "pct",
             f"""SELECT o.*, {_bare('o.host')} AS ph,
-  coalesce((SELECT count(*) FILTER ({_external('r.link', _bare('r.host'))}) * 100.0::double / count(*) FROM res r WHERE r.page_id = o.page_id), 0.0) AS rp,
-  coalesce((SELECT count(*) FILTER ({_external('r.link', _bare('r.host'))}) * 100.0::double / count(*) FROM anc r WHERE r.page_id = o.page_id), 0.0) AS ap,
+  coalesce((SELECT count(*) FILTER ({_external('r.link', _bare('r.host'))}) * 100.0::double / nullif(count(*), 0) FROM res r WHERE r.page_id = o.page_id), 0.0) AS rp,
+  coalesce((SELECT count(*) FILTER ({_external('r.link', _bare('r.host'))}) * 100.0::double / nullif(count(*), 0) FROM anc r WHERE r.page_id = o.page_id), 0.0) AS ap,
   (SELECT count(*) FILTER (trim(f.link) = '' OR lower(trim(f.link)) = 'about:blank') FROM frm f WHERE f.page_id = o.page_id) AS empties,
   (SELECT count(*) FILTER ({_external('f.link', _bare('f.host'))}) FROM frm f WHERE f.page_id = o.page_id) AS foreigns
 FROM obs o""",
