@@ -213,22 +213,24 @@ def _ipv6_blocked(g: Column) -> Column:
     return outside | special
 
 
-def is_ip_literal(name: Column) -> Column:
-    return F.when(name.contains(":"), ipv6_groups(name).isNotNull()).otherwise(is_ipv4(name))
+def is_ip_literal(name: Column, ipv6: Column) -> Column:
+    return ipv6.isNotNull() | is_ipv4(name)
 
 
-def blocked_address(name: Column) -> Column:
-    """True for a literal address that is not public; false for any other host."""
-    blocked = F.when(name.contains(":"), let(ipv6_groups(name), _ipv6_blocked)).when(
+def blocked_address(name: Column, ipv6: Column) -> Column:
+    """True for a literal address that is not public; false for any other host.
+
+    ``ipv6`` holds the groups of an IPv6 literal, else NULL.
+    """
+    blocked = F.when(ipv6.isNotNull(), _ipv6_blocked(ipv6)).when(
         is_ipv4(name), let(_ipv4_number(name), _ipv4_blocked)
     )
     return F.coalesce(blocked, F.lit(False))
 
 
-def screening_error(url: Column, p: Column) -> Column:
-    """Why a URL is refused, or NULL; ``p`` holds the parts of the trimmed URL.
-
-    Names are not resolved.
+def screening_error(url: Column, p: Column, ipv6: Column) -> Column:
+    """Why a URL is refused, or NULL; ``p`` holds the parts of the trimmed URL and
+    ``ipv6`` the groups of its host.  Names are not resolved.
     """
     name = bare(p["host"])
     server = p["server"]
@@ -237,7 +239,7 @@ def screening_error(url: Column, p: Column) -> Column:
         r"\.(local|internal)$"
     )
     bad_brackets = server.rlike(r"[\[\]]") & (
-        ~server.rlike(r"^(.*@)?\[[^\[\]]*\](:[^\[\]]*)?$") | ~is_ip_literal(p["host"])
+        ~server.rlike(r"^(.*@)?\[[^\[\]]*\](:[^\[\]]*)?$") | ipv6.isNull()
     )
     return (
         F.when(url.isNull() | (F.length(url) > MAX_URL_CHARS), INVALID_URL)
@@ -247,14 +249,16 @@ def screening_error(url: Column, p: Column) -> Column:
             NOT_PUBLIC_HTTP,
         )
         .when(internal, INTERNAL_HOST)
-        .when(blocked_address(name), INTERNAL_ADDRESS)
+        .when(blocked_address(name, ipv6), INTERNAL_ADDRESS)
     )
 
 
 def screen(frame: DataFrame, url: str = "url") -> DataFrame:
-    """Add ``parts`` of the trimmed URL and ``url_error``."""
-    return split_url(frame, trimmed(F.col(url))).withColumn(
-        "url_error", screening_error(F.col(url), F.col("parts"))
+    """Add ``parts`` of the trimmed URL, ``ipv6`` groups of its host and ``url_error``."""
+    return (
+        split_url(frame, trimmed(F.col(url)))
+        .withColumn("ipv6", ipv6_groups(F.col("parts")["host"]))
+        .withColumn("url_error", screening_error(F.col(url), F.col("parts"), F.col("ipv6")))
     )
 
 

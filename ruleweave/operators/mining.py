@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from ruleweave.contract import CLASS_COUNTS, CLASSES, FEATURES, TARGET
 from ruleweave.functions import keys
 from ruleweave.functions.items import class_item
-from ruleweave.session import settle
 
 COUNTS = tuple(CLASS_COUNTS.values())
 MODEL = "model"
@@ -96,10 +95,13 @@ def _total() -> Column:
     return F.col("phishy") + F.col("suspicious") + F.col("legitimate")
 
 
-def frequent_itemsets(cells: DataFrame, mining: Mining) -> DataFrame:
+def frequent_itemsets(
+    cells: DataFrame, mining: Mining, counted: DataFrame | None = None
+) -> DataFrame:
     """Itemsets with enough support: ``run, key, class, n, support``.
 
-    ``class`` is NULL for itemsets without a class item.
+    ``class`` is NULL for itemsets without a class item.  ``counted`` is the
+    lattice of ``cells`` if the caller already has it.
     """
     totals = class_totals(cells).select("run", "n_samples")
     members = F.array(
@@ -108,7 +110,7 @@ def frequent_itemsets(cells: DataFrame, mining: Mining) -> DataFrame:
     )
     size = keys.length(F.col("key")) + F.col("class").isNotNull().cast("int")
     itemsets = (
-        lattice(cells)
+        (lattice(cells) if counted is None else counted)
         .select("run", "key", F.inline(members))
         .join(F.broadcast(totals), "run")
         .withColumn("support", F.col("n") / F.col("n_samples"))
@@ -119,7 +121,9 @@ def frequent_itemsets(cells: DataFrame, mining: Mining) -> DataFrame:
     return itemsets.select("run", "key", "class", "n", "support")
 
 
-def class_rules(cells: DataFrame, mining: Mining) -> DataFrame:
+def class_rules(
+    cells: DataFrame, mining: Mining, counted: DataFrame | None = None
+) -> DataFrame:
     """Rules with a single class consequent, unranked.
 
     The lattice row of an antecedent already holds its joint counts, so no
@@ -140,7 +144,7 @@ def class_rules(cells: DataFrame, mining: Mining) -> DataFrame:
     )
     size = keys.length(F.col("key"))
     n = F.col("n_samples")
-    antecedents = lattice(cells).where(F.col("key") != 0)
+    antecedents = (lattice(cells) if counted is None else counted).where(F.col("key") != 0)
     if mining.max_len is not None:
         antecedents = antecedents.where(size < mining.max_len)
     return (
@@ -190,7 +194,7 @@ def _submasks(spark: SparkSession) -> DataFrame:
     )
 
 
-def generated_rules(cells: DataFrame, mining: Mining, thresholds: list[float]) -> DataFrame:
+def generated_rules(itemsets: DataFrame, thresholds: list[float]) -> DataFrame:
     """Number of rules with any consequent per run and confidence threshold.
 
     Each frequent itemset meets the support of every proper sub-itemset in an
@@ -207,12 +211,10 @@ def generated_rules(cells: DataFrame, mining: Mining, thresholds: list[float]) -
         ),
         F.lit(0),
     )
-    frequent = settle(
-        frequent_itemsets(cells, mining).select("run", wide.alias("itemset"), "support")
-    )
+    frequent = itemsets.select("run", wide.alias("itemset"), "support")
     pairs = (
         frequent.withColumn("mask", mask)
-        .join(F.broadcast(_submasks(cells.sparkSession)), "mask")
+        .join(F.broadcast(_submasks(itemsets.sparkSession)), "mask")
         .select(
             "run",
             F.col("support").alias("joint"),

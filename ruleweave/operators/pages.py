@@ -28,7 +28,7 @@ def observe(pages: DataFrame, strict_fetch: bool = False) -> DataFrame:
     seen = (
         found.withColumn("host", name)
         .withColumn("page_host", urls.bare(name))
-        .withColumn("hostname_is_ip", urls.is_ip_literal(name))
+        .withColumn("hostname_is_ip", urls.is_ip_literal(name, F.col("ipv6")))
         .withColumn(
             "resource_urls",
             collected(html.resources(), "array<struct<url:string,kind:string>>"),
@@ -58,7 +58,7 @@ def observe(pages: DataFrame, strict_fetch: bool = False) -> DataFrame:
             ),
         )
     )
-    return seen.drop("html", "tags", "scripts")
+    return seen.drop("html", "tags", "scripts", "ipv6")
 
 
 def raw_features() -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleweave.functions import vectors
-from ruleweave.session import broadcast_checked
 
 MONTH_DAYS = 365.2425 / 12
 MAX_SUFFIX_RULES = 100_000
@@ -49,15 +48,12 @@ def registrable_domain(frame: DataFrame, host: str, suffixes: DataFrame) -> Data
         F.col("rule").startswith("!").alias("exception"),
         F.col("rule").startswith("*.").alias("wildcard"),
     ).dropDuplicates(["rule"])
-    shapes = [
-        (row["labels"], row["wildcard"])
-        for row in rules.select("labels", "wildcard").distinct().collect()
-    ]
+    shapes = rules.groupBy("labels", "wildcard").count().collect()
     frame = frame.withColumn("suffix_host", name).withColumn(
         "host_labels", F.size(F.split("suffix_host", r"\."))
     )
     found = []
-    for labels, wildcard in sorted(shapes, reverse=True):
+    for labels, wildcard, size in sorted(shapes, reverse=True):
         column = f"suffix_{labels}_{'any' if wildcard else 'exact'}"
         side = rules.where((F.col("labels") == labels) & (F.col("wildcard") == wildcard)).select(
             F.col("rule").alias(f"{column}_rule"),
@@ -73,9 +69,8 @@ def registrable_domain(frame: DataFrame, host: str, suffixes: DataFrame) -> Data
             key = F.when(
                 F.col("host_labels") >= labels, _last_labels(F.col("suffix_host"), labels)
             )
-        frame = frame.join(
-            broadcast_checked(side, MAX_SUFFIX_RULES), key == F.col(f"{column}_rule"), "left"
-        )
+        small = F.broadcast(side) if size <= MAX_SUFFIX_RULES else side
+        frame = frame.join(small, key == F.col(f"{column}_rule"), "left")
         found.append(column)
     excepted = F.coalesce(
         *[F.when(F.col(f"{c}_exception"), F.col(c)) for c in found], F.lit(None).cast("int")

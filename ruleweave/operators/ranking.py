@@ -53,9 +53,11 @@ def rank_rules(rules: DataFrame) -> DataFrame:
     return rules.withColumn("rank", F.row_number().over(order))
 
 
-def mine_ranked(cells: DataFrame, mining: Mining) -> DataFrame:
+def mine_ranked(
+    cells: DataFrame, mining: Mining, counted: DataFrame | None = None
+) -> DataFrame:
     """Ranked class rules of every run, without the relative support column."""
-    return rank_rules(class_rules(cells, mining).drop("relative_support"))
+    return rank_rules(class_rules(cells, mining, counted).drop("relative_support"))
 
 
 def class_relative_rules(

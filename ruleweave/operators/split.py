@@ -17,7 +17,8 @@ from ruleweave.functions import keys
 from ruleweave.operators.mining import COUNTS, weigh
 from ruleweave.session import settle
 
-PREFIX_DIGITS = 4  # 65,536 prefixes per class
+ROWS_PER_PREFIX = 1_000_000
+MAX_PREFIX_DIGITS = 5
 
 
 def seeded_hash(seed: int, key: Column) -> Column:
@@ -177,9 +178,17 @@ def split_analysis(cells: DataFrame) -> DataFrame:
 # -- rows ----------------------------------------------------------------------
 
 
-def _prefixed(frame: DataFrame, key: str, seed: int) -> DataFrame:
+def prefix_digits(rows: int) -> int:
+    """Hex digits of the hash that keep the rows of one prefix near a million."""
+    digits = 1
+    while digits < MAX_PREFIX_DIGITS and rows / 16**digits > ROWS_PER_PREFIX:
+        digits += 1
+    return digits
+
+
+def _prefixed(frame: DataFrame, key: str, seed: int, digits: int) -> DataFrame:
     hashed = frame.withColumn("order_hash", seeded_hash(seed, F.col(key)))
-    return hashed.withColumn("prefix", F.substring("order_hash", 1, PREFIX_DIGITS))
+    return hashed.withColumn("prefix", F.substring("order_hash", 1, digits))
 
 
 def _prefix_starts(hashed: DataFrame) -> DataFrame:
@@ -194,16 +203,27 @@ def _prefix_starts(hashed: DataFrame) -> DataFrame:
     )
 
 
+def _small(starts: DataFrame, digits: int) -> DataFrame:
+    """At most 3 * 16**digits rows: broadcast up to 200,000, else let the join shuffle."""
+    return F.broadcast(starts) if digits <= 4 else starts
+
+
 def row_split(
-    frame: DataFrame, key: str, test_size: float = 0.2, seed: int = 42
+    frame: DataFrame,
+    key: str,
+    test_size: float = 0.2,
+    seed: int = 42,
+    digits: int | None = None,
 ) -> DataFrame:
     """Rows with their ``side``: the first rows per class in seeded order are the test set.
 
     ``key`` is a unique text column.  Prefixes wholly inside or outside the test
     set decide their rows by a broadcast lookup; only the rows of the one
-    prefix per class that the boundary cuts are sorted.
+    prefix per class that the boundary cuts are sorted.  ``digits`` is the prefix
+    length, by default from the number of rows.
     """
-    hashed = _prefixed(frame, key, seed)
+    digits = prefix_digits(frame.count()) if digits is None else digits
+    hashed = _prefixed(frame, key, seed, digits)
     wanted = F.greatest(F.lit(1), F.bround(F.col("rows_all") * F.lit(test_size))).cast("long")
     left = wanted - F.col("rows_before")
     starts = _prefix_starts(hashed).select(
@@ -211,8 +231,7 @@ def row_split(
         "prefix",
         F.when(left <= 0, 0).when(left >= F.col("rows_in"), -1).otherwise(left).alias("test_rows"),
     )
-    # At most 3 * 16**PREFIX_DIGITS rows.
-    placed = hashed.join(F.broadcast(starts), [TARGET, "prefix"])
+    placed = hashed.join(_small(starts, digits), [TARGET, "prefix"])
     order = Window.partitionBy(TARGET, "prefix").orderBy("order_hash", key)
     whole = placed.where(F.col("test_rows") <= 0).withColumn(
         "side", F.when(F.col("test_rows") == -1, "test").otherwise("train")
@@ -226,17 +245,20 @@ def row_split(
     return whole.unionByName(cut).drop("order_hash", "prefix", "test_rows")
 
 
-def stratified_folds(frame: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
+def stratified_folds(
+    frame: DataFrame, key: str, folds: int = 5, seed: int = 42, digits: int | None = None
+) -> DataFrame:
     """Rows with a ``fold`` in 0..folds-1: positions per class in seeded order, dealt round.
 
     One shuffle by class and hash prefix; no group is larger than a prefix.
     """
-    hashed = _prefixed(frame, key, seed)
+    digits = prefix_digits(frame.count()) if digits is None else digits
+    hashed = _prefixed(frame, key, seed, digits)
     starts = _prefix_starts(hashed).select(TARGET, "prefix", "rows_before")
     order = Window.partitionBy(TARGET, "prefix").orderBy("order_hash", key)
     position = F.col("rows_before") + F.row_number().over(order) - 1
     return (
-        hashed.join(F.broadcast(starts), [TARGET, "prefix"])
+        hashed.join(_small(starts, digits), [TARGET, "prefix"])
         .withColumn("fold", (position % folds).cast("int"))
         .drop("order_hash", "prefix", "rows_before")
     )

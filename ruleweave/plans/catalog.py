@@ -179,7 +179,8 @@ def class_rules(spark, sf_dir):
 
 @query
 def generated_rule_count(spark, sf_dir):
-    return mining.generated_rules(_cells(spark, sf_dir), PARAMS, THRESHOLDS).drop("run")
+    itemsets = settle(mining.frequent_itemsets(_cells(spark, sf_dir), PARAMS))
+    return mining.generated_rules(itemsets, THRESHOLDS).drop("run")
 
 
 @query
@@ -311,15 +312,10 @@ def row_split_70_30(spark, sf_dir):
     return frame.select("record_id", "side")
 
 
-def _train_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = split.row_split(frames.labelled(spark, sf_dir), "record_id", 0.3, SEED)
-    return frame.where(F.col("side") == "train").drop("side")
-
-
 @query
 def kfold_assignment(spark, sf_dir):
-    folded = split.stratified_folds(_train_rows(spark, sf_dir), "record_id", 5, SEED)
-    return folded.select("record_id", "fold")
+    frame = frames.labelled(spark, sf_dir)
+    return training.training_folds(frame, "record_id", 0.3, 5, SEED).select("record_id", "fold")
 
 
 @query
@@ -406,8 +402,9 @@ def baseline_compare(spark, sf_dir):
 
 @query
 def cross_validation(spark, sf_dir):
-    cells = training.fold_cells(_train_rows(spark, sf_dir), "record_id", 5, SEED)
-    found = training.cross_validate(cells, 5)
+    frame = frames.labelled(spark, sf_dir)
+    folded = training.training_folds(frame, "record_id", 0.3, 5, SEED)
+    found = settle(training.cross_validate(training.fold_cells(folded), 5))
     columns = ["rows_fit", "rows_all", "rows_unmatched", "accuracy", "macro_f1"]
     mean = found.agg(
         F.lit("mean").alias("fold"),
@@ -719,7 +716,8 @@ def report_projection(spark, sf_dir):
 
 @query
 def dataset_fingerprint(spark, sf_dir):
-    return fingerprint.fingerprint(frames.labelled(spark, sf_dir).select(*RECORD))
+    records = quality.distinct_records(frames.labelled(spark, sf_dir))
+    return fingerprint.fingerprint(records, weight="n")
 
 
 @query
@@ -768,13 +766,14 @@ def report_sinks(spark, sf_dir):
     frame = frames.labelled(spark, sf_dir)
     model, scored = _tested(spark, sf_dir)
     metrics = evaluate.run_metrics(scored)
+    records = quality.distinct_records(frame)
     path = scratch_table(spark, "reports")
     store.write_report(
         {
             "confusion": evaluate.confusion_matrix(scored),
             "classes": evaluate.class_metrics(scored),
-            "quality": quality.quality_summary(quality.distinct_records(frame)),
-            "manifest": store.manifest(frame.select(*RECORD), model, metrics),
+            "quality": quality.quality_summary(records),
+            "manifest": store.manifest(records, model, metrics),
         },
         path,
     )

@@ -71,8 +71,10 @@ def threshold_experiments(
             "run", F.col("min_confidence").cast("string")
         )
 
+    counted = settle(mining.lattice(train))
+    frequent = settle(mining.frequent_itemsets(train, lowest, counted))
     rules = settle(
-        per_threshold(ranking.mine_ranked(train, lowest))
+        per_threshold(ranking.mine_ranked(train, lowest, counted))
         .where(F.col("confidence") >= F.col("min_confidence"))
         .drop("min_confidence")
     )
@@ -81,10 +83,8 @@ def threshold_experiments(
     scored = settle(
         scoring.score_cells(per_threshold(test).drop("min_confidence"), table)
     )
-    itemsets = mining.frequent_itemsets(train, lowest).groupBy("run").agg(
-        F.count("*").alias("frequent_itemsets")
-    )
-    generated = mining.generated_rules(train, lowest, [float(t) for t in thresholds])
+    itemsets = frequent.groupBy("run").agg(F.count("*").alias("frequent_itemsets"))
+    generated = mining.generated_rules(frequent, [float(t) for t in thresholds])
     counts = (
         generated.join(F.broadcast(itemsets), "run")
         .withColumn("run", F.col("min_confidence").cast("string"))
@@ -126,9 +126,18 @@ def compare_splits(
     )
 
 
-def fold_cells(frame: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
+def training_folds(
+    frame: DataFrame, key: str, test_size: float = 0.3, folds: int = 5, seed: int = 42
+) -> DataFrame:
+    """Training rows of the row-level split with their ``fold``."""
+    digits = split.prefix_digits(frame.count())
+    sides = split.row_split(frame, key, test_size, seed, digits)
+    train = sides.where(F.col("side") == "train").drop("side")
+    return split.stratified_folds(train, key, folds, seed, digits)
+
+
+def fold_cells(folded: DataFrame) -> DataFrame:
     """Cells with one run per fold."""
-    folded = split.stratified_folds(frame, key, folds, seed)
     return settle(mining.weigh(folded, F.col("fold")))
 
 

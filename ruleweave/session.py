@@ -1,4 +1,4 @@
-"""Session set-up, lineage cuts and checked broadcasts."""
+"""Session set-up, lineage cuts and work spreading."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -19,6 +18,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -67,12 +67,3 @@ def spread(frame: DataFrame) -> DataFrame:
         return frame
     return frame.repartition(cores)
 
-
-def broadcast_checked(frame: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only if the side really has at most ``max_rows`` rows.
-
-    A larger side is returned without a hint, so the join shuffles instead.
-    """
-    if frame.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(frame)
-    return frame

@@ -142,7 +142,7 @@ def request_urls(d) -> Derivation:
         f"WHEN 12 THEN 'http://[2606:2800::' || ({k} % 10) || ']:80/' WHEN 13 THEN 'https://api.internal./' "
         f"WHEN 14 THEN 'http://8.8.' || ({k} % 256) || '.' || ({c} % 300) || '/' ELSE 'https://shop' || {c} || '.example' END"
     )
-    return Derivation("orders", (("request_id", k), ("url", url)))
+    return Derivation("orders", (("request_id", k), ("url", url)), heavy=True)
 
 
 def registrations(d) -> Derivation:
@@ -201,6 +201,7 @@ def vector_provider(d) -> Derivation:
         "customer",
         (("url", f"'https://shop' || {c} || '.example/'"), ("features", _vector(codes))),
         f"{c} % 9 <> 0",
+        heavy=True,
     )
 
 
@@ -244,6 +245,7 @@ def history(d) -> Derivation:
             ("prediction_status", f"CASE WHEN {predicted} THEN 'predicted' ELSE 'feature_mapping_unavailable' END"),
             ("created_at", "ts"),
         ),
+        heavy=True,
     )
 
 

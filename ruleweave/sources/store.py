@@ -146,10 +146,13 @@ def report_view(
 
 
 def manifest(
-    dataset: DataFrame, model: Model, evaluation: DataFrame, kind: str = "strength"
+    records: DataFrame, model: Model, evaluation: DataFrame, kind: str = "strength"
 ) -> DataFrame:
-    """One row: fingerprints of data and rules, sizes and the headline metrics."""
-    data = fingerprint(dataset).first()
+    """One row: fingerprints of data and rules, sizes and the headline metrics.
+
+    ``records`` are the distinct records of the data with their count ``n``.
+    """
+    data = fingerprint(records, weight="n").first()
     return evaluation.select(
         F.lit("associative_classifier").alias("model_name"),
         F.lit("Associative Classification").alias("model_type"),
