@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleweave.functions import vectors
+from ruleweave.operators.joins import salted_lookup
 
 MONTH_DAYS = 365.2425 / 12
 MAX_SUFFIX_RULES = 100_000
@@ -122,7 +123,7 @@ def registration_age(
             F.min(earliest_date(F.col("creation_date"))).alias("created"),
             F.lit(True).alias("known"),
         )
-        frame = frame.join(dates, "registrable_domain", "left")
+        frame = salted_lookup(frame, dates, "registrable_domain")
     days = F.greatest(
         F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros("created")) / F.lit(86_400_000_000)
     )
@@ -159,7 +160,7 @@ def traffic(frame: DataFrame, ranks: DataFrame | None = None, host: str = "host"
         best = ranks.groupBy(F.col("domain").alias(host)).agg(
             F.min_by("provider", "rank").alias("provider"), F.min("rank").alias("rank")
         )
-        frame = frame.join(best, host, "left")
+        frame = salted_lookup(frame, best, host)
     status = F.when(F.col("rank").isNull(), "provider_unavailable").otherwise("available")
     return frame.withColumn(
         "web_traffic",
@@ -173,7 +174,7 @@ def traffic(frame: DataFrame, ranks: DataFrame | None = None, host: str = "host"
 
 
 def provider_vectors(requests: DataFrame, provider: DataFrame | None) -> DataFrame:
-    """Vectors a trusted provider table supplies per ``url``, checked.
+    """Vectors a trusted provider table supplies, one row per ``url``, checked.
 
     A missing provider or row is an error of its own; the rest are those of
     ``vectors.check_vectors``.
@@ -185,7 +186,7 @@ def provider_vectors(requests: DataFrame, provider: DataFrame | None) -> DataFra
     checked = vectors.spread_codes(vectors.check_vectors(provider.select("url", "features")))
     supplied = checked.drop("names", "raw", "codes").withColumn("supplied", F.lit(True))
     return (
-        requests.join(supplied, "url", "left")
+        salted_lookup(requests, supplied, "url")
         .withColumn(
             "vector_error",
             F.when(F.col("supplied").isNull(), "Trusted feature provider failed").otherwise(

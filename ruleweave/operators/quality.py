@@ -12,10 +12,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruleweave.contract import CLASS_COUNTS, FEATURES, RECORD, TARGET
+from ruleweave.contract import CLASS_COUNTS, FEATURES, RECORD, TARGET, ContractError
 from ruleweave.operators.validate import require_columns
 from ruleweave.session import settle
 
+MAX_CODES = 100_000
+
 
 def distinct_records(frame: DataFrame) -> DataFrame:
     """Distinct records (nulls kept) with their row count ``n``."""
@@ -89,9 +91,23 @@ def value_frequencies(records: DataFrame) -> DataFrame:
     )
 
 
+def _require_coded(values: DataFrame) -> None:
+    """Refuse columns with too many distinct values to be codes.
+
+    Keeps the per-column lists and exact quantiles below a known size.
+    """
+    wide = values.groupBy("column_name").count().where(F.col("count") > MAX_CODES).first()
+    if wide:
+        raise ContractError(
+            f"Column {wide['column_name']!r} has {wide['count']} distinct values; "
+            f"at most {MAX_CODES} are profiled"
+        )
+
+
 def column_profile(records: DataFrame) -> DataFrame:
     """Per column: missing values, distinct values, domain and exact statistics."""
     long = _unpivot(records).groupBy("column_name", "value").agg(F.sum("n").alias("n"))
+    _require_coded(long)
     value, n = F.col("value"), F.col("n")
     present = F.when(value.isNotNull(), n).otherwise(0)
     quartile = lambda q: F.percentile(value, q, n)

@@ -98,10 +98,16 @@ def regroup(groups: DataFrame, run: Column) -> DataFrame:
 def group_split(frame: DataFrame, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Rows with their ``side``; no exact record is on both sides.
 
+    """
+    return place_rows(frame, assign_groups(weigh(frame), test_size, seed))
+
+
+def place_rows(frame: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with the ``side`` of their record group.
+
     The assignment of the at most 3**10 distinct records is broadcast, so rows
     are not shuffled and a hot record is no burden.
     """
-    groups = assign_groups(weigh(frame), test_size, seed)
     sides = groups.select("key", F.col("class").alias(TARGET), "side")
     return (
         frame.withColumn("key", keys.pack())

@@ -354,9 +354,10 @@ def coverage(spark, sf_dir):
 @query
 def error_rows(spark, sf_dir):
     frame = frames.labelled(spark, sf_dir)
-    cells = training.group_sides(frame, 0.2, SEED)
+    groups = training.group_assignment(frame, 0.2, SEED)
+    cells = settle(split.regroup(groups, F.col("side")))
     model = training.fit_cells(training.side(cells, "train"), PARAMS)
-    test = training.labelled_side(frame, "test", 0.2, SEED)
+    test = split.place_rows(frame, groups).where(F.col("side") == "test")
     wrong = evaluate.errors(evaluate.record_evaluation(test, model.vector_table(), model.rules))
     return wrong.select(
         "record_id",

@@ -43,10 +43,14 @@ def fit_class_relative(cells: DataFrame, **limits) -> Model:
     )
 
 
+def group_assignment(frame: DataFrame, test_size: float = 0.2, seed: int = 42) -> DataFrame:
+    """Side of every distinct record, from one pass over the rows."""
+    return settle(split.assign_groups(mining.weigh(frame), test_size, seed))
+
+
 def group_sides(frame: DataFrame, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Cells of the exact-record group split, runs ``train`` and ``test``."""
-    groups = split.assign_groups(mining.weigh(frame), test_size, seed)
-    return settle(split.regroup(groups, F.col("side")))
+    return settle(split.regroup(group_assignment(frame, test_size, seed), F.col("side")))
 
 
 def side(cells: DataFrame, name: str, run: str = mining.MODEL) -> DataFrame:
@@ -175,11 +179,6 @@ def class_relative_job(frame: DataFrame, key: str, test_size: float = 0.3, seed:
     return model, cells, scored
 
 
-def labelled_side(frame: DataFrame, name: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """The rows of one side of the group split."""
-    return split.group_split(frame, test_size, seed).where(F.col("side") == name).drop("side")
-
-
 def class_distribution(cells: DataFrame) -> DataFrame:
     """Rows per run and class."""
     entries = F.array(
