@@ -865,22 +865,70 @@ def _compare() -> str:
 
 
 def _cross() -> str:
-    ctes: Ctes = [*LAB, *_folds()]
-    parts = []
-    for i in range(5):
-        p = f"f{i}_"
-        ctes += [
-            (f"{p}fit", f"SELECT * FROM folds WHERE fold <> {i}"),
-            (f"{p}val", f"SELECT * FROM folds WHERE fold = {i}"),
-            *_relative(f"{p}fit", p),
-            *_vectors(p, f"{p}val"),
-            *_score(p, f"{p}val", f"{p}out"),
-            *_metrics(f"{p}out", f"{p}e_"),
-        ]
-        parts.append(
-            f"SELECT '{i}' AS fold, (SELECT n FROM {p}tot) AS rows_fit, n AS rows_all, unmatched AS rows_unmatched, accuracy, macro_f1 FROM {p}e_avg"
-        )
-    ctes.append(("perfold", " UNION ALL ".join(parts)))
+    """All folds side by side, told apart by ``run``."""
+    c = CLASS_RELATIVE
+    sums = ", ".join(f"cast(sum({name}) as bigint) AS {name}" for name in NAMES)
+    total = " + ".join(NAMES)
+    per_class = " UNION ALL ".join(
+        f"SELECT run, {F9}, {v} AS class, {name} AS joint, {total} AS covered FROM cube"
+        for v, name in CLASS_COUNTS.items()
+    )
+    class_n = "CASE class " + " ".join(f"WHEN {v} THEN t.{n}" for v, n in CLASS_COUNTS.items()) + " END"
+    order = "confidence DESC, relative_support DESC, lift DESC, antecedent_length, antecedent, class"
+    hits = ", ".join(f"count(*) FILTER (Result = {v} AND predicted = {v}) AS t{i}" for i, v in enumerate(LABELS))
+    actual = ", ".join(f"count(*) FILTER (Result = {v}) AS a{i}" for i, v in enumerate(LABELS))
+    guessed = ", ".join(f"count(*) FILTER (predicted = {v}) AS g{i}" for i, v in enumerate(LABELS))
+    f1 = []
+    for i in range(3):
+        p, r = f"coalesce(t{i} / nullif(g{i}, 0), 0)", f"coalesce(t{i} / nullif(a{i}, 0), 0)"
+        f1.append(f"coalesce(2 * {p} * {r} / nullif({p} + {r}, 0), 0)")
+    ctes: Ctes = [
+        *LAB,
+        *_folds(),
+        ("fit", "SELECT i AS run, f.* FROM folds f, range(5) t(i) WHERE f.fold <> i"),
+        ("cells", f"SELECT run, {F9}, {_class_counts('')} FROM fit GROUP BY ALL"),
+        ("tot", f"SELECT run, {sums}, cast(sum({total}) as bigint) AS n FROM cells GROUP BY run"),
+        ("cube", f"SELECT run, {F9}, {sums} FROM cells GROUP BY run, CUBE ({F9})"),
+        (
+            "scored",
+            f"""
+SELECT *, support / (class_n / n) AS relative_support FROM (
+  SELECT *, confidence / (class_n / n) AS lift FROM (
+    SELECT *, support / (covered / n) AS confidence FROM (
+      SELECT x.*, t.n, {class_n} AS class_n, joint / t.n AS support,
+        {_items()} AS antecedent, {_length()} AS antecedent_length,
+        {_key('x.', True)} AS rkey, {_mask('x.')} AS rmask
+      FROM ({per_class}) x JOIN tot t USING (run)
+      WHERE joint / t.n >= {c['min_support']} AND {_length('x.')} BETWEEN 1 AND {c['max_antecedent_length']})))""",
+        ),
+        (
+            "best",
+            f"""SELECT *, row_number() OVER (PARTITION BY run, class ORDER BY {order}) AS place FROM scored
+WHERE confidence >= {c['min_confidence']} AND lift >= {c['min_lift']} AND relative_support >= {c['min_relative_support']}""",
+        ),
+        (
+            "rules",
+            f"SELECT *, row_number() OVER (PARTITION BY run ORDER BY {order}) AS rank FROM best WHERE place <= {c['max_rules_per_class']}",
+        ),
+        ("vecs", f"SELECT DISTINCT cast(fold as bigint) AS run, {_key()} AS vkey FROM folds"),
+        (
+            "first",
+            "SELECT v.run, v.vkey, arg_min(r.class, r.rank) AS class FROM vecs v "
+            "JOIN rules r ON r.run = v.run AND (v.vkey & r.rmask) = r.rkey GROUP BY ALL",
+        ),
+        (
+            "out",
+            f"""SELECT t.run, r.Result, f.class IS NULL AS missed, coalesce(f.class, CASE WHEN phishy >= greatest(suspicious, legitimate) THEN -1
+  WHEN suspicious >= legitimate THEN 0 ELSE 1 END) AS predicted
+FROM folds r JOIN tot t ON t.run = r.fold LEFT JOIN first f ON f.run = r.fold AND f.vkey = {_key('r.')}""",
+        ),
+        ("conf", f"SELECT run, {hits}, {actual}, {guessed}, count(*) AS rows_all, count(*) FILTER (missed) AS rows_unmatched FROM out GROUP BY run"),
+        (
+            "perfold",
+            f"""SELECT cast(c.run as varchar) AS fold, t.n AS rows_fit, rows_all, rows_unmatched, (t0 + t1 + t2) / rows_all AS accuracy,
+  ({' + '.join(f1)}) / 3 AS macro_f1 FROM conf c JOIN tot t USING (run)""",
+        ),
+    ]
     return _with(
         ctes,
         f"""SELECT fold, {_i('rows_fit')} AS rows_fit, {_i('rows_all')} AS rows_all, {_i('rows_unmatched')} AS rows_unmatched, {_r('accuracy', 'accuracy')}, {_r('macro_f1', 'macro_f1')} FROM perfold
