@@ -209,6 +209,11 @@ def _prefix_starts(hashed: DataFrame) -> DataFrame:
     )
 
 
+def _wanted(test_size: float) -> Column:
+    """Test rows of a class."""
+    return F.greatest(F.lit(1), F.bround(F.col("rows_all") * F.lit(test_size))).cast("long")
+
+
 def _small(starts: DataFrame, digits: int) -> DataFrame:
     """At most 3 * 16**digits rows: broadcast up to 200,000, else let the join shuffle."""
     return F.broadcast(starts) if digits <= 4 else starts
@@ -230,8 +235,7 @@ def row_split(
     """
     digits = prefix_digits(frame.count()) if digits is None else digits
     hashed = _prefixed(frame, key, seed, digits)
-    wanted = F.greatest(F.lit(1), F.bround(F.col("rows_all") * F.lit(test_size))).cast("long")
-    left = wanted - F.col("rows_before")
+    left = _wanted(test_size) - F.col("rows_before")
     starts = _prefix_starts(hashed).select(
         TARGET,
         "prefix",
@@ -268,3 +272,33 @@ def stratified_folds(
         .withColumn("fold", (position % folds).cast("int"))
         .drop("order_hash", "prefix", "rows_before")
     )
+
+
+def training_folds(
+    frame: DataFrame,
+    key: str,
+    test_size: float = 0.3,
+    folds: int = 5,
+    seed: int = 42,
+    digits: int | None = None,
+) -> DataFrame:
+    """Folds of the training rows of ``row_split`` with the same seed.
+
+    Both use one order per class, so the rows after the test rows are dealt round
+    by their position, without splitting first.  Prefixes that lie wholly in the
+    test set are dropped before the shuffle.
+    """
+    digits = prefix_digits(frame.count()) if digits is None else digits
+    hashed = _prefixed(frame, key, seed, digits)
+    starts = _prefix_starts(hashed).select(
+        TARGET, "prefix", "rows_in", (F.col("rows_before") - _wanted(test_size)).alias("offset")
+    )
+    order = Window.partitionBy(TARGET, "prefix").orderBy("order_hash", key)
+    return (
+        hashed.join(_small(starts, digits), [TARGET, "prefix"])
+        .where(F.col("offset") + F.col("rows_in") > 0)
+        .withColumn("position", F.col("offset") + F.row_number().over(order) - 1)
+        .where(F.col("position") >= 0)
+        .withColumn("fold", (F.col("position") % folds).cast("int"))
+        .drop("order_hash", "prefix", "rows_in", "offset", "position")
+    )

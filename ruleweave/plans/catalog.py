@@ -315,7 +315,7 @@ def row_split_70_30(spark, sf_dir):
 @query
 def kfold_assignment(spark, sf_dir):
     frame = frames.labelled(spark, sf_dir)
-    return training.training_folds(frame, "record_id", 0.3, 5, SEED).select("record_id", "fold")
+    return split.training_folds(frame, "record_id", 0.3, 5, SEED).select("record_id", "fold")
 
 
 @query
@@ -404,7 +404,7 @@ def baseline_compare(spark, sf_dir):
 @query
 def cross_validation(spark, sf_dir):
     frame = frames.labelled(spark, sf_dir)
-    folded = training.training_folds(frame, "record_id", 0.3, 5, SEED)
+    folded = split.training_folds(frame, "record_id", 0.3, 5, SEED)
     found = settle(training.cross_validate(training.fold_cells(folded), 5))
     columns = ["rows_fit", "rows_all", "rows_unmatched", "accuracy", "macro_f1"]
     mean = found.agg(

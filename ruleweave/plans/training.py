@@ -130,16 +130,6 @@ def compare_splits(
     )
 
 
-def training_folds(
-    frame: DataFrame, key: str, test_size: float = 0.3, folds: int = 5, seed: int = 42
-) -> DataFrame:
-    """Training rows of the row-level split with their ``fold``."""
-    digits = split.prefix_digits(frame.count())
-    sides = split.row_split(frame, key, test_size, seed, digits)
-    train = sides.where(F.col("side") == "train").drop("side")
-    return split.stratified_folds(train, key, folds, seed, digits)
-
-
 def fold_cells(folded: DataFrame) -> DataFrame:
     """Cells with one run per fold."""
     return settle(mining.weigh(folded, F.col("fold")))

@@ -82,6 +82,14 @@ def test_folds_are_even(frame):
         assert max(counts) - min(counts) <= 1 and sum(counts) == sum(r[9] == label for r in ROWS)
 
 
+def test_training_folds_equal_split_then_folds(frame):
+    train = split.row_split(frame, "record_id", 0.3, 3, digits=1).where("side = 'train'").drop("side")
+    two = split.stratified_folds(train, "record_id", 5, 3, digits=1)
+    one = split.training_folds(frame, "record_id", 0.3, 5, 3, digits=2)
+    as_map = lambda rows: {r["record_id"]: r["fold"] for r in rows.collect()}
+    assert as_map(one) == as_map(two)
+
+
 def test_prefix_digits_grow_with_rows():
     assert [split.prefix_digits(n) for n in (10, 10**7, 10**9, 10**13)] == [1, 1, 3, 5]
 
