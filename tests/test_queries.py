@@ -21,7 +21,8 @@ QUICK = (
 def test_registered_names():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries)
-    assert set(queries) - set(sql) == {"history_append", "report_sinks"}
+    optional = {name for name in queries if name == "pipeline" or name.startswith("op") and name[2].isdigit()}
+    assert set(queries) - set(sql) - optional == {"history_append", "report_sinks"}
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +34,11 @@ def checker(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()) if os.environ.get("ALL_QUERIES") else QUICK)
+def every_query():
+    return sorted(set(entry.queries()) - {n for n in entry.queries() if n == "pipeline" or n.startswith("op") and n[2].isdigit()})
+
+
+@pytest.mark.parametrize("name", every_query() if os.environ.get("ALL_QUERIES") else QUICK)
 def test_query_matches_sql(spark, sf_dir, checker, name):
     frame = entry.queries()[name](spark, sf_dir)
     columns = sorted(frame.columns)
