@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleweave.llm import byte_pairs, licences, line_rules, sharding, token_files, url_rules
+from ruleweave.llm import byte_pairs, licences, line_rules, near_copies, repeated_spans, sharding, token_files, toxicity, url_rules
 from ruleweave.llm.common import table
 
 
@@ -20,10 +20,23 @@ def op3_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_group_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.measure(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_hamming_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_association_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op7_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op8_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_pairs.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -42,7 +55,10 @@ ALL = {
     for f in (
         op2_karmarkar_karp_shards,
         op3_line_frequency_rules,
+        op4_suffix_group_spans,
+        op5_hamming_near_copies,
         op6_association_url_rules,
+        op7_subword_toxicity,
         op8_two_tier_bpe,
         op9_repair_token_files,
         op10_licence_scan,
