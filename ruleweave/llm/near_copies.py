@@ -25,10 +25,13 @@ SHINGLE, SIMILAR = 5, 75
 PARTS, WIDTH = 10, 4
 #: Pairs up to this many differing positions always share a key.
 REACH = 2 * PARTS - 1
-#: Pairs that met are compared on their texts up to this distance; a pair of similarity 0.75 differs in 10 positions on average and exceeds it less than once in 500,000.
-COMPARE = 24
+#: Pairs that met are held against each other on MARKS further min-hash values of 8 bits, and on their
+#: texts up to COMPARE differing ones: similarity 0.75 gives 128 on average, and more than 180 less than once in ten million pairs.
+MARKS, COMPARE = 512, 180
 #: Members of one bucket that are compared with each other in one go; larger buckets are dealt over pairs of blocks.
 BLOCK = 512
+#: Rounds in which nodes try the nearest node of another component before all pairs that are left.
+NEAREST_ROUNDS = 2
 #: Words whose hashes a task remembers.
 REMEMBERED = 200_000
 _POSITIONS = PARTS * WIDTH
@@ -79,33 +82,37 @@ def hasher():
 def signature(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """16 bits of the least permuted hash for each factor."""
     least = np.full(len(factors), ~np.uint64(0))
-    for start in range(0, len(hashes), 4096):
-        mixed = factors[:, None] * hashes[None, start : start + 4096]
+    for start in range(0, len(hashes), 512):  # small enough to stay in the cache
+        mixed = factors[:, None] * hashes[None, start : start + 512]
         least = np.minimum(least, mixed.min(axis=1))
     least ^= least >> np.uint64(32)
     least *= np.uint64(0xC2B2AE3D27D4EB4F)
     return (least >> np.uint64(48)).astype("<u2")
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("n", pa.int64()), ("sig", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("n", pa.int64()), ("sig", pa.binary()), ("marks", pa.binary())])
 
 
 def signed(documents: DataFrame) -> DataFrame:
-    """doc_id, class (digest of the words), set size and signature of every row."""
+    """doc_id, class (digest of the words), set size, signature and marks of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, factors = hasher(), _odd_numbers(_POSITIONS)
+        hashes, factors = hasher(), _odd_numbers(MARKS)
 
         def rows():
             for doc, digest, words in rows_of(batches):
                 h = hashes(words)
-                yield doc, digest, len(h), signature(h, factors).tobytes() if len(h) else None
+                if len(h):
+                    sig = signature(h, factors)
+                    yield doc, digest, len(h), sig[:_POSITIONS].tobytes(), sig.astype(np.uint8).tobytes()
+                else:
+                    yield doc, digest, 0, None, None
 
         return batches_of(rows(), SIGNED)
 
     words = documents.select("doc_id", plain(F.col("text")).alias("words"))
     words = words.select("doc_id", F.unhex(F.md5("words")).alias("class"), "words")
-    return landed(words.mapInArrow(run, "doc_id long, class binary, n long, sig binary"), "signed")
+    return landed(words.mapInArrow(run, "doc_id long, class binary, n long, sig binary, marks binary"), "signed")
 
 
 def keys(classes: DataFrame) -> DataFrame:
@@ -129,18 +136,18 @@ def keys(classes: DataFrame) -> DataFrame:
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their signature distance, up to COMPARE."""
-    one, two = (classes.select(F.col("node").alias(c), F.col("sig").alias("sig_" + c)) for c in "ab")
+    """Pairs (a, b) that can be similar enough by set size and marks, with the marks that differ."""
+    one, two = (classes.select(F.col("node").alias(c), F.col("size").alias("n_" + c), F.col("marks").alias("m_" + c)) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, _POSITIONS) for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MARKS) for c in (2, 3))
             far = (x != y).sum(axis=1).astype(np.int64)
             near = pa.array(far <= COMPARE)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near), pa.array(far).filter(near)], ["a", "b", "far"])
 
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b")
-    return both.mapInArrow(run, "a long, b long, far long")
+    both = pairs.join(one, "a").join(two, "b").where(f"100 * least(n_a, n_b) >= {SIMILAR} * greatest(n_a, n_b)")
+    return both.select("a", "b", "m_a", "m_b").mapInArrow(run, "a long, b long, far long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -164,10 +171,23 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes of different roots that meet in a bucket and are near by signature.
+def _open_members(met: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, large buckets dealt over pairs of blocks."""
+    labelled = met.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    out = labelled.join(mixed.select("key"), "key").join(classes.select("node", "size", "marks"), "node")
+    out = out.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    out = out.withColumn("own", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return out.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "own", "size", "marks")
+
+
+def _across(members: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a, b, far) of nodes of different roots that meet in a bucket and are near by size and marks.
+
+    With `nearest` each node names just the nearest one of each group of rows.
 
-    Rows are (key, i, j, node, root, own, sig): a bucket, or a pair of its blocks.
+    Rows are (key, i, j, node, root, own, size, marks): a bucket, or a pair of its blocks.
     Within a pair of different blocks only pairs from both sides are compared.
     """
 
@@ -177,31 +197,59 @@ def _across(members: DataFrame) -> DataFrame:
                 held = list(group)
                 if len(held) < 2:
                     continue
-                node, root, own = (np.array([r[c] for r in held]) for c in (3, 4, 5))
-                sigs = np.frombuffer(b"".join(r[6] for r in held), "<u2").reshape(-1, _POSITIONS)
+                node, root, own, size = (np.array([r[c] for r in held]) for c in (3, 4, 5, 6))
+                marks = np.frombuffer(b"".join(r[7] for r in held), np.uint8).reshape(-1, MARKS)
                 for n in range(len(held)):
-                    ok = (root != root[n]) & (node > node[n])
+                    ok = (root != root[n]) & (node != node[n] if nearest else node > node[n])
+                    ok &= 100 * np.minimum(size, size[n]) >= SIMILAR * np.maximum(size, size[n])
                     if i != j:
                         ok &= own != own[n]
                     spots = np.flatnonzero(ok)
                     if len(spots):
-                        near = spots[(sigs[spots] != sigs[n]).sum(axis=1) <= COMPARE]
-                        for m in near:
-                            yield int(node[n]), int(node[m])
+                        far = (marks[spots] != marks[n]).sum(axis=1)
+                        picked = [int(far.argmin())] if nearest else range(len(spots))
+                        for m in picked:
+                            if far[m] <= COMPARE:
+                                yield int(node[n]), int(node[spots[m]]), int(far[m])
 
-        return batches_of(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        return batches_of(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64()), ("far", pa.int64())]))
 
     dealt = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, far long")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """The nearest partner of each a."""
+    best = pairs.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best"))
+    return best.select("a", F.col("best.b").alias("b"))
+
+
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return landed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+
+
+def _merge(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after further links between the components."""
+    for c in "ab":
+        known = roots.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
+        links = links.join(known, c, "left").withColumn("top_" + c, F.coalesce("root_" + c, c)).drop("root_" + c)
+    links = landed(links, "links")
+    more = components(links.select(F.col("top_a").alias("a"), F.col("top_b").alias("b")))
+    more = more.select(F.col("node").alias("old"), F.col("root").alias("top"))
+    fresh = links.select(F.col("a").alias("node"), F.col("top_a").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("top_b").alias("root")))
+    every = roots.unionByName(fresh).distinct().join(more, F.col("root") == F.col("old"), "left")
+    return landed(every.select("node", F.coalesce("top", "root").alias("root")), "roots")
 
 
 def link(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of (doc_id, text).
 
     Texts with the same words are one class, compared once.  In each bucket the
-    members are first held against one of them; buckets whose members are not all
-    connected by then have all their pairs across components compared, so no link
-    that could join two components is left out.
+    members are first held against one of them, then against the nearest of another
+    component; buckets whose members are still not all connected have every pair
+    across components compared that was not, so no link that could join two
+    components is left out.
 
     A text without words, or a null one, has no shingles and its own id as
     component.  A row with a null id takes part in linking but never names a
@@ -210,12 +258,16 @@ def link(documents: DataFrame) -> DataFrame:
     gives no rows.
     """
     rows = signed(documents)
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("marks").alias("marks"), F.first("n").alias("size"))
     classes = landed(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     met = keys(classes)
-    buckets = met.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    met = landed(met.join(buckets, "key").select("key", "node", "leader", "n"), "buckets")
+    buckets = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = landed(met.join(buckets, "key").select("key", "node", "n"), "buckets")
+    # the text that most others share keys with leads: of a family of edits that is what they were made from
+    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
+    leaders = met.join(weight, "node").groupBy("key").agg(F.max(F.struct(F.col("weight"), (-F.col("node")).alias("m"))).alias("best"))
+    leaders = leaders.select("key", (-F.col("best.m")).alias("leader"))
     nodes = met.select("node").distinct().join(classes.select("node", "class", "id"), "node")
     source = documents.select("doc_id", plain(F.col("text")).alias("words"))
     source = source.withColumn("class", F.unhex(F.md5("words"))).withColumnRenamed("doc_id", "id")
@@ -224,29 +276,17 @@ def link(documents: DataFrame) -> DataFrame:
     if not texts.isEmpty():
         texts = texts.dropDuplicates(["node"]) if texts.count() != texts.select("node").distinct().count() else texts
 
-    stars = met.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    best = _near(stars, classes).groupBy("a").agg(F.min(F.struct("far", "b")).alias("best"))
-    tried = landed(best.select("a", F.col("best.b").alias("b")), "star-pairs")
-    first = components(confirm(tried, texts))
-    first = landed(first, "star-roots")
-
-    labelled = met.join(first, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    open_ = labelled.join(mixed.select("key"), "key").join(classes.select("node", "sig"), "node")
-    open_ = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    open_ = open_.withColumn("own", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = open_.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "own", "sig")
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = landed(_across(members).join(done, ["a", "b"], "left_anti"), "cross-pairs")
-    more = confirm(left, texts)
-    for c in "ab":
-        known = first.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
-        more = more.join(known, c, "left").withColumn(c, F.coalesce("root_" + c, c)).drop("root_" + c)
-    second = components(more)
-    second = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    roots = classes.select("class", "node", "id").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = roots.join(second, "root", "left").select("class", "id", F.coalesce("top", "root").alias("root"))
+    stars = met.join(leaders, "key").where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    tried = _untried(_best(_near(stars, classes)), None)
+    links = confirm(tried, texts)
+    roots = landed(components(links), "star-roots")
+    for _ in range(NEAREST_ROUNDS):
+        near = _untried(_best(_across(_open_members(met, classes, roots), True)), tried)
+        tried = tried.unionByName(near)
+        roots = _merge(roots, confirm(near, texts))
+    left = _untried(_across(_open_members(met, classes, roots), False), tried)
+    roots = _merge(roots, confirm(left, texts))
+    roots = classes.select("class", "node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = roots.groupBy("root").agg(F.min("id").alias("component"))
     named = roots.join(names, "root").select("class", "component")
     out = rows.join(named, "class", "left")

@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleweave.llm import byte_pairs, licences, line_rules, near_copies, repeated_spans, sharding, token_files, toxicity, url_rules
+from ruleweave.llm import byte_pairs, decontaminate, licences, line_rules, near_copies, repeated_spans, sharding, token_files, toxicity, url_rules
 from ruleweave.llm.common import table
 
 
+def op1_simhash_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = {
     f.__name__: f
     for f in (
+        op1_simhash_benchmark_leaks,
         op2_karmarkar_karp_shards,
         op3_line_frequency_rules,
         op4_suffix_group_spans,
