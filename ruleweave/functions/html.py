@@ -22,13 +22,15 @@ _HIDDEN = (
     r"|(<script\b[^>]*>)(.*?)(?:</script\s*>|\z)"
     r"|(<style\b[^>]*>).*?(?:</style\s*>|\z)"
 )
+# Atomic groups and possessive quantifiers: a broken page costs one scan and no stack.
 _TAGS = (
     r"(?i)<(?:img|script|link|video|audio|a|form|input|textarea)"
-    r"(?:[\s/](?:[^>\"']+|\"[^\"]*\"|'[^']*')*)?>"
+    r"(?:[\s/](?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)?+>"
 )
+_VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s>\"']++"
 _ATTRIBUTE = (
-    r"(?is)^<[a-z]+(?:[\s/]+[^\s=>/\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?)*?"
-    r"[\s/]+{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
+    r"(?is)^<[a-z]++(?>[\s/]++(?!{name}\s*=)[^\s=>/\"']++(?:\s*+=\s*+(?:" + _VALUE + r"))?+)*+"
+    r"[\s/]++{name}\s*+=\s*+(" + _VALUE + r")"
 )
 
 

@@ -313,3 +313,19 @@ def test_provider_vectors(spark):
 
 def test_cells_cover_all_features():
     assert set(codes.CELLS) == set(FEATURES) == set(codes.ENCODING_ORDER)
+
+
+def test_hostile_markup_ends(spark):
+    from ruleweave.functions import html
+
+    pages = [
+        "<a " + "x" * 1_000_000,
+        "<img " + "a=\"b\" " * 100_000 + "src='/late'>",
+        "<img " + "bare " * 50_000 + "src=/last>",
+        "<a href=\"/one>" + "y" * 1000 + "<a title='q href=/two>",
+        "<a srcset=x href = '/three'>",
+    ]
+    frame = spark.createDataFrame(list(enumerate(pages)), "n int, html string")
+    tags = html.add_tags(frame).select("n", F.transform("tags", lambda t: F.concat(html.attribute(t["text"], "href"), html.attribute(t["text"], "src"))).alias("found"))
+    found = {r.n: r.found for r in tags.collect()}
+    assert found == {0: [], 1: ["/late"], 2: ["/last"], 3: [], 4: ["/three"]}
