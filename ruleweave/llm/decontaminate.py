@@ -12,7 +12,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,10 @@ SHINGLE, SIMILAR = 5, 0.75
 BITS, BLOCKS = 64, 16
 #: Similarity 0.75 of equal sizes turns a SimHash by 11 bits on average; the radius leaves over four deviations.
 RADIUS = 24
+#: Tokens whose word hashes a task remembers.
+REMEMBERED = 300_000
 #: Items of one pass over the documents; what is broadcast holds no more.
 ITEMS = 20_000
-REMEMBERED = 300_000
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -158,17 +159,17 @@ class Index:
 
 
 def _finder(index: Index):
-    seen: dict[str, int] = {}
+    seen: dict[str, tuple[int, ...]] = {}
 
     def find(text: str | None):
-        w = words_of(text)
-        if not w:
-            return []
+        tokens = (text or "").split()
         if len(seen) > REMEMBERED:
             seen.clear()
-        for x in set(w).difference(seen):
-            seen[x] = xxhash.xxh3_64_intdigest(x)
-        return index.leaks(shingles(np.fromiter(map(seen.__getitem__, w), np.uint64, len(w))), len(w))
+        for t in set(tokens).difference(seen):
+            seen[t] = tuple(xxhash.xxh3_64_intdigest(w) for w in words_of(t))
+        # words never reach over a blank, so the words of the tokens are those of the text
+        hashes = np.fromiter(chain.from_iterable(map(seen.__getitem__, tokens)), np.uint64)
+        return index.leaks(shingles(hashes), len(hashes)) if len(hashes) else []
 
     return find
 
