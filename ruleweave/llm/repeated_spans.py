@@ -1,10 +1,12 @@
 """Removal of passages that repeat across documents, exact to the byte.
 
 Every 50-byte window names an anchor, the 24-byte string inside it with the least
-hash; equal windows name equal anchors.  Anchors that occur in one document only
-are dropped first.  For the others the snippet of windows around each occurrence
-goes to its anchor's group, equal snippets once; a suffix order over the group's
-snippets finds the equal windows and the smallest document of each.
+hash; equal windows name equal anchors, and the snippet of all windows in a row
+that name one occurrence is digested.  Anchors with one snippet everywhere are
+settled by the smallest document that holds them, without moving any text.  For
+anchors with several snippets, as at the edges of passages, the snippets go to
+the anchor's group, equal ones once; a suffix order over the group's snippets
+finds the equal windows and the smallest document of each.
 
 Snippets of one anchor lie alike around it, so the suffix order runs over
 five-byte symbols counted from the anchor, and the few bytes of a window outside
@@ -15,11 +17,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +40,19 @@ _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFFF)
 
 
-def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """48-bit anchor hash, anchor place, first and last window start for each run of windows of one anchor."""
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    factors = np.full((2, STRETCH + LENGTH), [[int(_C1)], [pow(int(_C1), -1, 1 << 64)]], np.uint64)
+    factors[:, 0] = 1
+    return tuple(np.cumprod(factors, axis=1, dtype=np.uint64))
+
+
+def anchors(text: np.ndarray) -> tuple[np.ndarray, ...]:
+    """48-bit anchor hash, anchor place, first and last window start and 48-bit snippet digest for each run of windows of one anchor."""
     found = [_stretch(text[s : s + STRETCH + LENGTH - 1], s) for s in range(0, max(0, len(text) - LENGTH + 1), STRETCH)]
     if not found:
-        return tuple(np.empty(0, np.uint64 if k == 0 else np.int64) for k in range(4))
+        return tuple(np.empty(0, np.uint64 if k in (0, 4) else np.int64) for k in range(5))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -73,119 +83,168 @@ def _stretch(text: np.ndarray, base: int) -> tuple:
     first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
     last = np.append(first[1:], len(place)) - 1
     at = place[first]
-    return h[at] >> np.uint64(16), at + base, first + base, last + base
+    up, down = _powers()
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
+    digest = (sums[last + REACH] - sums[first]) * down[first]
+    digest ^= digest >> np.uint64(32)
+    digest *= _C2
+    digest ^= digest >> np.uint64(29)
+    digest *= _C1
+    return h[at] >> np.uint64(16), at + base, first + base, last + base, digest >> np.uint64(16)
 
 
-def _pack(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _pack(columns: list[np.ndarray], widths: list[int]) -> bytes:
+    """The low bytes of each column, one column behind the other."""
+    return b"".join(np.ascontiguousarray(c.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :w].tobytes() for c, w in zip(columns, widths))
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    wide = np.zeros((len(blob) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").reshape(-1)
+def _unpack(blobs: list[bytes], widths: list[int]) -> list[np.ndarray]:
+    """The columns of packed blobs, joined."""
+    out = []
+    for k, width in enumerate(widths):
+        before, row = sum(widths[:k]), sum(widths)
+        raw = b"".join(b[len(b) // row * before : len(b) // row * (before + width)] for b in blobs)
+        wide = np.zeros((len(raw) // width, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+        out.append(wide.view("<u8").reshape(-1))
+    return out
 
 
 BLOBS = pa.schema([("part", pa.int64()), ("cell", pa.int64()), ("blob", pa.binary())])
 
 
-def _all_anchors(rows: DataFrame, bits: int) -> DataFrame:
-    """(part, cell, blob): the anchor hashes of each document, gathered by range of hashes and cell."""
+def _all_anchors(rows: DataFrame, bits: int, low: int, width: int) -> DataFrame:
+    """(part, cell, blob): anchor hash, snippet digest and document, gathered by range of hashes and cell.
+
+    Documents are counted from ``low`` and take ``width`` bytes.  Of an anchor with
+    one digest in many documents of a cell the smallest and the largest say enough.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blobs():
-            hashes, cells, size = [], [], 0
-            for cell, text in rows_of(batches):
-                h = np.unique(anchors(np.frombuffer((text or "").encode("utf-8"), np.uint8))[0])
+            held, size = [], 0
+            for cell, doc, text in rows_of(batches):
+                h, _, _, _, digest = anchors(np.frombuffer((text or "").encode("utf-8"), np.uint8))
                 if len(h):
-                    hashes.append(h)
-                    cells.append(np.full(len(h), cell, np.int64))
+                    held.append((h, digest, np.full(len(h), doc - low, np.uint64), np.full(len(h), cell, np.int64)))
                     size += len(h)
-                if size >= 2_000_000:
-                    yield from flush(hashes, cells)
-                    hashes, cells, size = [], [], 0
+                if size >= 1_000_000:
+                    yield from flush(held)
+                    held, size = [], 0
             if size:
-                yield from flush(hashes, cells)
-
-        def flush(hashes, cells):
-            h, c = np.concatenate(hashes), np.concatenate(cells)
-            order = np.lexsort((h, c, h >> np.uint64(48 - bits)))
-            h, c = h[order], c[order]
-            # of a hash in many documents of a cell two say enough
-            same = (h[2:] == h[:-2]) & (c[2:] == c[:-2])
-            keep = np.concatenate([[True] * min(2, len(h)), ~same])
-            h, c = h[keep], c[keep]
+                yield from flush(held)
+
+        def flush(held):
+            h, digest, doc, c = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((doc, digest, h, c, h >> np.uint64(48 - bits)))
+            h, digest, doc, c = h[order], digest[order], doc[order], c[order]
+            new = (h[1:] != h[:-1]) | (digest[1:] != digest[:-1]) | (c[1:] != c[:-1])
+            first, last = np.append(True, new), np.append(new, True)
+            keep = first | last
+            h, digest, doc, c = h[keep], digest[keep], doc[keep], c[keep]
             part = (h >> np.uint64(48 - bits)).astype(np.int64)
             edges = np.flatnonzero((np.diff(part) != 0) | (np.diff(c) != 0)) + 1
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(h)]):
-                yield int(part[a]), int(c[a]), _pack(h[a:b])
+                yield int(part[a]), int(c[a]), _pack([h[a:b], digest[a:b], doc[a:b]], [6, 6, width])
 
         return batches_of(blobs(), BLOBS, most=20_000)
 
-    return rows.select("cell", "text").mapInArrow(run, "part long, cell long, blob binary")
+    return rows.select("cell", "doc_id", "text").mapInArrow(run, "part long, cell long, blob binary")
 
 
-def _repeated(blobs: DataFrame) -> DataFrame:
-    """(cell, blob): for each cell its anchor hashes that stand in two documents or more."""
+def _repeated(blobs: DataFrame, width: int) -> DataFrame:
+    """(cell, settled, open): what each cell must know of anchors that stand in two documents or more.
+
+    Settled ones have one snippet; they come with the smallest document, to cells
+    that hold them in a larger one.  Open ones have several snippets.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         cells = table.column("cell").to_numpy()
-        parts = [_unpack(b) for b in table.column("blob").to_pylist()]
-        h, c = np.concatenate(parts), np.repeat(cells, [len(p) for p in parts])
+        packed = table.column("blob").to_pylist()
+        h, digest, doc = _unpack(packed, [6, 6, width])
+        c = np.repeat(cells, [len(b) // (12 + width) for b in packed])
         order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order]
-        twin = h[1:] == h[:-1]
-        twice = np.zeros(len(h), bool)
-        twice[1:] |= twin
-        twice[:-1] |= twin
-        h, c = h[twice], c[twice]
-        order = np.argsort(c, kind="stable")
-        h, c = h[order], c[order]
-        edges = (np.flatnonzero(np.diff(c)) + 1).tolist() if len(c) else []
-        spans = list(zip([0, *edges], [*edges, len(h)])) if len(h) else []
-        return pa.table({"cell": pa.array([int(c[a]) for a, _ in spans], pa.int64()), "blob": pa.array([_pack(np.unique(h[a:b])) for a, b in spans], pa.binary())})
-
-    return blobs.groupBy("part").applyInArrow(run, "cell long, blob binary")
+        h, digest, doc, c = h[order], digest[order], doc[order], c[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+        if not len(first):
+            return pa.table({"cell": pa.array([], pa.int64()), "settled": pa.array([], pa.binary()), "open": pa.array([], pa.binary())})
+        times = np.diff(np.append(first, len(h)))
+        least = np.repeat(np.minimum.reduceat(doc, first), times)
+        twice = least < np.repeat(np.maximum.reduceat(doc, first), times)
+        one = np.repeat(np.minimum.reduceat(digest, first) == np.maximum.reduceat(digest, first), times)
+        told: dict[int, list[bytes | None]] = {}
+        for k, keep in enumerate((twice & one & (least < doc), twice & ~one)):
+            own, owner, at = h[keep], least[keep], c[keep]
+            order = np.lexsort((own, at))
+            own, owner, at = own[order], owner[order], at[order]
+            fresh = np.append(True, (own[1:] != own[:-1]) | (at[1:] != at[:-1]))[: len(own)]
+            own, owner, at = own[fresh], owner[fresh], at[fresh]
+            edges = (np.flatnonzero(np.diff(at)) + 1).tolist()
+            for a, b in zip([0, *edges], [*edges, len(own)]) if len(own) else ():
+                blob = _pack([own[a:b]], [6]) if k else _pack([own[a:b], owner[a:b]], [6, width])
+                told.setdefault(int(at[a]), [None, None])[k] = blob
+        settled, still = zip(*told.values()) if told else ((), ())
+        return pa.table({"cell": pa.array(list(told), pa.int64()), "settled": pa.array(settled, pa.binary()), "open": pa.array(still, pa.binary())})
+
+    return blobs.groupBy("part").applyInArrow(run, "cell long, settled binary, open binary")
 
 
 SNIPPETS = pa.schema(
-    [("row", pa.int64()), ("hash", pa.int64()), ("sid", pa.int64()), ("at", pa.int32()), ("lo", pa.int64()), ("bytes", pa.binary()), ("doc_id", pa.int64()), ("digest", pa.binary())]
+    [("row", pa.int64()), ("hash", pa.int64()), ("sid", pa.int64()), ("at", pa.int32()), ("lo", pa.int64()), ("bytes", pa.binary()), ("doc_id", pa.int64()), ("last", pa.int64()), ("digest", pa.binary()), ("spans", pa.binary())]
 )
-_SNIPPETS = "row long, hash long, sid long, at int, lo long, bytes binary, doc_id long, digest binary"
+_SNIPPETS = "row long, hash long, sid long, at int, lo long, bytes binary, doc_id long, last long, digest binary, spans binary"
+
 
+def _merged(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Spans of window starts with those put together whose bytes touch or overlap."""
+    gap = np.flatnonzero(lo[1:] > hi[:-1] + LENGTH)
+    return np.stack([lo[np.append(0, gap + 1)], hi[np.append(gap, len(hi) - 1)]], axis=1) if len(lo) else np.empty((0, 2), np.int64)
 
-def _snippets(rows: DataFrame, notes: DataFrame) -> DataFrame:
-    """Snippets around repeated anchors, and the text of every document that has one.
 
-    Text rows have a null hash.  Copies of a smaller document are left out, as all
-    of their bytes go anyway.  notes are (cell, doc_id, digest, blob): anchor blobs,
-    and copies by id and digest of the text.
+def _snippets(rows: DataFrame, notes: DataFrame, low: int, width: int) -> DataFrame:
+    """Texts that share an anchor with others, and the snippets of open anchors.
+
+    Text rows have a digest of the text, and the spans that settled anchors give.
+    Rows of snippets hold the bytes, each snippet once a cell, with the cell's
+    smallest and largest document; rows of places have a row and no bytes.  Copies
+    of a smaller document are left out, as all of their bytes go anyway.  notes are
+    (cell, doc_id, digest, settled, open): anchors, and copies by id and digest.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        blobs = [_unpack(b) for b in right.column("blob").to_pylist() if b is not None]
-        known = np.unique(np.concatenate(blobs)) if blobs else np.empty(0, np.uint64)
+        settled, owner = _unpack([b for b in right.column("settled").to_pylist() if b is not None], [6, width])
+        (still,) = _unpack([b for b in right.column("open").to_pylist() if b is not None], [6])
+        order = np.argsort(settled)
+        settled, owner, still = settled[order], owner[order], np.sort(still)
         copies = {(d, g) for d, g in zip(right.column("doc_id").to_pylist(), right.column("digest").to_pylist()) if g is not None}
-        out = []
-        if len(known):
-            ids, cells = left.column("doc_id").to_pylist(), left.column("cell").to_pylist()
-            for number, (doc, cell) in enumerate(zip(ids, cells)):
-                text = (left.column("text")[number].as_py() or "").encode("utf-8")
-                if len(text) < LENGTH:
-                    continue
-                digest = hashlib.md5(text, usedforsecurity=False).digest()
-                if (doc, digest) in copies:
-                    continue
-                h, at, lo, hi = anchors(np.frombuffer(text, np.uint8))
-                hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                if not hit.any():
-                    continue
-                row = cell << 24 | number
-                out.append((row, None, None, None, None, text, doc, digest))
-                for key, a, s, e in zip(h[hit].tolist(), at[hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):
-                    snippet = text[s : e + LENGTH]
-                    sid = xxhash.xxh3_64_intdigest(snippet)
-                    out.append((row, key, sid - (sid >> 63 << 64), a - s, s, snippet, doc, None))
+        out, held = [], {}
+        ids, cells = left.column("doc_id").to_pylist(), left.column("cell").to_pylist()
+        for number, (doc, cell) in enumerate(zip(ids, cells) if len(settled) or len(still) else ()):
+            text = (left.column("text")[number].as_py() or "").encode("utf-8")
+            if len(text) < LENGTH:
+                continue
+            digest = hashlib.md5(text, usedforsecurity=False).digest()
+            if (doc, digest) in copies:
+                continue
+            h, at, lo, hi, sid = anchors(np.frombuffer(text, np.uint8))
+            gone = open_ = np.zeros(len(h), bool)
+            if len(settled):
+                spot = np.minimum(np.searchsorted(settled, h), len(settled) - 1)
+                gone = (settled[spot] == h) & (owner[spot] < np.uint64(doc - low))
+            if len(still):
+                open_ = still[np.minimum(np.searchsorted(still, h), len(still) - 1)] == h
+            if not (gone.any() or open_.any()):
+                continue
+            row = cell << 24 | number
+            spans = _merged(lo[gone], hi[gone]).astype("<i8").tobytes()
+            out.append((row, None, None, None, None, text, doc, None, digest, spans))
+            for key, name, a, s, e in zip(*(x[open_].tolist() for x in (h, sid, at, lo, hi))):
+                out.append((row, key, name, None, s, None, doc, None, None, None))
+                known = held.setdefault((key, name), [a - s, text[s : e + LENGTH], doc, doc])
+                known[2:] = min(known[2], doc), max(known[3], doc)
+        for (key, name), (at, snippet, first, last) in held.items():
+            out.append((None, key, name, at, None, snippet, first, last, None, None))
         columns = zip(*out) if out else [[] for _ in SNIPPETS]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, SNIPPETS)], schema=SNIPPETS)
 
@@ -256,7 +315,7 @@ def _owned(distinct: DataFrame) -> DataFrame:
     """(hash, sid, from, to, owner): runs of windows of a snippet that a smaller document has too.
 
     Rows are distinct snippets (hash, sid, at, bytes) with the first and last
-    document that holds them.
+    document that holds them, dealt by hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +350,7 @@ def _owned(distinct: DataFrame) -> DataFrame:
 
         return batches_of(rows(), OWNED, most=20_000)
 
-    dealt = distinct.repartition("hash").sortWithinPartitions("hash").select("hash", "sid", "at", "bytes", "first", "last")
+    dealt = distinct.sortWithinPartitions("hash").select("hash", "sid", "at", "bytes", "first", "last")
     return dealt.mapInArrow(run, "hash long, sid long, from int, to int, owner long")
 
 
@@ -303,12 +362,17 @@ def _cut(texts: DataFrame, spans: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for doc, digest, text, own in rows_of(batches):
+            for doc, digest, text, own, listed in rows_of(batches):
                 steps = np.zeros(len(text) + 1, np.int64)
-                for span in own:
+                for lo, hi in np.frombuffer(own, "<i8").reshape(-1, 2).tolist():
+                    steps[lo] += 1
+                    steps[hi + LENGTH] -= 1
+                for span in listed or ():
                     steps[span["lo"]] += 1
                     steps[span["hi"] + LENGTH] -= 1
                 gone = np.cumsum(steps[:-1]) > 0
+                if not gone.any():
+                    continue
                 data = np.frombuffer(text, np.uint8)
                 edges = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 head = (data & 0xC0) != 0x80  # a character goes if all of its bytes do
@@ -318,8 +382,8 @@ def _cut(texts: DataFrame, spans: DataFrame) -> DataFrame:
 
         return batches_of(rows(), REMOVED)
 
-    listed = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # at most a text's own windows
-    both = texts.join(listed, "row").select("doc_id", "digest", "bytes", "spans")
+    listed = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("listed"))  # at most a text's own windows
+    both = texts.join(listed, "row", "left").select("doc_id", "digest", "bytes", "spans", "listed")
     return both.mapInArrow(run, "doc_id long, digest binary, n_removed long, n_spans long, left binary, text string")
 
 
@@ -329,26 +393,32 @@ def find(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     n_bytes = F.octet_length(text).cast("long")
     facts = documents.select("doc_id", F.unhex(F.md5(text)).alias("digest"), n_bytes.alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("whole"))
     facts = landed(facts, "span-facts")
-    total = facts.agg(F.sum("n_bytes")).first()[0] or 0
+    total, low, high = facts.agg(F.sum("n_bytes"), F.min("doc_id"), F.max("doc_id")).first()
+    total, low, high = total or 0, low or 0, high or 0
+    width = max(1, ((high - low).bit_length() + 7) // 8)
     cells = max(64, total // CELL_BYTES)
     bits = max(4, int(total * 2 // (REACH + 1) // RANGE_ANCHORS).bit_length())
     cell = F.expr(f"pmod(xxhash64(doc_id, coalesce(text, '')), {cells})").alias("cell")
-    rows = documents.select("doc_id", "text", cell)
+    rows = documents.where("doc_id is not null").select("doc_id", "text", cell)
 
     first = facts.where(F.col("n_bytes") >= LENGTH).groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     first = first.where("first < last").select("digest", "first")
     copies = landed(facts.join(first, "digest").where("first < doc_id").select("doc_id", "digest").distinct(), "span-copies")
     keyed = documents.select("doc_id", cell, F.unhex(F.md5(text)).alias("digest"))
-    noted = keyed.join(copies, ["doc_id", "digest"], "left_semi").select("cell", "doc_id", "digest", F.lit(None).cast("binary").alias("blob"))
-    known = _repeated(_all_anchors(rows, bits)).select("cell", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest"), "blob")
-    found = landed(_snippets(rows, known.unionByName(noted)), "snippets")
-
-    snippets = found.where("hash is not null and doc_id is not null")
-    distinct = snippets.groupBy("hash", "sid", "at", "bytes").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    nothing = F.lit(None).cast("binary")
+    noted = keyed.join(copies, ["doc_id", "digest"], "left_semi").select("cell", "doc_id", "digest", nothing.alias("settled"), nothing.alias("open"))
+    known = _repeated(_all_anchors(rows, bits, low, width), width)
+    known = known.select("cell", F.lit(None).cast("long").alias("doc_id"), nothing.alias("digest"), "settled", "open")
+    found = landed(_snippets(rows, known.unionByName(noted), low, width), "snippets")
+
+    # dealt by anchor once: cells have put equal snippets together already
+    snippets = found.where("row is null").select("hash", "sid", "at", "bytes", "doc_id", "last").repartition("hash")
+    distinct = snippets.groupBy("hash", "sid", "at", "bytes").agg(F.min("doc_id").alias("first"), F.max("last").alias("last"))
     owned = landed(_owned(distinct), "owned")
-    places = snippets.select("hash", "sid", "row", "lo", "doc_id").join(owned, ["hash", "sid"]).where("owner < doc_id")
+    places = found.where("row is not null and hash is not null").select("hash", "sid", "row", "lo", "doc_id")
+    places = places.join(owned, ["hash", "sid"]).where("owner < doc_id")
     spans = places.select("row", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
-    changed = _cut(found.where("hash is null"), spans)
+    changed = _cut(found.where("hash is null").select("row", "doc_id", "digest", "bytes", "spans"), spans)
     return facts, copies, landed(changed, "cut-texts")
 
 
