@@ -39,16 +39,21 @@ class Mining:
                 raise ValueError(f"{name}={value} is out of range")
 
 
+def record_key() -> Column:
+    """Key of a labelled row; an error if a feature or the target is not in the shared domain."""
+    bad = F.raise_error(F.lit("Labelled rows have missing or invalid values; see validate.invalid_values"))
+    return F.when(keys.pack().isNotNull() & F.col(TARGET).isin(*CLASSES), keys.pack()).otherwise(bad)
+
+
 def weigh(frame: DataFrame, run: Column | str = MODEL) -> DataFrame:
     """Labelled rows to ``run, key`` and one row count per class.
 
-    Rows outside the shared domain have no key and are left out; validate
-    first where they must be an error.
+    A missing value or one outside the shared domain ends the job with an error,
+    found in the same pass; no row is left out.
     """
     run = F.lit(run) if isinstance(run, str) else run
     return (
-        frame.select(run.cast("string").alias("run"), keys.pack().alias("key"), F.col(TARGET))
-        .where(F.col("key").isNotNull() & F.col(TARGET).isin(*CLASSES))
+        frame.select(run.cast("string").alias("run"), record_key().alias("key"), F.col(TARGET))
         .groupBy("run", "key")
         .agg(*[F.count_if(F.col(TARGET) == c).alias(name) for c, name in CLASS_COUNTS.items()])
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ruleweave.contract import CLASS_COUNTS, FEATURES, TARGET
 from ruleweave.functions import keys
-from ruleweave.operators.mining import COUNTS, weigh
+from ruleweave.operators.mining import COUNTS, record_key, weigh
 from ruleweave.session import settle
 
 ROWS_PER_PREFIX = 1_000_000
@@ -98,6 +98,7 @@ def regroup(groups: DataFrame, run: Column) -> DataFrame:
 def group_split(frame: DataFrame, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Rows with their ``side``; no exact record is on both sides.
 
+    A row with a missing or invalid value ends the job with an error.
     """
     return place_rows(frame, assign_groups(weigh(frame), test_size, seed))
 
@@ -110,7 +111,7 @@ def place_rows(frame: DataFrame, groups: DataFrame) -> DataFrame:
     """
     sides = groups.select("key", F.col("class").alias(TARGET), "side")
     return (
-        frame.withColumn("key", keys.pack())
+        frame.withColumn("key", record_key())
         .join(F.broadcast(sides), ["key", TARGET])
         .drop("key")
     )
@@ -193,16 +194,21 @@ def prefix_digits(rows: int) -> int:
 
 
 def _prefixed(frame: DataFrame, key: str, seed: int, digits: int) -> DataFrame:
-    hashed = frame.withColumn("order_hash", seeded_hash(seed, F.col(key)))
+    """Rows with their class as ``stratum``; rows without one form a class of their own.
+
+    A missing key counts as an empty text.
+    """
+    hashed = frame.withColumn("order_hash", seeded_hash(seed, F.coalesce(F.col(key), F.lit(""))))
+    hashed = hashed.withColumn("stratum", F.coalesce(F.col(TARGET).cast("string"), F.lit("")))
     return hashed.withColumn("prefix", F.substring("order_hash", 1, digits))
 
 
 def _prefix_starts(hashed: DataFrame) -> DataFrame:
     """Per class and hash prefix: its rows, the rows before it and all rows."""
-    by_class = Window.partitionBy(TARGET)
+    by_class = Window.partitionBy("stratum")
     before = by_class.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     return settle(
-        hashed.groupBy(TARGET, "prefix")
+        hashed.groupBy("stratum", "prefix")
         .agg(F.count("*").alias("rows_in"))
         .withColumn("rows_before", F.coalesce(F.sum("rows_in").over(before), F.lit(0)))
         .withColumn("rows_all", F.sum("rows_in").over(by_class))
@@ -237,12 +243,12 @@ def row_split(
     hashed = _prefixed(frame, key, seed, digits)
     left = _wanted(test_size) - F.col("rows_before")
     starts = _prefix_starts(hashed).select(
-        TARGET,
+        "stratum",
         "prefix",
         F.when(left <= 0, 0).when(left >= F.col("rows_in"), -1).otherwise(left).alias("test_rows"),
     )
-    placed = hashed.join(_small(starts, digits), [TARGET, "prefix"])
-    order = Window.partitionBy(TARGET, "prefix").orderBy("order_hash", key)
+    placed = hashed.join(_small(starts, digits), ["stratum", "prefix"])
+    order = Window.partitionBy("stratum", "prefix").orderBy("order_hash", key)
     whole = placed.where(F.col("test_rows") <= 0).withColumn(
         "side", F.when(F.col("test_rows") == -1, "test").otherwise("train")
     )
@@ -252,7 +258,7 @@ def row_split(
         .withColumn("side", F.when(F.col("place") <= F.col("test_rows"), "test").otherwise("train"))
         .drop("place")
     )
-    return whole.unionByName(cut).drop("order_hash", "prefix", "test_rows")
+    return whole.unionByName(cut).drop("order_hash", "stratum", "prefix", "test_rows")
 
 
 def stratified_folds(
@@ -264,13 +270,13 @@ def stratified_folds(
     """
     digits = prefix_digits(frame.count()) if digits is None else digits
     hashed = _prefixed(frame, key, seed, digits)
-    starts = _prefix_starts(hashed).select(TARGET, "prefix", "rows_before")
-    order = Window.partitionBy(TARGET, "prefix").orderBy("order_hash", key)
+    starts = _prefix_starts(hashed).select("stratum", "prefix", "rows_before")
+    order = Window.partitionBy("stratum", "prefix").orderBy("order_hash", key)
     position = F.col("rows_before") + F.row_number().over(order) - 1
     return (
-        hashed.join(_small(starts, digits), [TARGET, "prefix"])
+        hashed.join(_small(starts, digits), ["stratum", "prefix"])
         .withColumn("fold", (position % folds).cast("int"))
-        .drop("order_hash", "prefix", "rows_before")
+        .drop("order_hash", "stratum", "prefix", "rows_before")
     )
 
 
@@ -291,14 +297,14 @@ def training_folds(
     digits = prefix_digits(frame.count()) if digits is None else digits
     hashed = _prefixed(frame, key, seed, digits)
     starts = _prefix_starts(hashed).select(
-        TARGET, "prefix", "rows_in", (F.col("rows_before") - _wanted(test_size)).alias("offset")
+        "stratum", "prefix", "rows_in", (F.col("rows_before") - _wanted(test_size)).alias("offset")
     )
-    order = Window.partitionBy(TARGET, "prefix").orderBy("order_hash", key)
+    order = Window.partitionBy("stratum", "prefix").orderBy("order_hash", key)
     return (
-        hashed.join(_small(starts, digits), [TARGET, "prefix"])
+        hashed.join(_small(starts, digits), ["stratum", "prefix"])
         .where(F.col("offset") + F.col("rows_in") > 0)
         .withColumn("position", F.col("offset") + F.row_number().over(order) - 1)
         .where(F.col("position") >= 0)
         .withColumn("fold", (F.col("position") % folds).cast("int"))
-        .drop("order_hash", "prefix", "rows_in", "offset", "position")
+        .drop("order_hash", "stratum", "prefix", "rows_in", "offset", "position")
     )

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import frame_of, random_rows
-from ruleweave.contract import FEATURES, HISTORY_SCHEMA, RECORD
+from ruleweave.contract import FEATURES, HISTORY_SCHEMA, RECORD, TARGET
 from ruleweave.operators import evaluate, explain, fingerprint, history, mining, scoring, split
 from ruleweave.operators.mining import Mining
 from ruleweave.plans import training
@@ -334,3 +334,14 @@ def test_stream_pages(spark, tmp_path):
     )
     query.awaitTermination()
     assert {tuple(r["anchor_hrefs"]) for r in spark.table("seen_pages").collect()} == {("/x",), ()}
+
+
+def test_no_row_leaves_splits_unseen(spark):
+    good = spark.range(60).select(F.concat(F.lit("r"), "id").alias("record_id"), *[F.lit(1).alias(f) for f in FEATURES], F.expr("cast(id % 3 - 1 as int)").alias(TARGET))
+    odd = good.limit(9).withColumn(TARGET, F.lit(None).cast("int")).withColumn("record_id", F.lit(None).cast("string"))
+    frame = good.unionByName(odd)
+    assert split.row_split(frame, "record_id", 0.3, 7).count() == 69
+    assert split.stratified_folds(frame, "record_id", 5, 3).count() == 69
+    for call in (lambda: split.group_split(frame).count(), lambda: mining.weigh(frame).count(), lambda: mining.weigh(good.withColumn(FEATURES[0], F.lit(7))).count()):
+        with pytest.raises(Exception, match="missing or invalid values"):
+            call()
