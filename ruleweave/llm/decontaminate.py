@@ -127,7 +127,9 @@ class Index:
         """(item, start, words, distance, similarity): the best window of each item that a text holds."""
         spots = np.flatnonzero(self.table[(h >> np.uint64(44)).astype(np.int64)])
         if len(spots):
-            spots = spots[np.isin(h[spots], self.known)]
+            own = h[spots]
+            near = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+            spots = spots[self.known[near] == own]
         if not len(spots):
             return []
         starts, covered = defaultdict(set), defaultdict(set)
