@@ -175,36 +175,48 @@ def _open_members(met: DataFrame, classes: DataFrame, roots: DataFrame) -> DataF
     """The members of buckets that hold several components, large buckets dealt over pairs of blocks."""
     labelled = met.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    out = labelled.join(mixed.select("key"), "key").join(classes.select("node", "size", "marks"), "node")
+    out = labelled.join(mixed.select("key"), "key").join(classes.select("node", "size", "marks", "sig"), "node")
     out = out.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     out = out.withColumn("own", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return out.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "own", "size", "marks")
+    return out.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "own", "size", "marks", "sig")
+
+
+def _first_met(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The position of the first key that a signature shares with each of the others."""
+    equal = (own == others).reshape(-1, PARTS, WIDTH)
+    shared = equal.sum(axis=2, keepdims=True) - equal == WIDTH - 1  # all but the position left out
+    return shared.reshape(-1, _POSITIONS).argmax(axis=1)
 
 
 def _across(members: DataFrame, nearest: bool) -> DataFrame:
     """Pairs (a, b, far) of nodes of different roots that meet in a bucket and are near by size and marks.
 
     With `nearest` each node names just the nearest one of each group of rows.
+    Nodes that meet in several buckets are compared in the first one alone: all
+    buckets in which nodes of different roots meet are here.
 
-    Rows are (key, i, j, node, root, own, size, marks): a bucket, or a pair of its blocks.
+    Rows are (key, i, j, node, root, own, size, marks, sig): a bucket, or a pair of its blocks.
     Within a pair of different blocks only pairs from both sides are compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for (_, i, j), group in groupby(rows_of(batches), key=lambda r: r[:3]):
+            for (key, i, j), group in groupby(rows_of(batches), key=lambda r: r[:3]):
                 held = list(group)
                 if len(held) < 2:
                     continue
                 node, root, own, size = (np.array([r[c] for r in held]) for c in (3, 4, 5, 6))
                 marks = np.frombuffer(b"".join(r[7] for r in held), np.uint8).reshape(-1, MARKS)
+                sigs = np.frombuffer(b"".join(r[8] for r in held), "<u2").reshape(-1, _POSITIONS)
                 for n in range(len(held)):
                     ok = (root != root[n]) & (node != node[n] if nearest else node > node[n])
                     ok &= 100 * np.minimum(size, size[n]) >= SIMILAR * np.maximum(size, size[n])
                     if i != j:
                         ok &= own != own[n]
                     spots = np.flatnonzero(ok)
+                    if len(spots):
+                        spots = spots[_first_met(sigs[n], sigs[spots]) == key >> 16 * (WIDTH - 1)]
                     if len(spots):
                         far = (marks[spots] != marks[n]).sum(axis=1)
                         picked = [int(far.argmin())] if nearest else range(len(spots))
