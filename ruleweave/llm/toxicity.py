@@ -36,8 +36,15 @@ _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»
 def subwords(token: str) -> list[int]:
     """Hash buckets of a word and its n-grams, edges marked."""
     word = "<" + (token.strip(_EDGE) or token) + ">"
-    grams = {word} | {word[i : i + n] for n in GRAMS for i in range(len(word) - n + 1)}
-    return [zlib.crc32(g.encode("utf-8")) % BUCKETS for g in sorted(grams)]
+    ascii_only = word.isascii()
+    if ascii_only:
+        word = word.encode("ascii")
+    grams = {word}
+    for n in GRAMS:
+        grams.update([word[i : i + n] for i in range(len(word) - n + 1)])
+    if not ascii_only:
+        grams = [g.encode("utf-8") for g in grams]
+    return [crc % BUCKETS for crc in sorted(map(zlib.crc32, grams))]
 
 
 def segments(n: int) -> np.ndarray:
@@ -53,10 +60,11 @@ class Model:
 
     def scorer(self):
         seen: dict[str, float] = {}
-        weight, bias = self.weight, self.bias
+        weight, bias = self.weight.tolist(), self.bias
 
         def word(token: str) -> float:
-            return float(weight[subwords(token)].mean())
+            own = subwords(token)
+            return sum(map(weight.__getitem__, own)) / len(own)
 
         def score(text: str) -> float:
             tokens = text.lower().split()
