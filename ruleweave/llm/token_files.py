@@ -170,7 +170,7 @@ class Library:
 
             def ids_of(chunks: list[str]) -> list[tuple[int, ...]]:
                 # one call for all: a chunk starts with a blank, where the library cuts too
-                ids = tokenizer.encode("".join(chunks), add_special_tokens=False).ids
+                ids = tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids  # without offsets
                 ends = np.cumsum(width[ids]) if ids else np.empty(0, np.int64)
                 stops = np.searchsorted(ends, np.cumsum([len(c.encode("utf-8")) for c in chunks]), "left") + 1
                 return [tuple(ids[a:b]) for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
