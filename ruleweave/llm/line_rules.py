@@ -13,13 +13,14 @@ from ruleweave.llm.common import BLANKS, landed, let
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
-#: A line is boilerplate of a host if it stands in this many distinct texts and in this share of them.
-MIN_TEXTS, MAX_SHARE = 20, 0.2
+#: A line is boilerplate of a host if it stands in this many distinct texts, however many the host has: texts written
+#: apart do not share whole lines, and a template of one part of a large host is as much a template as that of a small host.
+MIN_TEXTS = 20
 #: A document is depleted if less than this share of its words stays without such lines.
 MIN_LEFT = 0.5
 SYMBOLS = "#*$%&|<>"
-#: Frequent lines up to this number are broadcast; more go by shuffle.
-BROADCAST_LINES = 200_000
+#: Frequent lines up to this number, and up to this number of one host, are broadcast; more go by shuffle.
+BROADCAST_LINES, HOST_LINES = 200_000, 2_000
 _GAP = "[ \\t-\\r]+"
 
 
@@ -87,18 +88,17 @@ def _keys(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(text, "\n"), line_key), lambda x: x.isNotNull()))
 
 
-def frequent_lines(documents: DataFrame, host: str = "source", min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE) -> DataFrame:
+def frequent_lines(documents: DataFrame, host: str = "source", min_texts: int = MIN_TEXTS) -> DataFrame:
     """(host, line) of line hashes that stand in too many distinct texts of a host.
 
     Copies of a text count once, so that a group of copies alone makes no line
-    frequent.  Null hosts are a host of their own.
+    frequent.  The limit is a number of texts, not a share, so it does not grow
+    with the host.  Null hosts are a host of their own.
     """
     texts = documents.where(F.col("text").isNotNull()).select(F.col(host).alias("host"), F.xxhash64("text").alias("same"), "text")
     pairs = texts.select("host", "same", F.explode(_keys(F.col("text"))).alias("line"))
     counted = pairs.groupBy("host", "line").agg(F.countDistinct("same").alias("n")).where(F.col("n") >= min_texts)
-    totals = texts.groupBy("host").agg(F.countDistinct("same").alias("all"))
-    joined = counted.alias("c").join(totals.alias("t"), F.expr("c.host <=> t.host"))
-    return landed(joined.where(F.col("n") > max_share * F.col("all")).select("c.host", "line"), "frequent-lines")
+    return landed(counted.select("host", "line"), "frequent-lines")
 
 
 def judge(documents: DataFrame, host: str = "source", min_left: float = MIN_LEFT) -> DataFrame:
@@ -110,7 +110,8 @@ def judge(documents: DataFrame, host: str = "source", min_left: float = MIN_LEFT
     """
     frequent = frequent_lines(documents, host)
     measured = base_measures(documents)
-    if frequent.count() <= BROADCAST_LINES:
+    lines, most = frequent.groupBy("host").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    if lines <= BROADCAST_LINES and most <= HOST_LINES:
         by_host = frequent.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_lines"))
         measured = measured.join(F.broadcast(by_host), F.col(host).eqNullSafe(F.col("_host")), "left")
     else:

@@ -72,3 +72,12 @@ def test_boilerplate(spark, monkeypatch):
 def test_measures_on_test_tables(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").collect()]
     same(spark, [r for r in rows if len(r[1] or "") < 6000])
+
+
+def test_limit_does_not_grow_with_the_host(spark):
+    footer = "Subscribe to the letters of this part of the site today and read more of them"
+    rows = [(i, f"alpha{i} beta{i}\n" + footer, "large") for i in range(20)]
+    rows += [(100 + i, prose(500 + i, 30), "large") for i in range(300)]
+    judged = {r.doc_id: r for r in line_rules.judge(docs_frame(spark, rows)).collect()}
+    assert all(judged[i].n_left_words == 2 and not judged[i].kept for i in range(20))
+    assert all(judged[100 + i].kept for i in range(300))
