@@ -16,8 +16,8 @@ from ruleweave.llm.common import landed, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return line_rules.judge(docs).where("kept").select(docs.columns)
+    """Documents that the quality rules keep, without the frequent lines of their source."""
+    return line_rules.clean(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

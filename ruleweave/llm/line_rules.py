@@ -102,9 +102,10 @@ def frequent_lines(documents: DataFrame, host: str = "source", min_texts: int =
 
 
 def judge(documents: DataFrame, host: str = "source", min_left: float = MIN_LEFT) -> DataFrame:
-    """Every row with its measures, n_left_words and kept; other columns stay.
+    """Every row with its measures, left_text, n_left_words and kept; other columns stay.
 
-    A row is rejected if its base measures fail, or if fewer than MIN_WORDS words
+    left_text is the text without frequent lines, the others in their order; a
+    text without frequent lines stays as it is, null too.  A row is rejected if its base measures fail, or if fewer than MIN_WORDS words
     or less than `min_left` of its words stand outside frequent lines.  Rows with
     equal texts of one host get equal results; an empty table stays empty.
     """
@@ -124,12 +125,18 @@ def judge(documents: DataFrame, host: str = "source", min_left: float = MIN_LEFT
 
     def left(bad: Column) -> Column:
         lines = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains(bad, line_key(x)), F.lit(False)))
-        return F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.size(words(x)))
+        return F.array_join(lines, "\n")
 
     bad = F.array_intersect(_keys(text), F.col("_lines"))
-    stay = F.when(F.col("_lines").isNull(), F.col("n_words")).otherwise(
-        let(bad, lambda b: F.when(F.size(b) == 0, F.col("n_words")).otherwise(left(b)))
-    )
-    measured = measured.withColumn("n_left_words", stay).drop("_lines", "_host")
+    cut = F.when(F.col("_lines").isNotNull(), let(bad, lambda b: F.when(F.size(b) > 0, left(b))))
+    measured = measured.withColumn("_left", cut).drop("_lines", "_host")
+    n_left = F.when(F.col("_left").isNull(), F.col("n_words")).otherwise(F.size(words(F.col("_left"))).cast("long"))
+    measured = measured.withColumns({"n_left_words": n_left, "left_text": F.coalesce("_left", "text")}).drop("_left")
     depleted = (F.col("n_left_words") < MIN_WORDS) | (F.col("n_left_words") < min_left * F.col("n_words"))
     return measured.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+def clean(documents: DataFrame, host: str = "source", min_left: float = MIN_LEFT) -> DataFrame:
+    """The kept rows, `text` without frequent lines; other columns stay."""
+    kept = judge(documents, host, min_left).where("kept").withColumn("text", F.col("left_text"))
+    return kept.select(documents.columns)

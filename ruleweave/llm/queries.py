@@ -20,7 +20,7 @@ def op2_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left_words"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left_words", "left_text"
     )
 
 

@@ -81,3 +81,28 @@ def test_limit_does_not_grow_with_the_host(spark):
     judged = {r.doc_id: r for r in line_rules.judge(docs_frame(spark, rows)).collect()}
     assert all(judged[i].n_left_words == 2 and not judged[i].kept for i in range(20))
     assert all(judged[100 + i].kept for i in range(300))
+
+
+def test_lines_are_taken_out(spark, monkeypatch):
+    footer = "Menu 2024  home"
+    rows = [(i, f"{prose(i, 20)}\n{footer}\n\n{prose(100 + i, 20)}\r\nMENU {1000 + i} home ", "h") for i in range(25)]
+    rows += [(50, footer + "\n" + prose(60, 20), "other"), (51, prose(61, 20), "h"), (52, None, "h")]
+    want = {i: f"{prose(i, 20)}\n\n{prose(100 + i, 20)}\r" for i in range(25)} | {50: rows[25][1], 51: rows[26][1]}
+    for most in (line_rules.BROADCAST_LINES, -1):
+        monkeypatch.setattr(line_rules, "BROADCAST_LINES", most)
+        judged = {r.doc_id: r for r in line_rules.judge(docs_frame(spark, rows)).collect()}
+        assert {i: r.left_text for i, r in judged.items()} == want | {52: None}
+        assert all(r.n_left_words == len(WORD.findall(r.left_text or "")) for r in judged.values())
+        cleaned = line_rules.clean(docs_frame(spark, rows))
+        assert cleaned.columns == docs_frame(spark, rows).columns
+        assert {r.doc_id: r.text for r in cleaned.collect()} == {i: t for i, t in want.items() if judged[i].kept}
+
+
+def test_pipeline_stage_takes_lines_out(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"{prose(i, 40)}\nall rights of this page are kept", "h") for i in range(20)]
+    frame = docs_frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    got = [tuple(r) for r in corpus_pipeline.quality_rules(spark, frame, "").select("doc_id", "text", "n_chars").collect()]
+    judged = {d: prose(d, 40) for d, *m in brute(rows) if not m[5]}
+    assert judged and sorted(got) == sorted((d, t, len(t)) for d, t in judged.items())
