@@ -52,8 +52,9 @@ UNKNOWN = 0.5
 EXCEPTION = 0.2
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_EXPRESSION = re.compile(r"SPDX-License-Identifier[ \t]*:[ \t]*([A-Za-z0-9.+\-() \t]*)", re.IGNORECASE)
+_TAG = re.compile(r"SPDX-License-Identifier[ \t]*:", re.IGNORECASE)
 _SYMBOL = re.compile(r"[()]|[A-Za-z0-9.+\-]+")
+_NEXT = re.compile(rf"[ \t]*({_SYMBOL.pattern})")
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
 
 SCHEMA = pa.schema(
@@ -123,6 +124,34 @@ def evaluate(expression: str) -> tuple[set[str], float] | None:
     return output[0] if len(output) == 1 and not operand else None
 
 
+def leading(text: str, at: int = 0) -> str:
+    """The longest complete licence expression that starts at a place of a text, or ''.
+
+    Reading ends at the first symbol that cannot continue an expression: words
+    after it, a comment end such as `--`, the end of a sentence or of the line.
+    """
+    start = whole = at
+    depth, operand = 0, True  # open brackets; whether an operand has to come next
+    while found := _NEXT.match(text, at):
+        symbol, at = found[1], found.end()
+        name = symbol if symbol in "()" else symbol.rstrip(".-")
+        word = name.lower()
+        if not name or operand != (word != ")" and word not in _STRENGTH) or word == ")" and not depth:
+            break
+        if word in _STRENGTH:
+            operand = True
+        elif word == "(":
+            depth += 1
+        else:
+            depth -= word == ")"
+            operand = False
+        if not depth and not operand:
+            whole = found.start(1) + len(name)
+        if name != symbol:
+            break
+    return text[start:whole]
+
+
 def automaton():
     """All phrases, with a blank on either side."""
     found: dict[str, list] = {}
@@ -143,7 +172,7 @@ def scan_text(text: str | None, tree) -> tuple:
     text = text or ""
     words = text.encode("utf-8").translate(_FOLD).split()
     line = (b" " + b" ".join(words) + b" ").decode("utf-8")
-    places, base, labels, freest, tagged = [], set(), set(), [], False
+    places, base, labels, tagged = [], set(), set(), False
     at = word = 0
     for end, (length, meanings) in tree.iter(line):
         start = end - length + 1
@@ -161,15 +190,15 @@ def scan_text(text: str | None, tree) -> tuple:
                 places.append(here)
                 base.add(label)
             labels.add(label)
+    # labels from expressions are weighed with their operators, those of notices bind all
+    weights = [freedom(x) for x in labels]
     if tagged:
-        for expression in _EXPRESSION.findall(text):
-            value = evaluate(expression)
+        for tag in _TAG.finditer(text):
+            value = evaluate(leading(text, tag.end()))
             if value:
                 labels |= value[0]
-                freest.append(value[1])
-    # labels from expressions were weighed with their operators, the others bind all
-    plain = [freedom(x) for x in labels] if not freest else freest + [freedom(x) for x in base]
-    score = min(plain) if plain else 0.0
+                weights.append(value[1])
+    score = min(weights, default=0.0)
     return (
         len(words), len(places), min(places) if places else None, max(places) if places else None,
         ",".join(sorted(base)), ",".join(sorted(labels)), score,
@@ -183,8 +212,9 @@ def scan(documents: DataFrame) -> DataFrame:
     ASCII.  n_base counts all places of the base phrases, overlapping ones too;
     labels holds the base labels, those of other notices and those of identifier
     expressions.  score is how freely the text may be used (0 to 1): the least
-    free of its notices, 0 without any; an expression that cannot be parsed adds
-    nothing.  A null text is empty.  Repeated rows and null ids are kept as they
+    free of its notices and expressions, 0 without any.  An expression is read up
+    to the first symbol that cannot continue it; one without a complete beginning
+    adds nothing.  A null text is empty.  Repeated rows and null ids are kept as they
     are; other columns are ignored; no rows give no rows.
     """
 

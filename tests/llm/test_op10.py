@@ -60,3 +60,24 @@ def test_notices():
     assert row[5] == "all-rights-reserved,gpl,gpl-3" and row[1] == 0
     row = licences.scan_text("// SPDX-License-Identifier: MIT OR GPL-2.0\n", tree)
     assert row[5] == "gpl-2.0,mit" and row[6] == 1.0
+
+
+@pytest.mark.parametrize(
+    ("text", "labels", "score"),
+    [
+        ("<!-- SPDX-License-Identifier: MIT -->", "mit", 1.0),
+        ("# SPDX-License-Identifier: MIT Copyright 2020 X", "mit", 1.0),
+        ("SPDX-License-Identifier: MIT-->", "mit", 1.0),
+        ("SPDX-License-Identifier: (MIT OR GPL-2.0+) AND BSD-3-Clause. See the file", "bsd-3-clause,gpl-2.0+,mit", 1.0),
+        ("SPDX-License-Identifier: MIT AND (GPL-2.0 -->", "mit", 1.0),
+        ("SPDX-License-Identifier: MIT OR", "mit", 1.0),
+        ("SPDX-License-Identifier: (MIT", "", 0.0),
+        ("SPDX-License-Identifier: MIT) x", "mit", 1.0),
+        ("SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-3.0", "gpl-3.0,mit", 0.4),
+        ("SPDX-License-Identifier: -->\nMIT", "", 0.0),
+        ("SPDX-License-Identifier: MIT\nGNU General Public License version 3", "gpl,gpl-3,mit", 0.4),
+    ],
+)
+def test_expressions_in_text(text, labels, score):
+    row = licences.scan_text(text, licences.automaton())
+    assert row[5] == labels and abs(row[6] - score) < 1e-9
