@@ -45,11 +45,10 @@ def tridiagonal(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def below(diagonal: np.ndarray, off: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Sturm counts: eigenvalues of the tridiagonal matrix smaller than each point."""
     least = np.finfo(float).tiny + EPS * EPS * (np.abs(off).max(initial=0) ** 2)
-    q = diagonal[0] - points
-    count = (q < 0).astype(int)
-    for d, e in zip(diagonal[1:], off):
-        q = np.where(np.abs(q) < least, -least, q)
+    q, count = np.ones(len(points)), np.zeros(len(points), int)
+    for d, e in zip(diagonal, np.insert(off, 0, 0)):
         q = d - points - e * e / q
+        q = np.where(np.abs(q) < least, -least, q)  # a pivot of zero counts as negative
         count += q < 0
     return count
 
