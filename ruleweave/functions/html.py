@@ -1,123 +1,48 @@
-"""Page observations from raw HTML by regular expressions.
+"""Page observations from raw HTML as columns.
 
-Pages are cleaned first: comments go, script and style bodies go but their
-opening tags stay.  One pattern then finds all tags of interest in one scan.
-Differences to a tree parser are limited to malformed markup; of repeated
-attributes the first counts.
+A page is read once, in Arrow batches, by the scanner of `page_scan`: the state of
+comments, scripts and quotes goes from tag to tag, which column functions cannot
+carry along a page without copying what they have collected at every tag.
+Everything after the scan is column functions again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ruleweave.functions import urls
+from ruleweave.functions import page_scan, urls
 
-# Element kinds whose URL counts as a page resource.
-RESOURCE_KINDS = ("img", "script", "link", "video", "audio")
-CREDENTIAL_TYPES = ("password", "email")
+_TEXTS = T.ArrayType(T.StringType())
+_RESOURCES = T.ArrayType(T.StructType().add("link", T.StringType()).add("kind", T.StringType()))
+_SEEN = T.StructType().add("resources", _RESOURCES).add("anchors", _TEXTS).add("forms", _TEXTS).add("popup", T.BooleanType())
 
-_HIDDEN = (
-    r"(?is)<!--.*?-->"
-    r"|(<script\b[^>]*>)(.*?)(?:</script\s*>|\z)"
-    r"|(<style\b[^>]*>).*?(?:</style\s*>|\z)"
-)
-# Atomic groups and possessive quantifiers: a broken page costs one scan and no stack.
-_TAGS = (
-    r"(?i)<(?:img|script|link|video|audio|a|form|input|textarea)"
-    r"(?:[\s/](?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)?+>"
-)
-_VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s>\"']++"
-_ATTRIBUTE = (
-    r"(?is)^<[a-z]++(?>[\s/]++(?!{name}\s*=)[^\s=>/\"']++(?:\s*+=\s*+(?:" + _VALUE + r"))?+)*+"
-    r"[\s/]++{name}\s*+=\s*+(" + _VALUE + r")"
-)
 
+@F.arrow_udf(_SEEN)
+def _scan(pages: pa.Array) -> pa.Array:
+    return pa.array([page_scan.observe(page.as_py()) for page in pages], to_arrow_type(_SEEN))
 
-def unescape(text: Column) -> Column:
-    """The five predefined character references."""
-    plain = text
-    for name, char in (
-        ("&lt;", "<"),
-        ("&gt;", ">"),
-        ("&quot;", '"'),
-        ("&#39;", "'"),
-        ("&apos;", "'"),
-        ("&amp;", "&"),
-    ):
-        plain = F.replace(plain, F.lit(name), F.lit(char))
-    return F.when(text.contains("&"), plain).otherwise(text)
 
+def scan(html: Column) -> Column:
+    """``resources``, ``anchors``, ``forms`` and ``popup`` of a page; NULL for no page.
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of one tag; empty if absent."""
+    resources has link and kind of every resource with a source, in page order;
+    anchors the target of every anchor and forms the handler of every form, empty
+    if it has none; popup is true if a script opens a window and the page asks for
+    credentials.
+    """
+    return _scan(html)
 
-    def unquoted(raw: Column) -> Column:
-        quoted = F.substring(raw, 1, 1).isin('"', "'")
-        inner = F.substring(raw, F.lit(2), F.length(raw) - 2)
-        return F.when(quoted, inner).otherwise(raw)
 
-    value = urls.let(F.regexp_extract(tag, _ATTRIBUTE.format(name=name), 1), unquoted)
-    return urls.let(value, unescape)
-
-
-def kind(tag: Column) -> Column:
-    return F.lower(F.regexp_extract(tag, r"^<([a-zA-Z]+)", 1))
-
-
-def add_tags(frame: DataFrame, html: str = "html") -> DataFrame:
-    """Add ``tags`` (array of kind and text) and ``scripts`` (array of bodies)."""
-    visible = F.regexp_replace(F.col(html), _HIDDEN, "$1$3")
-    return frame.withColumn(
-        "scripts", F.regexp_extract_all(F.col(html), F.lit(_HIDDEN), F.lit(2))
-    ).withColumn(
-        "tags",
-        F.transform(
-            F.regexp_extract_all(visible, F.lit(_TAGS), F.lit(0)),
-            lambda tag: F.struct(kind(tag).alias("kind"), tag.alias("text")),
-        ),
-    )
-
-
-def _of(*kinds: str) -> Column:
-    return F.filter(F.col("tags"), lambda tag: tag["kind"].isin(*kinds))
-
-
-def resources() -> Column:
-    """``url, kind`` of every resource with a source, in page order."""
-    found = F.transform(
-        _of(*RESOURCE_KINDS),
-        lambda tag: F.struct(
-            F.when(tag["kind"] == "link", attribute(tag["text"], "href"))
-            .otherwise(attribute(tag["text"], "src"))
-            .alias("link"),
-            tag["kind"].alias("kind"),
-        ),
-    )
+def resources(seen: Column) -> Column:
+    """``url, kind`` of every resource, resolved against the page's URL."""
     return F.transform(
-        F.filter(found, lambda item: item["link"] != ""),
+        seen["resources"],
         lambda item: F.struct(
             urls.resolve(F.col("url"), F.col("parts"), item["link"]).alias("url"),
             item["kind"].alias("kind"),
         ),
     )
-
-
-def anchors() -> Column:
-    """Target of every anchor; empty if it has none."""
-    return F.transform(_of("a"), lambda tag: attribute(tag["text"], "href"))
-
-
-def form_actions() -> Column:
-    """Handler of every form; empty if it has none."""
-    return F.transform(_of("form"), lambda tag: attribute(tag["text"], "action"))
-
-
-def popup_with_credentials() -> Column:
-    """True if a script opens a window and the page asks for credentials."""
-    opens = F.exists(F.col("scripts"), lambda body: F.lower(body).contains("window.open"))
-    asks = F.exists(
-        _of("input", "textarea"),
-        lambda tag: F.lower(attribute(tag["text"], "type")).isin(*CREDENTIAL_TYPES),
-    )
-    return opens & asks

@@ -22,7 +22,9 @@ def observe(pages: DataFrame, strict_fetch: bool = False) -> DataFrame:
         missing = F.lit(None) if strict_fetch else F.array()
         return F.when(fetched, value).otherwise(missing.cast(kind))
 
-    found = html.add_tags(urls.screen(pages).withColumn("url", urls.trimmed(F.col("url"))))
+    screened = urls.screen(pages).withColumn("url", urls.trimmed(F.col("url")))
+    found = screened.withColumn("seen", html.scan(F.col("html")))
+    seen_here = F.col("seen")
     scheme, name = F.col("parts")["scheme"], F.col("parts")["host"]
     https = scheme == "https"
     seen = (
@@ -31,11 +33,11 @@ def observe(pages: DataFrame, strict_fetch: bool = False) -> DataFrame:
         .withColumn("hostname_is_ip", urls.is_ip_literal(name, F.col("ipv6")))
         .withColumn(
             "resource_urls",
-            collected(html.resources(), "array<struct<url:string,kind:string>>"),
+            collected(html.resources(seen_here), "array<struct<url:string,kind:string>>"),
         )
-        .withColumn("anchor_hrefs", collected(html.anchors(), "array<string>"))
-        .withColumn("form_actions", collected(html.form_actions(), "array<string>"))
-        .withColumn("popup_credential_fields", F.when(fetched, html.popup_with_credentials()))
+        .withColumn("anchor_hrefs", collected(seen_here["anchors"], "array<string>"))
+        .withColumn("form_actions", collected(seen_here["forms"], "array<string>"))
+        .withColumn("popup_credential_fields", seen_here["popup"])
         .withColumn(
             "page",
             F.struct(
@@ -58,7 +60,7 @@ def observe(pages: DataFrame, strict_fetch: bool = False) -> DataFrame:
             ),
         )
     )
-    return seen.drop("html", "tags", "scripts", "ipv6")
+    return seen.drop("html", "seen", "ipv6")
 
 
 def raw_features() -> Column:
