@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from ruleweave.llm.chunks import IDS, Chunks, binary_column, gathered, slices
 
 #: Chunks and words whose ids a worker remembers, and pairs of tokens it has judged.
-CHUNKS, WORDS, PAIRS = 450_000, 200_000, 2_000_000
+CHUNKS, WORDS, PAIRS = 300_000, 100_000, 500_000
 #: The split pattern of byte-level vocabularies; {L} and {N} stand for letters and numbers.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\p{White_Space}{L}{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -130,7 +130,6 @@ class Walker:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.chunks = Chunks(self.ids_of, CHUNKS, v.special)
-        self.tokens = pa.array(v.bytes_of, pa.large_binary())
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """Id bytes of distinct words, which are sorted: the leaves of their trie in depth-first order.
@@ -222,13 +221,18 @@ def _shared(a: bytes, b: bytes) -> int:
 
 
 class Shared:
-    """The vocabulary as it is broadcast; the walker is made once in each worker."""
+    """The vocabulary as it is broadcast; a worker makes what it needs once, the walker only if it encodes."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.made = vocabulary, None
+        self.vocabulary, self.made, self.spelt = vocabulary, None, None
 
     def __getstate__(self):
-        return {"vocabulary": self.vocabulary, "made": None}
+        return {"vocabulary": self.vocabulary, "made": None, "spelt": None}
+
+    def tokens(self) -> pa.LargeBinaryArray:
+        if self.spelt is None:
+            self.spelt = pa.array(self.vocabulary.bytes_of, pa.large_binary())
+        return self.spelt
 
     def walker(self) -> Walker:
         if self.made is None:
@@ -271,7 +275,7 @@ def decode(encoded: DataFrame, shared) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value.walker().tokens
+        tokens = shared.value.tokens()
         for batch in slices(batches, "ids"):
             column = batch.column("ids")
             rows = column.to_pylist()
