@@ -21,6 +21,7 @@ from ruleweave.functions.items import class_item
 
 COUNTS = tuple(CLASS_COUNTS.values())
 MODEL = "model"
+BAD_RECORD = "Labelled rows have missing or invalid values; see validate.invalid_values"
 
 
 @dataclass(frozen=True)
@@ -41,8 +42,8 @@ class Mining:
 
 def record_key() -> Column:
     """Key of a labelled row; an error if a feature or the target is not in the shared domain."""
-    bad = F.raise_error(F.lit("Labelled rows have missing or invalid values; see validate.invalid_values"))
-    return F.when(keys.pack().isNotNull() & F.col(TARGET).isin(*CLASSES), keys.pack()).otherwise(bad)
+    known = F.when(F.col(TARGET).isin(*CLASSES), keys.pack())
+    return F.coalesce(known, F.raise_error(F.lit(BAD_RECORD)).cast("int"))
 
 
 def weigh(frame: DataFrame, run: Column | str = MODEL) -> DataFrame:

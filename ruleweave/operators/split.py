@@ -2,23 +2,26 @@
 
 The order inside a class is that of ``md5(seed|key)``.  Group splits order the
 distinct records, a bounded table.  Row splits need an exact position in the
-order of all rows of a class: counts per hash prefix give the position at
-which each prefix starts, so only rows sharing a prefix are ever sorted
-together.
+order of all rows of a class: counts per hash prefix are refined until each
+wanted position has one exact place (hash, key), and rows are then placed by
+comparing them with it, without a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ruleweave.contract import CLASS_COUNTS, FEATURES, TARGET
 from ruleweave.functions import keys
-from ruleweave.operators.mining import COUNTS, record_key, weigh
-from ruleweave.session import settle
+from ruleweave.operators.mining import BAD_RECORD, COUNTS, weigh
 
-ROWS_PER_PREFIX = 1_000_000
-MAX_PREFIX_DIGITS = 5
+#: Hex digits by which hash prefixes grow, all of them, and the rows of a cell that are counted one by one.
+DIGITS, HASH_DIGITS, CELL_ROWS = 3, 32, 1_000_000
 
 
 def seeded_hash(seed: int, key: Column) -> Column:
@@ -110,11 +113,8 @@ def place_rows(frame: DataFrame, groups: DataFrame) -> DataFrame:
     are not shuffled and a hot record is no burden.
     """
     sides = groups.select("key", F.col("class").alias(TARGET), "side")
-    return (
-        frame.withColumn("key", record_key())
-        .join(F.broadcast(sides), ["key", TARGET])
-        .drop("key")
-    )
+    placed = frame.withColumn("key", keys.pack()).join(F.broadcast(sides), ["key", TARGET], "left").drop("key")
+    return placed.withColumn("side", F.coalesce("side", F.raise_error(F.lit(BAD_RECORD)).cast("string")))
 
 
 def side_cells(frame: DataFrame) -> DataFrame:
@@ -185,126 +185,156 @@ def split_analysis(cells: DataFrame) -> DataFrame:
 # -- rows ----------------------------------------------------------------------
 
 
-def prefix_digits(rows: int) -> int:
-    """Hex digits of the hash that keep the rows of one prefix near a million."""
-    digits = 1
-    while digits < MAX_PREFIX_DIGITS and rows / 16**digits > ROWS_PER_PREFIX:
-        digits += 1
-    return digits
+@dataclass(frozen=True)
+class Limit:
+    """A place in the seeded order of a class; rows up to it, and at it if ``closed``, lie before."""
+
+    order_hash: str
+    key: str
+    closed: bool
 
+    def passed(self) -> Column:
+        same = F.col("order_key") > self.key if self.closed else F.col("order_key") >= self.key
+        return (F.col("order_hash") > self.order_hash) | (F.col("order_hash") == self.order_hash) & same
 
-def _prefixed(frame: DataFrame, key: str, seed: int, digits: int) -> DataFrame:
-    """Rows with their class as ``stratum``; rows without one form a class of their own.
 
-    A missing key counts as an empty text.
+def _ordered(frame: DataFrame, key: str, seed: int) -> DataFrame:
+    """Rows with their class as ``stratum`` and their place in its seeded order.
+
+    Rows without a class form a class of their own; a missing key counts as an empty text.
     """
-    hashed = frame.withColumn("order_hash", seeded_hash(seed, F.coalesce(F.col(key), F.lit(""))))
-    hashed = hashed.withColumn("stratum", F.coalesce(F.col(TARGET).cast("string"), F.lit("")))
-    return hashed.withColumn("prefix", F.substring("order_hash", 1, digits))
-
-
-def _prefix_starts(hashed: DataFrame) -> DataFrame:
-    """Per class and hash prefix: its rows, the rows before it and all rows."""
-    by_class = Window.partitionBy("stratum")
-    before = by_class.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    return settle(
-        hashed.groupBy("stratum", "prefix")
-        .agg(F.count("*").alias("rows_in"))
-        .withColumn("rows_before", F.coalesce(F.sum("rows_in").over(before), F.lit(0)))
-        .withColumn("rows_all", F.sum("rows_in").over(by_class))
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    hashed = frame.withColumn("order_key", text).withColumn("order_hash", seeded_hash(seed, F.col("order_key")))
+    return hashed.withColumn("stratum", F.coalesce(F.col(TARGET).cast("string"), F.lit("")))
+
+
+def _running(counts: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Counts with ``rows_before`` them and ``rows_all`` of their group."""
+    group = Window.partitionBy(*by)
+    before = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("rows_before", F.coalesce(F.sum("rows_in").over(before), F.lit(0))).withColumn(
+        "rows_all", F.sum("rows_in").over(group)
     )
 
 
-def _wanted(test_size: float) -> Column:
+def _inside(cuts: list[Row]) -> Column:
+    """Rows of the cells that hold a wanted place."""
+    names: dict[int, set[str]] = {}
+    for c in cuts:
+        names.setdefault(len(c["cell"]), set()).add(c["cell"] + c["stratum"])
+    cells = [F.concat(F.substring("order_hash", 1, n), "stratum").isin(*sorted(own)) for n, own in names.items()]
+    return reduce(Column.__or__, cells)
+
+
+def order_limits(
+    ordered: DataFrame, ranks: Callable[[Column], Column], cell_rows: int = CELL_ROWS, digits: int = DIGITS
+) -> dict[str, list[Limit]]:
+    """For every class the limits behind as many rows as ``ranks`` names, given its row count.
+
+    A histogram of hash prefixes tells which cell holds a wanted row; cells with
+    more than ``cell_rows`` rows are counted again by a longer prefix, and the rows
+    of the cells that are left are counted by their whole place.  Nothing but
+    counts is shuffled, and what reaches the driver is a row for each limit.  Rows
+    of one key stay together, on the side that brings the count nearer to the
+    wanted one; with unique keys it is exact.
+    """
+    spark = ordered.sparkSession
+    cell = F.substring("order_hash", 1, digits).alias("cell")
+    counted = ordered.groupBy("stratum", cell).agg(F.count("*").alias("rows_in"))
+    placed = _running(counted, ["stratum"], ["cell"]).select("*", F.posexplode(ranks(F.col("rows_all"))).alias("at", "rank"))
+    left = (F.col("rank") - F.col("rows_before")).alias("left")
+    hit = (F.col("rank") > F.col("rows_before")) & (F.col("rank") <= F.col("rows_before") + F.col("rows_in"))
+    cuts = placed.where(hit).select("stratum", "at", "cell", left, "rows_in").collect()
+    while wide := [c for c in cuts if c["rows_in"] > cell_rows and len(c["cell"]) < HASH_DIGITS]:
+        digits = min(HASH_DIGITS, digits + DIGITS)
+        counted = ordered.where(_inside(wide)).groupBy("stratum", F.substring("order_hash", 1, digits).alias("place"))
+        finer = _within(spark, counted.agg(F.count("*").alias("rows_in")), wide, ["place"])
+        found = finer.select("stratum", "at", F.col("place").alias("cell"), left, "rows_in").collect()
+        cuts = [c for c in cuts if c not in wide] + found
+    if not cuts:
+        return {}
+    counted = ordered.where(_inside(cuts)).groupBy("stratum", F.col("order_hash").alias("place"), "order_key")
+    last = _within(spark, counted.agg(F.count("*").alias("rows_in")), cuts, ["place", "order_key"])
+    nearer = F.col("rows_before") + F.col("rows_in") - F.col("rank") <= F.col("rank") - F.col("rows_before")
+    limits: dict[str, list[Limit]] = {}
+    for r in sorted(last.withColumn("closed", nearer).collect(), key=lambda r: (r["stratum"], r["at"])):
+        limits.setdefault(r["stratum"], []).append(Limit(r["place"], r["order_key"], r["closed"]))
+    return limits
+
+
+def _within(spark: SparkSession, counts: DataFrame, cuts: list[Row], order: list[str]) -> DataFrame:
+    """The counts that hold the wanted rows of the cells, with ``rank`` counted inside the cell."""
+    wanted = spark.createDataFrame(
+        [(c["stratum"], c["cell"], c["at"], c["left"]) for c in cuts], "stratum string, cell string, at int, rank long"
+    )
+    cells = F.broadcast(wanted.select("stratum", "cell").distinct())
+    inside = counts.join(cells.withColumnRenamed("stratum", "s"), (F.col("stratum") == F.col("s")) & F.col("place").startswith(F.col("cell")))
+    running = _running(inside.drop("s"), ["stratum", "cell"], order)
+    hit = (F.col("rank") > F.col("rows_before")) & (F.col("rank") <= F.col("rows_before") + F.col("rows_in"))
+    return running.join(F.broadcast(wanted), ["stratum", "cell"]).where(hit)
+
+
+def _passed(limits: dict[str, list[Limit]]) -> Column:
+    """How many limits of its class a row lies behind."""
+    found = F.lit(0)
+    for stratum, own in limits.items():
+        behind = reduce(Column.__add__, [limit.passed().cast("int") for limit in own], F.lit(0))
+        found = F.when(F.col("stratum") == stratum, behind).otherwise(found)
+    return found
+
+
+def _wanted(rows_all: Column, test_size: float) -> Column:
     """Test rows of a class."""
-    return F.greatest(F.lit(1), F.bround(F.col("rows_all") * F.lit(test_size))).cast("long")
+    return F.greatest(F.lit(1), F.bround(rows_all * F.lit(test_size))).cast("long")
 
 
-def _small(starts: DataFrame, digits: int) -> DataFrame:
-    """At most 3 * 16**digits rows: broadcast up to 200,000, else let the join shuffle."""
-    return F.broadcast(starts) if digits <= 4 else starts
+def _stretches(rows: Column, folds: int) -> list[Column]:
+    """Rows that lie in the first 1 .. folds-1 of so many stretches of almost equal length."""
+    return [F.floor((rows * i + (folds - 1)) / folds).cast("long") for i in range(1, folds)]
 
 
-def row_split(
-    frame: DataFrame,
-    key: str,
-    test_size: float = 0.2,
-    seed: int = 42,
-    digits: int | None = None,
-) -> DataFrame:
+_PLACES = ("order_key", "order_hash", "stratum")
+
+
+def row_split(frame: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, **cells: int) -> DataFrame:
     """Rows with their ``side``: the first rows per class in seeded order are the test set.
 
-    ``key`` is a unique text column.  Prefixes wholly inside or outside the test
-    set decide their rows by a broadcast lookup; only the rows of the one
-    prefix per class that the boundary cuts are sorted.  ``digits`` is the prefix
-    length, by default from the number of rows.
+    ``key`` is a unique column.  Rows are placed by comparing them with one limit
+    per class, without a shuffle; the limits come from counts (`order_limits`,
+    which takes ``cells``).
     """
-    digits = prefix_digits(frame.count()) if digits is None else digits
-    hashed = _prefixed(frame, key, seed, digits)
-    left = _wanted(test_size) - F.col("rows_before")
-    starts = _prefix_starts(hashed).select(
-        "stratum",
-        "prefix",
-        F.when(left <= 0, 0).when(left >= F.col("rows_in"), -1).otherwise(left).alias("test_rows"),
-    )
-    placed = hashed.join(_small(starts, digits), ["stratum", "prefix"])
-    order = Window.partitionBy("stratum", "prefix").orderBy("order_hash", key)
-    whole = placed.where(F.col("test_rows") <= 0).withColumn(
-        "side", F.when(F.col("test_rows") == -1, "test").otherwise("train")
-    )
-    cut = (
-        placed.where(F.col("test_rows") > 0)
-        .withColumn("place", F.row_number().over(order))
-        .withColumn("side", F.when(F.col("place") <= F.col("test_rows"), "test").otherwise("train"))
-        .drop("place")
-    )
-    return whole.unionByName(cut).drop("order_hash", "stratum", "prefix", "test_rows")
+    ordered = _ordered(frame, key, seed)
+    limits = order_limits(ordered, lambda n: F.array(_wanted(n, test_size)), **cells)
+    return ordered.withColumn("side", F.when(_passed(limits) == 0, "test").otherwise("train")).drop(*_PLACES)
 
 
-def stratified_folds(
-    frame: DataFrame, key: str, folds: int = 5, seed: int = 42, digits: int | None = None
-) -> DataFrame:
-    """Rows with a ``fold`` in 0..folds-1: positions per class in seeded order, dealt round.
+def stratified_folds(frame: DataFrame, key: str, folds: int = 5, seed: int = 42, **cells: int) -> DataFrame:
+    """Rows with a ``fold`` in 0..folds-1: consecutive stretches of the seeded order of each class.
 
-    One shuffle by class and hash prefix; no group is larger than a prefix.
+    Sizes differ by one row at most; rows are placed as in `row_split`.
     """
-    digits = prefix_digits(frame.count()) if digits is None else digits
-    hashed = _prefixed(frame, key, seed, digits)
-    starts = _prefix_starts(hashed).select("stratum", "prefix", "rows_before")
-    order = Window.partitionBy("stratum", "prefix").orderBy("order_hash", key)
-    position = F.col("rows_before") + F.row_number().over(order) - 1
-    return (
-        hashed.join(_small(starts, digits), ["stratum", "prefix"])
-        .withColumn("fold", (position % folds).cast("int"))
-        .drop("order_hash", "stratum", "prefix", "rows_before")
-    )
+    ordered = _ordered(frame, key, seed)
+    if folds < 2:
+        return frame.withColumn("fold", F.lit(0))
+    limits = order_limits(ordered, lambda n: F.array(*_stretches(n, folds)), **cells)
+    return ordered.withColumn("fold", _passed(limits)).drop(*_PLACES)
 
 
 def training_folds(
-    frame: DataFrame,
-    key: str,
-    test_size: float = 0.3,
-    folds: int = 5,
-    seed: int = 42,
-    digits: int | None = None,
+    frame: DataFrame, key: str, test_size: float = 0.3, folds: int = 5, seed: int = 42, **cells: int
 ) -> DataFrame:
     """Folds of the training rows of ``row_split`` with the same seed.
 
-    Both use one order per class, so the rows after the test rows are dealt round
-    by their position, without splitting first.  Prefixes that lie wholly in the
-    test set are dropped before the shuffle.
+    Both use one order per class, so the rows behind the test rows are cut into
+    stretches without splitting first.
     """
-    digits = prefix_digits(frame.count()) if digits is None else digits
-    hashed = _prefixed(frame, key, seed, digits)
-    starts = _prefix_starts(hashed).select(
-        "stratum", "prefix", "rows_in", (F.col("rows_before") - _wanted(test_size)).alias("offset")
-    )
-    order = Window.partitionBy("stratum", "prefix").orderBy("order_hash", key)
-    return (
-        hashed.join(_small(starts, digits), ["stratum", "prefix"])
-        .where(F.col("offset") + F.col("rows_in") > 0)
-        .withColumn("position", F.col("offset") + F.row_number().over(order) - 1)
-        .where(F.col("position") >= 0)
-        .withColumn("fold", (F.col("position") % folds).cast("int"))
-        .drop("order_hash", "stratum", "prefix", "rows_in", "offset", "position")
-    )
+
+    def ranks(n: Column) -> Column:
+        test = _wanted(n, test_size)
+        return F.array(test, *[test + stretch for stretch in _stretches(n - test, folds)])
+
+    ordered = _ordered(frame, key, seed)
+    limits = order_limits(ordered, ranks, **cells)
+    # by its first limit alone, as the filter moves below the columns it uses
+    training = ordered.where(_passed({stratum: own[:1] for stratum, own in limits.items()}) == 1)
+    return training.withColumn("fold", _passed({stratum: own[1:] for stratum, own in limits.items()})).drop(*_PLACES)

@@ -301,7 +301,7 @@ def _folds(seed: int = 42) -> Ctes:
         *_row_split("split30", 0.3),
         (
             "folds",
-            f"""SELECT *, cast((row_number() OVER (PARTITION BY Result ORDER BY md5('{seed}|' || record_id), record_id) - 1) % 5 as integer) AS fold
+            f"""SELECT *, cast((row_number() OVER (PARTITION BY Result ORDER BY md5('{seed}|' || record_id), record_id) - 1) * 5 // count(*) OVER (PARTITION BY Result) as integer) AS fold
 FROM split30 WHERE side = 'train'""",
         ),
     ]

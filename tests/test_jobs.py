@@ -3,6 +3,7 @@ from __future__ import annotations
 import warnings
 from collections import Counter
 from datetime import datetime
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,9 +65,12 @@ def test_single_group_class_stays_in_training(spark):
     assert sorted((g["n"], g["side"]) for g in groups if g["class"] == 0) == [(2, "test"), (3, "train")]
 
 
-@pytest.mark.parametrize("digits", [1, 2, 4])
-def test_row_split_is_exact_at_any_prefix_length(frame, digits):
-    placed = split.row_split(frame, "record_id", 0.3, 7, digits=digits).collect()
+@pytest.mark.parametrize("digits, cell_rows", [(1, 1), (1, 5), (2, 10**6), (32, 1)])
+def test_row_split_is_exact_at_any_prefix_length(frame, digits, cell_rows):
+    placed = split.row_split(frame, "record_id", 0.3, 7, digits=digits, cell_rows=cell_rows).collect()
+    order = {c: sorted((md5(f"7|{r['record_id']}".encode()).hexdigest(), r["record_id"]) for r in placed if r["Result"] == c) for c in (-1, 0, 1)}
+    first = {k for own in order.values() for _, k in own[: max(1, round(len(own) * 0.3))]}
+    assert {r["record_id"] for r in placed if r["side"] == "test"} == first
     sizes = Counter((r["Result"], r["side"]) for r in placed)
     for label, n in Counter(row[9] for row in ROWS).items():
         assert sizes[label, "test"] == max(1, round(n * 0.3))
@@ -75,7 +79,7 @@ def test_row_split_is_exact_at_any_prefix_length(frame, digits):
 
 
 def test_folds_are_even(frame):
-    folded = split.stratified_folds(frame, "record_id", 5, 3, digits=2).collect()
+    folded = split.stratified_folds(frame, "record_id", 5, 3, digits=1, cell_rows=2).collect()
     sizes = Counter((r["Result"], r["fold"]) for r in folded)
     for label in (-1, 0, 1):
         counts = [sizes[label, f] for f in range(5)]
@@ -90,8 +94,33 @@ def test_training_folds_equal_split_then_folds(frame):
     assert as_map(one) == as_map(two)
 
 
-def test_prefix_digits_grow_with_rows():
-    assert [split.prefix_digits(n) for n in (10, 10**7, 10**9, 10**13)] == [1, 1, 3, 5]
+def test_rows_are_placed_without_a_shuffle(frame):
+    for placed in (
+        split.row_split(frame, "record_id", 0.3, 7),
+        split.stratified_folds(frame, "record_id", 5, 7),
+        split.training_folds(frame, "record_id", 0.3, 5, 7),
+    ):
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_rows_of_one_key_stay_together(spark):
+    rows = [(k, *[1] * 9, 1) for k in ["a"] * 40 + ["b", "c", "d"] * 2 + [None] * 30 + [f"k{i}" for i in range(24)]]
+    frame = spark.createDataFrame(rows, f"record_id string, {', '.join(f'{f} int' for f in FEATURES)}, {TARGET} int")
+    for seed in range(6):
+        placed = split.row_split(frame, "record_id", 0.3, seed, digits=1, cell_rows=3).collect()
+        assert len(placed) == 100
+        sides = {}
+        for r in placed:
+            sides.setdefault(r["record_id"], set()).add(r["side"])
+        assert all(len(s) == 1 for s in sides.values())
+        n = sum(r["side"] == "test" for r in placed)
+        weight = Counter(r["record_id"] for r in placed)
+        order = sorted(weight, key=lambda k: (md5(f"{seed}|{k or ''}".encode()).hexdigest(), k or ""))
+        sums = [0]
+        for k in order:
+            sums.append(sums[-1] + weight[k])
+        assert n in sums and abs(n - 30) == min(abs(x - 30) for x in sums)
 
 
 def test_seeded_order(frame):
