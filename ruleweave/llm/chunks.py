@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once, unless one text is longer.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Id bytes of a chunk: little-endian unsigned 32-bit integers.
 IDS = np.dtype("<u4")
 

@@ -58,7 +58,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = trie_bpe.share(spark, public_tokenizers.path("byte_bpe_50k.json"))
-    read = trie_bpe.decode(trie_bpe.encode(table(spark, sf_dir, "documents"), shared), shared)
+    read = trie_bpe.encode(table(spark, sf_dir, "documents"), shared, decoded=True)
     n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return read.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

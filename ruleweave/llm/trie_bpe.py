@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from ruleweave.llm.chunks import IDS, Chunks, binary_column, gathered, slices
 
 #: Chunks and words whose ids a worker remembers, and pairs of tokens it has judged.
-CHUNKS, WORDS, PAIRS = 300_000, 100_000, 500_000
+CHUNKS, WORDS, PAIRS = 180_000, 60_000, 300_000
 #: The split pattern of byte-level vocabularies; {L} and {N} stand for letters and numbers.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\p{White_Space}{L}{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -246,25 +246,38 @@ def share(spark, path: str):
 
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-_DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
+_DECODED = _ENCODED.append(pa.field("decoded", pa.string()))
+_KINDS = "doc_id long, ids binary"
 
 
-def encode(documents: DataFrame, shared) -> DataFrame:
+def _texts(tokens: pa.LargeBinaryArray, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The texts of the ids up to each end, the first of which is 0."""
+    stops, data = gathered(tokens, ids.astype(np.int64))
+    view, cuts = memoryview(data), stops[ends].tolist()
+    return [str(view[a:b], "utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+
+
+def encode(documents: DataFrame, shared, decoded: bool = False) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers) of every whole text.
 
-    The added token's string in a text is that token.  A null or empty text has no
-    ids.  Repeated rows and null doc_ids stay as they are, other columns are
-    ignored, an empty table gives no rows, and ties cannot arise: each row is
-    encoded alone.
+    With `decoded` also the text that the ids stand for, read back from them as
+    `decode` does.  The added token's string in a text is that token.  A null or
+    empty text has no ids.  Repeated rows and null doc_ids stay as they are, other
+    columns are ignored, an empty table gives no rows, and ties cannot arise: each
+    row is encoded alone.
     """
+    schema = _DECODED if decoded else _ENCODED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = shared.value.walker().chunks
+        chunks, tokens = shared.value.walker().chunks, shared.value.tokens()
         for batch in slices(batches):
             ends, data = chunks.encode(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binary_column(ends * IDS.itemsize, data)], schema=_ENCODED)
+            columns = [batch.column("doc_id"), binary_column(ends * IDS.itemsize, data)]
+            if decoded:
+                columns.append(pa.array(_texts(tokens, np.frombuffer(data, IDS), ends), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return documents.select("doc_id", "text").mapInArrow(run, _KINDS + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, shared) -> DataFrame:
@@ -277,13 +290,10 @@ def decode(encoded: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value.tokens()
         for batch in slices(batches, "ids"):
-            column = batch.column("ids")
-            rows = column.to_pylist()
-            which = np.frombuffer(b"".join(r or b"" for r in rows), IDS).astype(np.int64)
-            at = np.cumsum([0, *(len(r or b"") // IDS.itemsize for r in rows)])
-            stops, data = gathered(tokens, which)
-            view, cuts = memoryview(data), stops[at].tolist()
-            texts = [None if r is None else str(view[a:b], "utf-8", "replace") for r, a, b in zip(rows, cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, pa.array(texts, pa.string())], schema=_DECODED)
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
+            rows = batch.column("ids").to_pylist()
+            ends = np.cumsum([0, *(len(r or b"") // IDS.itemsize for r in rows)])
+            texts = _texts(tokens, np.frombuffer(b"".join(r or b"" for r in rows), IDS), ends)
+            read = pa.array([None if r is None else t for r, t in zip(rows, texts)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, read], schema=_DECODED)
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, _KINDS + ", decoded string")
