@@ -1,25 +1,50 @@
-"""Lookup joins whose left side may have a hot key."""
+"""Lookup joins whose left side may have hot keys or many rows without a key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+#: Rows of one key that one task takes; a key with more is dealt over as many parts as it needs.
+ROWS_PER_PART = 1_000_000
+#: Hot keys that are dealt out, and keys the counting sketch follows; a key it misses has fewer than 1 in HOT_KEYS rows.
+HOT_KEYS, TRACKED = 1_000, 20_000
+#: Parts for rows without a key, which match nothing; the lookup side is not repeated for them.
+NULL_PARTS = 4_096
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+def hot_keys(left: DataFrame, key: str, rows_per_part: int = ROWS_PER_PART) -> list[tuple[object, int]]:
+    """Keys with more rows than a task takes, and how many parts each needs, from one sketch of the key column."""
+    known = left.select(F.col(key).alias("key")).where("key is not null")
+    found = known.agg(F.expr(f"approx_top_k(key, {HOT_KEYS}, {TRACKED})").alias("top")).first()["top"]
+    return [(x["item"], -(-x["count"] // rows_per_part)) for x in found if x["count"] > rows_per_part]
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Left join of rows to a table with one row per ``key``.
 
-    Rows of one key, and rows without a key, are dealt over ``salts`` parts; the
-    lookup side is repeated once per part.  A lookup side small enough for Spark
-    to broadcast makes this a plain hash join.
+    Only hot keys are salted, each by its own number of parts, and only their rows
+    of the lookup side are repeated.  Rows without a key are dealt out and match
+    nothing.  A lookup side small enough for Spark to broadcast makes this a plain
+    hash join.
     """
-    parts = F.array(*[F.lit(i) for i in range(salts)])
-    others = [F.col(c) for c in left.columns if c != key and _hashable(left, c)]
-    dealt = left.withColumn("salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
-    repeated = right.withColumn("salt", F.explode(parts))
-    return dealt.join(repeated, [key, "salt"], "left").drop("salt")
+    kind = left.schema[key].dataType
+    hot = hot_keys(left, key, rows_per_part)
+    others = [F.col(f"`{c}`") for c in left.columns if c != key and _hashable(left, c)]
+    deal = lambda parts: F.pmod(F.xxhash64(*others), parts).cast("int")
+    parts: Column = F.lit(1)
+    if hot:
+        spark = left.sparkSession
+        table = F.broadcast(spark.createDataFrame(hot, f"_hot_key {kind.simpleString()}, _parts int"))
+        left = left.join(table, F.col(f"`{key}`") == F.col("_hot_key"), "left").drop("_hot_key")
+        right = right.join(table, F.col(f"`{key}`") == F.col("_hot_key"), "left").drop("_hot_key")
+        parts = F.coalesce("_parts", F.lit(1))
+    salted = F.when(F.col(f"`{key}`").isNull(), deal(F.lit(NULL_PARTS)))
+    if hot:
+        salted = salted.when(parts > 1, deal(parts))
+    dealt = left.withColumn("_salt", salted.otherwise(0))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)) if hot else F.lit(0))
+    return dealt.drop("_parts").join(repeated.drop("_parts"), [key, "_salt"], "left").drop("_salt")
 
 
 def _hashable(frame: DataFrame, column: str) -> bool:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.functions import vectors
-from ruleweave.operators.joins import salted_lookup
+from ruleweave.functions import suffixes as suffixes_of
+from ruleweave.functions import urls, vectors
+from ruleweave.functions.dates import parse_date
+from ruleweave.operators.joins import lookup
 
 MONTH_DAYS = 365.2425 / 12
-MAX_SUFFIX_RULES = 100_000
 
 # A short suffix list for use without a full one.
 COMMON_SUFFIXES = (
@@ -21,83 +22,18 @@ COMMON_SUFFIXES = (
     "*.ck", "!www.ck",
 )
 
-_ISO = (
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
-    r"([T ][0-9]{2}(:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,6})?)?)?([+-][0-9]{2}:?[0-9]{2})?)?$"
-)
-
-
 def common_suffixes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(rule,) for rule in COMMON_SUFFIXES], "rule string")
 
 
-def _last_labels(host: Column, n: Column | int) -> Column:
-    return F.substring_index(host, ".", -n)
-
-
 def registrable_domain(frame: DataFrame, host: str, suffixes: DataFrame) -> DataFrame:
     """Add ``registrable_domain``: one label more than the longest public suffix.
 
-    ``suffixes`` has a ``rule`` column with plain, ``*.`` and ``!`` rules.  Each
-    number of labels is one hash lookup in the suffix table, so rows are not
-    shuffled.  NULL if no rule fits or the host is itself a suffix.
+    ``suffixes`` has a ``rule`` column with plain, ``*.`` and ``!`` rules.  The
+    rules travel as one trie and each host is matched in one walk, without a join.
+    NULL if no rule fits or the host is itself a suffix.
     """
-    name = F.regexp_replace(F.lower(F.trim(F.col(host))), r"\.+$", "")
-    rules = suffixes.select(
-        F.regexp_replace("rule", "^!", "").alias("rule"),
-        F.size(F.split(F.regexp_replace("rule", "^!", ""), r"\.")).alias("labels"),
-        F.col("rule").startswith("!").alias("exception"),
-        F.col("rule").startswith("*.").alias("wildcard"),
-    ).dropDuplicates(["rule"])
-    shapes = rules.groupBy("labels", "wildcard").count().collect()
-    frame = frame.withColumn("suffix_host", name).withColumn(
-        "host_labels", F.size(F.split("suffix_host", r"\."))
-    )
-    found = []
-    for labels, wildcard, size in sorted(shapes, reverse=True):
-        column = f"suffix_{labels}_{'any' if wildcard else 'exact'}"
-        side = rules.where((F.col("labels") == labels) & (F.col("wildcard") == wildcard)).select(
-            F.col("rule").alias(f"{column}_rule"),
-            F.when(F.col("exception"), labels - 1).otherwise(labels).alias(column),
-            F.col("exception").alias(f"{column}_exception"),
-        )
-        if wildcard:
-            key = F.when(
-                F.col("host_labels") >= labels,
-                F.concat(F.lit("*."), _last_labels(F.col("suffix_host"), labels - 1)),
-            )
-        else:
-            key = F.when(
-                F.col("host_labels") >= labels, _last_labels(F.col("suffix_host"), labels)
-            )
-        small = F.broadcast(side) if size <= MAX_SUFFIX_RULES else side
-        frame = frame.join(small, key == F.col(f"{column}_rule"), "left")
-        found.append(column)
-    excepted = F.coalesce(
-        *[F.when(F.col(f"{c}_exception"), F.col(c)) for c in found], F.lit(None).cast("int")
-    )
-    length = F.coalesce(excepted, *[F.col(c) for c in found])
-    domain = F.when(
-        (F.col("host_labels") > length) & ~F.col("suffix_host").rlike(r"(^|\.)(\.|$)"),
-        F.expr("substring_index(suffix_host, '.', -(suffix_length + 1))"),
-    )
-    used = [name for c in found for name in (c, f"{c}_rule", f"{c}_exception")]
-    return (
-        frame.withColumn("suffix_length", length)
-        .withColumn("registrable_domain", domain)
-        .drop("suffix_host", "host_labels", "suffix_length", *used)
-    )
-
-
-def parse_date(text: Column) -> Column:
-    """ISO date or date-time as a timestamp; without an offset it is UTC; else NULL."""
-    zoned = F.regexp_replace(text, "Z$", "+00:00")
-    complete = F.when(zoned.rlike(r"[T ].*[+-][0-9]{2}:?[0-9]{2}$"), zoned).otherwise(
-        F.when(zoned.rlike("[T ]"), F.concat(zoned, F.lit("+00:00"))).otherwise(
-            F.concat(zoned, F.lit("T00:00:00+00:00"))
-        )
-    )
-    return F.when(zoned.rlike(_ISO), F.replace(complete, F.lit(","), F.lit(".")).try_cast("timestamp"))
+    return frame.withColumn("registrable_domain", suffixes_of.registrable_domain(F.col(host), suffixes))
 
 
 def earliest_date(values: Column) -> Column:
@@ -123,7 +59,7 @@ def registration_age(
             F.min(earliest_date(F.col("creation_date"))).alias("created"),
             F.lit(True).alias("known"),
         )
-        frame = salted_lookup(frame, dates, "registrable_domain")
+        frame = lookup(frame, dates, "registrable_domain")
     days = F.greatest(
         F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros("created")) / F.lit(86_400_000_000)
     )
@@ -160,7 +96,7 @@ def traffic(frame: DataFrame, ranks: DataFrame | None = None, host: str = "host"
         best = ranks.groupBy(F.col("domain").alias(host)).agg(
             F.min_by("provider", "rank").alias("provider"), F.min("rank").alias("rank")
         )
-        frame = salted_lookup(frame, best, host)
+        frame = lookup(frame, best, host)
     status = F.when(F.col("rank").isNull(), "provider_unavailable").otherwise("available")
     return frame.withColumn(
         "web_traffic",
@@ -174,24 +110,24 @@ def traffic(frame: DataFrame, ranks: DataFrame | None = None, host: str = "host"
 
 
 def provider_vectors(requests: DataFrame, provider: DataFrame | None) -> DataFrame:
-    """Vectors a trusted provider table supplies, one row per ``url``, checked.
+    """Vectors a trusted provider table supplies, one row per request, checked.
 
-    A missing provider or row is an error of its own; the rest are those of
+    Requests are screened first: a URL that is not public HTTP is never looked up
+    and keeps the error of the screening.  The provider is asked for the trimmed
+    URL; of several rows it has for one URL the smallest text counts, a missing one
+    never.  A missing provider or row is an error of its own; the rest are those of
     ``vectors.check_vectors``.
     """
+    screened = urls.screen(requests).drop("parts", "ipv6")
+    refused = F.col("url_error")
     if provider is None:
-        return requests.withColumn("features", F.lit(None).cast("string")).withColumn(
-            "vector_error", F.lit("Feature encoding is unavailable: mapping_unverified")
-        )
-    checked = vectors.spread_codes(vectors.check_vectors(provider.select("url", "features")))
+        missing = F.lit("Feature encoding is unavailable: mapping_unverified")
+        return screened.withColumn("features", F.lit(None).cast("string")).select(
+            "*", F.coalesce(refused, missing).alias("vector_error")
+        ).drop("url_error")
+    one = provider.where("features is not null").groupBy(F.col("url").alias("asked")).agg(F.min("features").alias("features"))
+    checked = vectors.spread_codes(vectors.check_vectors(one))
     supplied = checked.drop("names", "raw", "codes").withColumn("supplied", F.lit(True))
-    return (
-        salted_lookup(requests, supplied, "url")
-        .withColumn(
-            "vector_error",
-            F.when(F.col("supplied").isNull(), "Trusted feature provider failed").otherwise(
-                F.col("vector_error")
-            ),
-        )
-        .drop("supplied")
-    )
+    asked = screened.withColumn("asked", F.when(refused.isNull(), urls.trimmed(F.col("url"))))
+    unsupplied = F.when(F.col("supplied").isNull(), "Trusted feature provider failed").otherwise(F.col("vector_error"))
+    return lookup(asked, supplied, "asked").withColumn("vector_error", F.coalesce(refused, unsupplied)).drop("supplied", "asked", "url_error")

@@ -538,12 +538,19 @@ AS_OF_SECONDS = "epoch_us(timestamp '2015-06-30 12:00:00')"
 
 
 def _ages() -> Ctes:
-    zoned = "regexp_replace(d, 'Z$', '+00:00')"
-    naive = f"try_cast(regexp_replace({zoned}, '[+-][0-9]{{2}}:[0-9]{{2}}$', '') as timestamp)"
-    offset = (
-        f"CASE WHEN regexp_matches({zoned}, 'T.*[+-][0-9]{{2}}:[0-9]{{2}}$') THEN "
-        f"(CASE WHEN contains({zoned}, '+') THEN 1 ELSE -1 END) * cast(substr(right({zoned}, 5), 1, 2) as integer) * 3600000000 ELSE 0 END"
+    zoned = "replace(replace(d, 'Z', '+00:00'), ',', '.')"
+    zone = "([T ].*)([+-])([0-9]{2}):?([0-9]{2})?$"
+    forms = [
+        day + time
+        for day in ("%Y-%m-%d", "%Y%m%d", "%G-W%V-%u", "%GW%V%u")
+        for time in ("", "T%H:%M:%S.%f", "T%H:%M:%S", "T%H%M", "T%H", " %H")
+    ]
+    naive = (
+        f"coalesce(try_strptime(regexp_replace({zoned}, '{zone}', '\\1'), {forms}), "
+        f"CASE WHEN regexp_matches(d, '^[0-9]{{4}}W[0-9]{{2}}$') THEN try_strptime(d || '1', '%GW%V%u') END)"
     )
+    part = lambda i: f"coalesce(try_cast(nullif(regexp_extract({zoned}, '{zone}', {i}), '') as bigint), 0)"
+    offset = f"(CASE WHEN regexp_extract({zoned}, '{zone}', 2) = '-' THEN -1 ELSE 1 END) * ({part(3)} * 60 + {part(4)}) * 60000000"
     return [
         *_domains(),
         _derived("registrations"),
@@ -997,7 +1004,9 @@ def _correlations() -> str:
     return _with(LAB, " UNION ALL ".join(parts))
 
 
-def _screening() -> str:
+def _screened(source: str) -> Ctes:
+    """``screened``: request_id, url, trimmed, host and url_error of a table of requests."""
+
     def number(text: str) -> str:
         return "(" + " + ".join(
             f"try_cast(split_part({text}, '.', {i + 1}) as bigint) * {1 << (8 * (3 - i))}" for i in range(4)
@@ -1007,21 +1016,22 @@ def _screening() -> str:
         f"num BETWEEN {urls._number(b)} AND {urls._number(b) + (1 << (32 - bits)) - 1}"
         for b, bits in urls.BLOCKED_IPV4
     )
-    return _with(
-        [
-            _derived("request_urls"),
-            (
-                "p",
-                f"""SELECT request_id, url, {_scheme('u')} AS s, {_host('u')} AS host, {_bare(_host('u'))} AS h,
-  regexp_extract(regexp_extract(u, '{A}', 1), '^(.*)@', 1) AS userinfo FROM (SELECT *, {_trim('url')} AS u FROM request_urls)""",
-            ),
-            ("q", f"SELECT *, CASE WHEN regexp_matches(h, '{IPV4}') THEN {number('h')} END AS num FROM p"),
-        ],
-        f"""SELECT request_id, host, CASE WHEN length(url) > 2048 THEN '{urls.INVALID_URL}'
+    return [
+        _derived(source),
+        (
+            "p",
+            f"""SELECT request_id, url, u AS trimmed, {_scheme('u')} AS s, {_host('u')} AS host, {_bare(_host('u'))} AS h,
+  regexp_extract(regexp_extract(u, '{A}', 1), '^(.*)@', 1) AS userinfo FROM (SELECT *, {_trim('url')} AS u FROM {source})""",
+        ),
+        ("q", f"SELECT *, CASE WHEN regexp_matches(h, '{IPV4}') THEN {number('h')} END AS num FROM p"),
+        (
+            "screened",
+            f"""SELECT request_id, url, trimmed, host, CASE WHEN length(url) > 2048 THEN '{urls.INVALID_URL}'
   WHEN s NOT IN ('http', 'https') OR host = '' OR userinfo NOT IN ('', ':') THEN '{urls.NOT_PUBLIC_HTTP}'
   WHEN h IN ('localhost', 'localhost.localdomain') OR ends_with(h, '.local') OR ends_with(h, '.internal') THEN '{urls.INTERNAL_HOST}'
   WHEN ({blocked}) OR h = '::1' THEN '{urls.INTERNAL_ADDRESS}' END AS url_error FROM q""",
-    )
+        ),
+    ]
 
 
 def _links() -> str:
@@ -1125,9 +1135,10 @@ def _fingerprint() -> str:
 def all_sql() -> dict[str, str]:
     mined = [*LAB, *_mine("lab", "m_")]
     requests = [
-        _derived("vector_requests"),
+        *_screened("vector_requests"),
         _derived("vector_provider"),
-        *_checked("vector_provider", "url"),
+        ("vector_one", "SELECT url AS asked, min(features) AS features FROM vector_provider GROUP BY url"),
+        *_checked("vector_one", "asked"),
     ]
     return {
         "validate_summary": _summary(),
@@ -1138,9 +1149,10 @@ def all_sql() -> dict[str, str]:
         ),
         "provider_vectors": _with(
             requests,
-            "SELECT r.request_id, r.url, CASE WHEN p.url IS NULL THEN 'Trusted feature provider failed' ELSE p.vector_error END AS vector_error, "
+            "SELECT r.request_id, r.url, CASE WHEN r.url_error IS NOT NULL THEN r.url_error WHEN p.asked IS NULL THEN 'Trusted feature provider failed' "
+            "ELSE p.vector_error END AS vector_error, "
             + ", ".join(f"p.{n}" for n in FEATURES)
-            + " FROM vector_requests r LEFT JOIN vector_provider_ok p USING (url)",
+            + " FROM screened r LEFT JOIN vector_one_ok p ON r.trimmed = p.asked AND r.url_error IS NULL",
         ),
         "item_encoding": _with(LAB, f"SELECT record_id, {_transaction()} AS items FROM lab"),
         "item_universe": _universe(),
@@ -1218,7 +1230,7 @@ def all_sql() -> dict[str, str]:
         "correlation_matrix": _correlations(),
         "url_redaction": _redacted("request_urls", "request_id"),
         "url_redaction_pages": _redacted("raw_pages", "page_id"),
-        "url_screening": _screening(),
+        "url_screening": _with(_screened("request_urls"), "SELECT request_id, host, url_error FROM screened"),
         "external_links": _links(),
         "page_observations": _page_observations("raw_pages"),
         "rendered_page_observations": _page_observations("rendered_pages"),

@@ -152,9 +152,16 @@ def registrations(d) -> Derivation:
         f"CASE WHEN {c} = 0 THEN 'example.org' WHEN {c} % 2 = 0 THEN 'shop' || {c} || '.co.uk' "
         f"ELSE 'shop' || {c} || '.com' END"
     )
-    first = f"(1990 + {c} % 30) || '-0' || ({c} % 9 + 1) || '-1' || ({c} % 10)"
-    second = f"(1995 + {c} % 21) || '-1' || ({c} % 3) || '-2' || ({c} % 9) || 'T0' || ({c} % 10) || ':30:00'"
-    zone = f"CASE {c} % 3 WHEN 0 THEN 'Z' WHEN 1 THEN '+02:00' ELSE '' END"
+    first = (
+        f"(1990 + {c} % 30) || CASE {c} % 5 WHEN 0 THEN '0' || ({c} % 9 + 1) || '1' || ({c} % 10) "
+        f"WHEN 1 THEN '-W' || ({c} % 5) || ({c} % 9 + 1) || '-' || ({c} % 7 + 1) WHEN 2 THEN 'W' || ({c} % 5) || ({c} % 9 + 1) "
+        f"ELSE '-0' || ({c} % 9 + 1) || '-1' || ({c} % 10) END"
+    )
+    second = (
+        f"(1995 + {c} % 21) || '-1' || ({c} % 3) || '-2' || ({c} % 9) || "
+        f"CASE {c} % 4 WHEN 0 THEN ' 1' || ({c} % 10) WHEN 1 THEN 'T0' || ({c} % 10) || '30' ELSE 'T0' || ({c} % 10) || ':30:00,25' END"
+    )
+    zone = f"CASE {c} % 6 WHEN 0 THEN 'Z' WHEN 1 THEN '+02:00' WHEN 2 THEN '-05' WHEN 3 THEN '+0130' ELSE '' END"
     dates = (
         f"CASE {c} % 7 WHEN 1 THEN {d.texts(repr('not-a-date'))} WHEN 2 THEN {d.texts()} WHEN 3 THEN NULL "
         f"ELSE {d.texts(f'({second} || {zone})', f'({first})', repr('unknown'))} END"
@@ -176,14 +183,18 @@ def ranks(d) -> Derivation:
 
 
 def vector_requests(d) -> Derivation:
-    return Derivation(
-        "orders",
-        (("request_id", "o_orderkey"), ("url", "'https://shop' || o_custkey || '.example/'")),
+    """Requests for vectors, some with blanks around the URL, some unknown to the provider, some refused."""
+    k, c = "o_orderkey", "o_custkey"
+    url = (
+        f"CASE {k} % 17 WHEN 0 THEN '  https://shop' || {c} || '.example/ ' WHEN 1 THEN 'https://gone' || {c} || '.example/' "
+        f"WHEN 2 THEN 'http://localhost/' || {c} WHEN 3 THEN 'ftp://shop' || {c} || '.example/' "
+        f"ELSE 'https://shop' || {c} || '.example/' END"
     )
+    return Derivation("orders", (("request_id", k), ("url", url)))
 
 
 def vector_provider(d) -> Derivation:
-    """Vectors a trusted provider holds for most customers, some of them broken."""
+    """Vectors a trusted provider holds for its customers, some of them broken, some URLs twice."""
     c = "c_custkey"
     code = lambda n: f"({d.div(c, 3**n)} % 3 - 1)"
     codes = {
@@ -199,8 +210,7 @@ def vector_provider(d) -> Derivation:
     }
     return Derivation(
         "customer",
-        (("url", f"'https://shop' || {c} || '.example/'"), ("features", _vector(codes))),
-        f"{c} % 9 <> 0",
+        (("url", f"'https://shop' || ({c} - CASE WHEN {c} % 31 = 0 THEN 1 ELSE 0 END) || '.example/'"), ("features", _vector(codes))),
         heavy=True,
     )
 

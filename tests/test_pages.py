@@ -307,8 +307,8 @@ def test_traffic_is_never_trusted(spark):
 
 def test_provider_vectors(spark):
     good = '{%s}' % ",".join(f'"{n}":1' for n in FEATURES)
-    provider = spark.createDataFrame([("u1", good), ("u2", "{}")], "url string, features string")
-    requests = spark.createDataFrame([(1, "u1"), (2, "u2"), (3, "u3"), (4, "u1")], "id int, url string")
+    provider = spark.createDataFrame([("https://u1.example/", good), ("https://u2.example/", "{}")], "url string, features string")
+    requests = spark.createDataFrame([(i + 1, f"https://u{u}.example/") for i, u in enumerate((1, 2, 3, 1))], "id int, url string")
     found = {r["id"]: r for r in providers.provider_vectors(requests, provider).collect()}
     assert found[1]["vector_error"] is None and found[4]["SFH"] == 1
     assert found[2]["vector_error"].startswith("Live feature record is missing")
