@@ -15,20 +15,28 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once, unless one text is longer.
-SLICE = 2 << 20
+SLICE = 4 << 20
 #: Id bytes of a chunk: little-endian unsigned 32-bit integers.
 IDS = np.dtype("<u4")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows again, in batches of at most SLICE bytes of text or one row."""
+#: What follows a blank that is no cut: nothing, or any kind of white space.
+_NO_CUT = r"^(?:$|[\x09-\x0d\x1c-\x20\x{85}\pZ])"
+
+
+def _flags(found: pa.Array) -> np.ndarray:
+    return found.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of at most so many bytes of text or one row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         start = 0
         while start < len(sizes):
             before = int(ends[start - 1]) if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -58,13 +66,13 @@ class Chunks:
         """Id bytes of distinct chunks."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
-        young, missing = self.young, []
-        for c in chunks:
-            if c not in young:
-                if c in self.old:
-                    young[c] = self.old[c]
-                else:
-                    missing.append(c)
+        young, old = self.young, self.old
+        found = list(map(young.get, chunks))
+        new = [c for c, ids in zip(chunks, found) if ids is None]
+        if not new:
+            return found
+        missing = [c for c in new if c not in old]
+        young.update([(c, old[c]) for c in new if c in old])
         if missing:
             young.update(zip(missing, self.ids_of(missing)))
         return list(map(young.__getitem__, chunks))
@@ -77,14 +85,14 @@ class Chunks:
         pieces = cut.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
         at -= at[0]
         which = pieces.indices.to_numpy().astype(np.int64)
-        kinds = pieces.dictionary.to_pylist()
+        kinds = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         first = np.zeros(len(which), bool)
         first[at[:-1]] = True
         # a blank before another blank, white space or the end is no cut: such a piece belongs to the chunk before it
-        joined = np.fromiter((not k or k[0].isspace() for k in kinds), bool, len(kinds))[which] & ~first
+        joined = _flags(pc.match_substring_regex(pieces.dictionary, _NO_CUT))[which] & ~first
         plain = ~first & ~joined & ~np.append(joined[1:], False)
         if self.special:  # a chunk that holds it is cut once more by the encoder
-            odd = np.fromiter((self.special in k for k in kinds), bool, len(kinds))[which]
+            odd = _flags(pc.match_substring(pieces.dictionary, self.special))[which]
             whole = np.maximum.reduceat(odd, at[:-1]) if len(texts) else odd
             row = np.repeat(whole, np.diff(at))
             plain, joined = plain & ~row, (joined | row) & ~first  # such a text is one chunk

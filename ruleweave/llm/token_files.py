@@ -2,8 +2,9 @@
 
 Documents in ascending id order are encoded with the tokenizers library and
 gathered into blocks.  Each block replaces frequent pairs of ids by nonterminals,
-round by round, and stores the rules, the lengths of their expansions and the
-remaining symbols, so one document can be decoded without the rest.
+round by round, and stores the rules, the lengths of their expansions, the
+remaining symbols and where those of each document end, all packed to the bits
+they need, so one document can be decoded without the rest.
 """
 
 from __future__ import annotations
@@ -21,62 +22,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ruleweave.llm.byte_pairs import CHUNKS, Memory, by_chunks
+from ruleweave.llm.chunks import IDS, Chunks, slices
 from ruleweave.llm.common import batches_of, landed, rows_of
 
 END_ID = 2
+END = np.array([END_ID], IDS)
 #: Ids after which a block is closed; it holds whole documents.
-BLOCK_IDS = 1 << 20
-#: A pair has to occur this often to become a rule, and a round has to remove this share of the symbols to be followed by another.
-LEAST, GAIN = 8, 0.05
+BLOCK_IDS = 1 << 19
+#: A pair has to occur this often to become a rule: it then saves more bits than the rule takes.
+LEAST = 4
 #: In a round every pair at least this part as frequent as the most frequent one is replaced.
 SPREAD = 256
 #: Smallest nonterminal; all ids are below it.
 FIRST = 1 << 24
+#: Chunks whose ids a worker remembers, and bytes of text it encodes at once.
+CHUNKS, SLICE = 300_000, 8 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_HEAD = "<4sQIII"
+_HEAD = "<4sQIIIIIBBB"
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules as pairs of symbols, the lengths of their expansions, and the symbols left.
 
     A round counts all adjacent pairs, takes the most frequent ones and replaces
-    them from left to right where they overlap.
+    them from left to right where they overlap; rounds follow until no pair occurs
+    LEAST times.  The end id is in no pair, so no rule reaches from one document
+    into the next.
     """
     seq, rules, lengths = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)], np.empty(0, np.uint64)
+    every = False  # whether all pairs that pay are to be replaced, not only the most frequent ones
     while len(seq) > LEAST:
-        pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+        spots = np.flatnonzero((seq[:-1] != END_ID) & (seq[1:] != END_ID))
+        if not len(spots):
+            break
+        pairs = seq[spots].astype(np.uint64) << np.uint64(32) | seq[spots + 1]
         # sums over hashes bound the counts from above, so rare pairs need no sorting
         cell = (pairs * _MIX >> np.uint64(44)).astype(np.int64)
         bound = np.bincount(cell)[cell]
-        least = max(LEAST, int(bound.max()) // SPREAD)
-        kinds, counts = np.unique(pairs[bound >= least], return_counts=True)
-        kinds = kinds[counts >= least]
-        if not len(kinds):
-            break
-        which = np.minimum(np.searchsorted(kinds, pairs), len(kinds) - 1)
-        spots = np.flatnonzero(kinds[which] == pairs)
+        least = LEAST if every else max(LEAST, int(bound.max()) // SPREAD)
+        spots, pairs = spots[bound >= least], pairs[bound >= least]
+        kinds, which, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+        spots, which = spots[counts[which] >= least], which[counts[which] >= least]
         # of spots that follow each other directly, every second one from the first
-        start = np.maximum.accumulate(np.where(np.diff(spots, prepend=-2) > 1, spots, 0))
-        spots = spots[(spots - start) % 2 == 0]
-        used = np.bincount(which[spots], minlength=len(kinds))
-        spots = spots[used[which[spots]] >= 2]
+        start = np.maximum.accumulate(np.where(np.diff(spots, prepend=-2) > 1, spots, 0)) if len(spots) else spots
+        spots, which = spots[(spots - start) % 2 == 0], which[(spots - start) % 2 == 0]
+        used = np.bincount(which, minlength=len(kinds)) >= LEAST
+        spots, which = spots[used[which]], which[used[which]]
         if not len(spots):
-            break
-        number = np.cumsum(used >= 2) - 1
-        made = kinds[used >= 2]
-        halves = np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-        first = FIRST + len(lengths)
-        weigh = np.concatenate([lengths, _weights(halves, lengths)])
+            if least == LEAST:
+                break
+            every = True
+            continue
+        every = False
+        halves = np.stack([kinds[used] >> np.uint64(32), kinds[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[spots + 1] = False
-        seq = seq.copy()
-        seq[spots] = first + number[which[spots]]
-        before, seq = len(seq), seq[stay]
+        seq[spots] = FIRST + len(lengths) + (np.cumsum(used) - 1)[which]
+        seq = seq[stay]
         rules.append(halves)
-        lengths = weigh
-        if before - len(seq) < GAIN * before:
-            break
+        lengths = np.concatenate([lengths, _weights(halves, lengths)])
     return np.concatenate(rules), lengths, seq
 
 
@@ -103,80 +107,122 @@ def expand(seq: np.ndarray, rules: np.ndarray) -> np.ndarray:
         seq = out
 
 
+def _packed(numbers: np.ndarray, bits: int) -> bytes:
+    """Numbers of so many bits each, at most 57, one after the other."""
+    out, places = [], np.arange(bits - 1, -1, -1, dtype=np.uint64)
+    for start in range(0, len(numbers), 1 << 16):
+        part = numbers[start : start + (1 << 16)].astype(np.uint64)
+        # a whole number of bytes but for the last part
+        out.append(np.packbits((part[:, None] >> places & np.uint64(1)).astype(np.uint8)).tobytes())
+    return b"".join(out)
+
+
+def _unpacked(data: memoryview, bits: int, start: int, stop: int) -> np.ndarray:
+    """Numbers start to stop of packed ones, reading only their bytes."""
+    first, last = start * bits // 8, -(-stop * bits // 8)
+    held = bytes(data[first:last]) + bytes(8)
+    words = np.ndarray(len(held) - 7, ">u8", held, strides=(1,))  # the eight bytes from every byte on
+    at = np.arange(start, stop, dtype=np.int64) * bits - first * 8
+    return words[at >> 3].astype(np.uint64) << (at & 7).astype(np.uint64) >> np.uint64(64 - bits)
+
+
 def pack(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
-    """One block: head, ids and null marks of documents, their sizes, rules, expansion lengths, symbols."""
+    """One block: head, ids, null marks and sizes of documents, where their symbols end, rules, expansion lengths, symbols.
+
+    Symbols are ids, or behind the largest id the numbers of rules, in as many bits
+    as the largest needs.  Every document ends with the end id.
+    """
     rules, lengths, seq = compress(ids)
-    head = struct.pack(_HEAD, b"RPG1", len(ids), len(doc_ids), len(rules), len(seq))
-    names = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    null = np.array([d is None for d in doc_ids], np.uint8)
-    parts = (names, null, np.array(sizes, "<u8"), rules.astype("<u4"), lengths.astype("<u8"), seq.astype("<u4"))
-    return head + b"".join(x.tobytes() for x in parts)
+    low = int(ids.max(initial=0)) + 1
+    number = lambda x: np.where(x >= FIRST, x - np.uint32(FIRST) + np.uint32(low), x)
+    bits = max(1, (low + len(rules)).bit_length())
+    wide = max(1, int(lengths.max(initial=0)).bit_length())
+    # end ids stay as they are, in their order
+    stops = np.cumsum(sizes, dtype=np.int64) - 1
+    ends = np.flatnonzero(seq == END_ID)[np.cumsum(ids == END_ID)[stops] - 1] + 1 if len(sizes) else stops
+    reach = max(1, len(seq).bit_length())
+    head = struct.pack(_HEAD, b"RPG2", len(ids), len(doc_ids), len(rules), len(seq), low, max(sizes, default=0), bits, wide, reach)
+    names = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()
+    null = np.packbits([d is None for d in doc_ids]).tobytes() if doc_ids else b""
+    parts = ((np.array(sizes, np.int64), max(1, max(sizes, default=0).bit_length())), (ends, reach), (number(rules).ravel(), bits), (lengths, wide), (number(seq), bits))
+    return b"".join([head, names, null, *(_packed(*p) for p in parts)])
 
 
 class Block:
     """A packed block, read without expanding it."""
 
     def __init__(self, payload: bytes):
-        magic, self.n_ids, docs, rules, left = struct.unpack_from(_HEAD, payload)
-        if magic != b"RPG1":
+        magic, self.n_ids, docs, rules, self.n_symbols, self.low, most, self.bits, wide, reach = struct.unpack_from(_HEAD, payload)
+        if magic != b"RPG2":
             raise ValueError("not a token block")
-        at = struct.calcsize(_HEAD)
+        view, at = memoryview(payload), struct.calcsize(_HEAD)
 
-        def take(kind: str, n: int) -> np.ndarray:
+        def take(size: int) -> memoryview:
             nonlocal at
-            found = np.frombuffer(payload, kind, n, at)
-            at += found.nbytes
-            return found
+            at += size
+            return view[at - size : at]
 
-        names, null = take("<i8", docs), take("u1", docs)
+        def numbers(n: int, bits: int) -> np.ndarray:
+            return _unpacked(take(-(-n * bits // 8)), bits, 0, n)
+
+        names, null = np.frombuffer(take(8 * docs), "<i8"), np.unpackbits(np.frombuffer(take(-(-docs // 8)), np.uint8), count=docs)
         self.doc_ids = [None if z else int(d) for d, z in zip(names, null)]
-        self.sizes = take("<u8", docs)
-        self.rules = take("<u4", 2 * rules).reshape(-1, 2)
-        self.lengths = take("<u8", rules)
-        self.symbols = take("<u4", left)
+        self.sizes = numbers(docs, max(1, most.bit_length()))
+        self.ends = numbers(docs, reach).astype(np.int64)
+        self.rules = self._symbols(numbers(2 * rules, self.bits)).reshape(-1, 2)
+        self.lengths = numbers(rules, wide)
+        self.left = take(-(-self.n_symbols * self.bits // 8))
+
+    def _symbols(self, numbers: np.ndarray) -> np.ndarray:
+        return np.where(numbers >= self.low, numbers + np.uint64(FIRST - self.low), numbers).astype(np.uint32)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules)
+        return expand(self._symbols(_unpacked(self.left, self.bits, 0, self.n_symbols)), self.rules)
 
     def document(self, n: int) -> np.ndarray:
-        """Ids of document number n, expanding only the symbols that cover it."""
-        start = int(self.sizes[:n].sum())
-        stop = start + int(self.sizes[n])
-        ends = np.cumsum(_weights(self.symbols[:, None], self.lengths))
-        a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
-        skipped = start - (int(ends[a - 1]) if a else 0)
-        return expand(self.symbols[a:b], self.rules)[skipped : skipped + stop - start]
+        """Ids of document number n; only its own symbols are read."""
+        start = int(self.ends[n - 1]) if n else 0
+        return expand(self._symbols(_unpacked(self.left, self.bits, start, int(self.ends[n]))), self.rules)
 
 
 class Library:
-    """The tokenizers library's encoder with a memory of chunks; strings of special tokens are ordinary text."""
+    """The tokenizers library's encoder with a memory of chunks; made once in each worker."""
 
     def __init__(self, text: str):
-        self.text, self.encode = text, None
+        self.text, self.made = text, None
 
     def __getstate__(self):
-        return {"text": self.text, "encode": None}
+        return {"text": self.text, "made": None}
 
-    def encoder(self):
-        if self.encode is None:
+    def chunks(self) -> Chunks:
+        if self.made is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_str(self.text)
-            tokenizer.encode_special_tokens = True
-            size = tokenizer.get_vocab_size()
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+            added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+            if len(added) > 1:
+                raise ValueError("several added tokens are not supported")
+            special = "".join(added)
             # of a byte-level vocabulary each character stands for one byte
-            width = np.array([len(tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+            width = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())], np.int64)
 
-            def ids_of(chunks: list[str]) -> list[tuple[int, ...]]:
-                # one call for all: a chunk starts with a blank, where the library cuts too
-                ids = tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids  # without offsets
-                ends = np.cumsum(width[ids]) if ids else np.empty(0, np.int64)
-                stops = np.searchsorted(ends, np.cumsum([len(c.encode("utf-8")) for c in chunks]), "left") + 1
-                return [tuple(ids[a:b]) for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
+            def ids_of(chunks: list[str]) -> list[bytes]:
+                # those that start with a blank and hold no added token go in one call: the library cuts there too
+                plain = [c[:1] == " " and len(c) > 1 and not c[1].isspace() and not (special and special in c) for c in chunks]
+                joined = [c for c, p in zip(chunks, plain) if p]
+                ids = np.array(tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, IDS)  # without offsets
+                ends = np.cumsum(width[ids]) if len(ids) else np.empty(0, np.int64)
+                stops = np.searchsorted(ends, np.cumsum([len(c.encode("utf-8")) for c in joined]), "left") + 1
+                data, cuts = ids.tobytes(), [0, *(stops * IDS.itemsize).tolist()]
+                found = iter([data[a:b] for a, b in zip(cuts, cuts[1:])])
+                rest = iter(tokenizer.encode_batch_fast([c for c, p in zip(chunks, plain) if not p], add_special_tokens=False))
+                return [next(found) if p else np.array(next(rest).ids, IDS).tobytes() for p in plain]
 
-            self.encode = by_chunks(ids_of, Memory(CHUNKS))
-        return self.encode
+            self.made = Chunks(ids_of, CHUNKS, special)
+        return self.made
 
 
 BLOCK_SCHEMA = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("at", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
@@ -194,22 +240,24 @@ def write_blocks(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     library = spark.sparkContext.broadcast(Library(Path(tokenizer_path).read_text(encoding="utf-8")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library.value.encoder()
+        chunks = library.value.chunks()
         part = TaskContext.get().partitionId()
 
         def blocks():
-            docs, sizes, chunks, held, number, at = [], [], [], 0, 0, 0
-            for doc, text in rows_of(batches):
-                ids = np.array([*encode(text or ""), END_ID], np.uint32)
-                docs.append(doc)
-                sizes.append(len(ids))
-                chunks.append(ids)
-                held += len(ids)
-                if held >= BLOCK_IDS:
-                    yield part, number, at, held, pack(docs, sizes, np.concatenate(chunks))
-                    docs, sizes, chunks, number, at, held = [], [], [], number + 1, at + held, 0
+            docs, sizes, held, size, number, at = [], [], [], 0, 0, 0
+            for batch in slices(batches, most=SLICE):
+                ends, data = chunks.encode(batch.column("text"))
+                ids = np.frombuffer(data, IDS)
+                for doc, start, stop in zip(batch.column("doc_id").to_pylist(), ends.tolist(), ends[1:].tolist()):
+                    docs.append(doc)
+                    sizes.append(stop - start + 1)
+                    held += (ids[start:stop], END)
+                    size += sizes[-1]
+                    if size >= BLOCK_IDS:
+                        yield part, number, at, size, pack(docs, sizes, np.concatenate(held))
+                        docs, sizes, held, size, number, at = [], [], [], 0, number + 1, at + size
             if docs:
-                yield part, number, at, held, pack(docs, sizes, np.concatenate(chunks))
+                yield part, number, at, size, pack(docs, sizes, np.concatenate(held))
 
         return batches_of(blocks(), BLOCK_SCHEMA)
 
@@ -228,7 +276,7 @@ def read_rows(blocks: DataFrame) -> DataFrame:
         def rows():
             for start, payload in rows_of(batches):
                 block = Block(payload)
-                ids = block.all_ids().astype("<u4")
+                ids = block.all_ids().astype(IDS)
                 for doc, size in zip(block.doc_ids, block.sizes.tolist()):
                     yield doc, start, size, zlib.crc32(ids[:size].tobytes())
                     ids, start = ids[size:], start + size
@@ -239,9 +287,27 @@ def read_rows(blocks: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def fetch(blocks: DataFrame, wanted: list[int]) -> DataFrame:
+    """doc_id and ids (array, with the end id) of some documents, read at random: only their symbols are expanded."""
+    schema, asked = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))]), set(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for (payload,) in rows_of(batches):
+                block = Block(payload)
+                for n, doc in enumerate(block.doc_ids):
+                    if doc in asked:
+                        yield doc, block.document(n).tolist()
+
+        return batches_of(rows(), schema)
+
+    return blocks.select("payload").mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def round_trip(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write token blocks and describe every document as read back from them.
 
-    An empty table gives no rows; other columns are ignored.
+    Repeated rows stay, one after the other; a null text has just the end id.  An
+    empty table gives no rows; other columns are ignored.
     """
     return read_rows(write_blocks(documents, tokenizer_path))
