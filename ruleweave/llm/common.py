@@ -18,15 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's own setting: shuffle files go once the query that made them has ended.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def landed(frame: DataFrame, name: str) -> DataFrame:
     """Write once into the shared folder and go on from there.
 
     Cuts lineage, so that lost executors cost no second pass, and lets several
-    later steps read one result.
+    later steps read one result.  The shuffle files of the step are not needed any
+    more and go at its end.
     """
     spark = frame.sparkSession
     path = scratch_table(spark, name)
-    frame.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -202,6 +202,24 @@ def _merged(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.stack([lo[np.append(0, gap + 1)], hi[np.append(gap, len(hi) - 1)]], axis=1) if len(lo) else np.empty((0, 2), np.int64)
 
 
+def _noted(texts: list[tuple], places: list[tuple]) -> pa.Table:
+    """The table of `_snippets` for one cell: texts, places of open anchors, and each of their snippets once."""
+    rows, whole, docs, digests, spans = zip(*texts) if texts else ((),) * 5
+    h, sid, own = (np.concatenate(x, axis=-1) for x in zip(*places)) if places else (np.empty(0, np.int64),) * 2 + (np.empty((6, 0), np.int64),)
+    order = np.lexsort((own[1], sid, h))
+    new = (np.diff(h[order]) != 0) | (np.diff(sid[order]) != 0)
+    first, last = order[np.append(True, new)[: len(h)]], order[np.append(new, True)[: len(h)]]
+    bytes_ = [whole[t][a : a + n + LENGTH] for t, a, n in zip(*own[[2, 3, 5]][:, first].tolist())]
+    parts = [
+        {"row": rows, "bytes": whole, "doc_id": docs, "digest": digests, "spans": spans},
+        {"row": own[0], "hash": h, "sid": sid, "lo": own[3], "doc_id": own[1]},
+        {"hash": h[first], "sid": sid[first], "at": own[4][first], "bytes": bytes_, "doc_id": own[1][first], "last": own[1][last]},
+    ]
+    sizes = [len(rows), len(h), len(first)]
+    columns = [pa.concat_arrays([pa.array(p[f.name], f.type) if f.name in p else pa.nulls(n, f.type) for p, n in zip(parts, sizes)]) for f in SNIPPETS]
+    return pa.table(columns, schema=SNIPPETS)
+
+
 def _snippets(rows: DataFrame, notes: DataFrame, low: int, width: int) -> DataFrame:
     """Texts that share an anchor with others, and the snippets of open anchors.
 
@@ -218,7 +236,7 @@ def _snippets(rows: DataFrame, notes: DataFrame, low: int, width: int) -> DataFr
         order = np.argsort(settled)
         settled, owner, still = settled[order], owner[order], np.sort(still)
         copies = {(d, g) for d, g in zip(right.column("doc_id").to_pylist(), right.column("digest").to_pylist()) if g is not None}
-        out, held = [], {}
+        texts, places = [], []
         ids, cells = left.column("doc_id").to_pylist(), left.column("cell").to_pylist()
         for number, (doc, cell) in enumerate(zip(ids, cells) if len(settled) or len(still) else ()):
             text = (left.column("text")[number].as_py() or "").encode("utf-8")
@@ -237,16 +255,11 @@ def _snippets(rows: DataFrame, notes: DataFrame, low: int, width: int) -> DataFr
             if not (gone.any() or open_.any()):
                 continue
             row = cell << 24 | number
-            spans = _merged(lo[gone], hi[gone]).astype("<i8").tobytes()
-            out.append((row, None, None, None, None, text, doc, None, digest, spans))
-            for key, name, a, s, e in zip(*(x[open_].tolist() for x in (h, sid, at, lo, hi))):
-                out.append((row, key, name, None, s, None, doc, None, None, None))
-                known = held.setdefault((key, name), [a - s, text[s : e + LENGTH], doc, doc])
-                known[2:] = min(known[2], doc), max(known[3], doc)
-        for (key, name), (at, snippet, first, last) in held.items():
-            out.append((None, key, name, at, None, snippet, first, last, None, None))
-        columns = zip(*out) if out else [[] for _ in SNIPPETS]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, SNIPPETS)], schema=SNIPPETS)
+            if open_.any():
+                own = np.stack([np.full(int(open_.sum()), v) for v in (row, doc, len(texts))] + [lo[open_], at[open_] - lo[open_], hi[open_] - lo[open_]])
+                places.append((h[open_].astype(np.int64), sid[open_].astype(np.int64), own.astype(np.int64)))
+            texts.append((row, text, doc, digest, _merged(lo[gone], hi[gone]).astype("<i8").tobytes()))
+        return _noted(texts, places)
 
     both = rows.select("cell", "doc_id", "text").groupBy("cell").cogroup(notes.groupBy("cell"))
     return both.applyInArrow(run, _SNIPPETS)
