@@ -129,10 +129,15 @@ def add_route(encoded: DataFrame) -> DataFrame:
     )
 
 
+def code(name: str) -> Column:
+    """The code of a feature of an encoded page."""
+    return codes.cell(name)["encoded_value"]
+
+
 def ready_rows(routed: DataFrame) -> DataFrame:
     """The rows to score, with their nine codes as columns."""
     return routed.where(F.col("route") == "scored").withColumns(
-        {name: codes.cell(name)["encoded_value"] for name in FEATURES}
+        {name: code(name) for name in FEATURES}
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruleweave.contract import FEATURES
 from ruleweave.functions import suffixes as suffixes_of
 from ruleweave.functions import urls, vectors
 from ruleweave.functions.dates import parse_date
@@ -125,9 +126,21 @@ def provider_vectors(requests: DataFrame, provider: DataFrame | None) -> DataFra
         return screened.withColumn("features", F.lit(None).cast("string")).select(
             "*", F.coalesce(refused, missing).alias("vector_error")
         ).drop("url_error")
-    one = provider.where("features is not null").groupBy(F.col("url").alias("asked")).agg(F.min("features").alias("features"))
-    checked = vectors.spread_codes(vectors.check_vectors(one))
-    supplied = checked.drop("names", "raw", "codes").withColumn("supplied", F.lit(True))
+    supplied = _one_vector(provider).withColumn("supplied", F.lit(True))
     asked = screened.withColumn("asked", F.when(refused.isNull(), urls.trimmed(F.col("url"))))
     unsupplied = F.when(F.col("supplied").isNull(), "Trusted feature provider failed").otherwise(F.col("vector_error"))
     return lookup(asked, supplied, "asked").withColumn("vector_error", F.coalesce(refused, unsupplied)).drop("supplied", "asked", "url_error")
+
+
+def _one_vector(provider: DataFrame) -> DataFrame:
+    """The checked vector of every URL (``asked``) of a provider table."""
+    one = provider.where("features is not null").groupBy(F.col("url").alias("asked")).agg(F.min("features").alias("features"))
+    return vectors.spread_codes(vectors.check_vectors(one)).drop("names", "raw", "codes")
+
+
+def with_vectors(screened: DataFrame, provider: DataFrame, name: str) -> DataFrame:
+    """Add the valid vector that a provider has for the ``url`` of screened rows, as a struct of nine codes or NULL."""
+    valid = _one_vector(provider).where("vector_error is null")
+    valid = valid.select("asked", F.struct(*FEATURES).alias(name))
+    asked = screened.withColumn("asked", F.when(F.col("url_error").isNull(), F.col("url")))
+    return lookup(asked, valid, "asked").drop("asked")

@@ -12,11 +12,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruleweave.contract import CLASS_COUNTS, FEATURES, RECORD, TARGET, ContractError
+from ruleweave.contract import CLASS_COUNTS, FEATURES, RECORD, TARGET
 from ruleweave.operators.validate import require_columns
 from ruleweave.session import settle
 
-MAX_CODES = 100_000
+#: Values of a column that the profile writes out as one text.
+DOMAIN_VALUES = 1_000
 
 
 def distinct_records(frame: DataFrame) -> DataFrame:
@@ -91,42 +92,67 @@ def value_frequencies(records: DataFrame) -> DataFrame:
     )
 
 
-def _require_coded(values: DataFrame) -> None:
-    """Refuse columns with too many distinct values to be codes.
+def quantiles(counts: DataFrame, points: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles by column of counted values (column_name, value, n).
 
-    Keeps the per-column lists and exact quantiles below a known size.
+    Values are dealt by range; sums of the ranges before give each value its
+    positions, so no column meets in one task.
     """
-    wide = values.groupBy("column_name").count().where(F.col("count") > MAX_CODES).first()
-    if wide:
-        raise ContractError(
-            f"Column {wide['column_name']!r} has {wide['count']} distinct values; "
-            f"at most {MAX_CODES} are profiled"
-        )
+    dealt = counts.where("value is not null").select("column_name", "value", "n")
+    dealt = settle(dealt.repartitionByRange("column_name", "value").withColumn("part", F.spark_partition_id()))
+    column = Window.partitionBy("column_name")
+    before = column.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("column_name", "part").agg(F.sum("n").alias("rows_in"))  # a row for each column and range
+    parts = parts.withColumn("start", F.coalesce(F.sum("rows_in").over(before), F.lit(0))).withColumn("k", F.sum("rows_in").over(column))
+    inside = Window.partitionBy("column_name", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.join(F.broadcast(parts.drop("rows_in")), ["column_name", "part"])
+    last = F.col("start") + F.sum("n").over(inside)
+    wanted = F.array(*[F.struct(F.lit(name).alias("point"), (F.lit(q) * (F.col("k") - 1)).alias("at")) for name, q in points.items()])
+    placed = placed.withColumn("last", last).withColumn("first", F.col("last") - F.col("n"))
+    held = lambda at: (F.col("first") <= at) & (at < F.col("last"))
+    hits = F.filter(wanted, lambda w: held(F.floor(w["at"])) | held(F.ceil(w["at"])))
+    found = placed.select("column_name", "value", "first", "last", F.explode(hits).alias("hit"))
+    at = F.col("hit.at")
+    share = at - F.floor(at)
+    weight = F.when(held(F.floor(at)), 1 - share).otherwise(0) + F.when(held(F.ceil(at)) & (share > 0), share).otherwise(0)
+    one = found.withColumn("part_of", F.col("value") * weight)
+    return one.groupBy("column_name").agg(*[F.sum(F.when(F.col("hit.point") == name, F.col("part_of"))).alias(name) for name in points])
+
+
+def _domains(counts: DataFrame) -> DataFrame:
+    """The values of columns with at most DOMAIN_VALUES of them as one text; others have too many to be codes."""
+    few = counts.groupBy("column_name").agg(F.count("*").alias("values")).where(F.col("values") <= DOMAIN_VALUES)
+    listed = counts.join(F.broadcast(few), "column_name").groupBy("column_name")  # a row for each column is broadcast
+    return listed.agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("domain"))
 
 
 def column_profile(records: DataFrame) -> DataFrame:
-    """Per column: missing values, distinct values, domain and exact statistics."""
-    long = _unpivot(records).groupBy("column_name", "value").agg(F.sum("n").alias("n"))
-    _require_coded(long)
+    """Per column: missing values, distinct values, domain and exact statistics, however many values it has.
+
+    The domain text is NULL for a column with more than DOMAIN_VALUES values;
+    `value_frequencies` lists them all.
+    """
+    long = settle(_unpivot(records).groupBy("column_name", "value").agg(F.sum("n").alias("n")))
     value, n = F.col("value"), F.col("n")
     present = F.when(value.isNotNull(), n).otherwise(0)
-    quartile = lambda q: F.percentile(value, q, n)
     sums = long.groupBy("column_name").agg(
         F.sum(n).alias("row_count"),
         F.sum(n - present).alias("missing_count"),
         F.count("*").alias("unique_count"),
-        F.array_join(F.array_sort(F.collect_list(value)), ",").alias("domain"),
         F.sum(present).alias("k"),
         F.sum(value * n).alias("s"),
-        F.sum(value * value * n).alias("ss"),
+        F.sum(value.cast("decimal(12,0)") * value.cast("decimal(12,0)") * n).alias("ss"),
         F.min(value).alias("min"),
-        quartile(0.25).alias("p25"),
-        quartile(0.5).alias("p50"),
-        quartile(0.75).alias("p75"),
         F.max(value).alias("max"),
     )
     k, s, ss = F.col("k"), F.col("s"), F.col("ss")
-    variance = F.try_divide(k * ss - s * s, k * (k - 1))
+    # squared sums leave the range of long; beyond 38 digits doubles have to do
+    wide, double = (lambda c: c.cast("decimal(38,0)")), (lambda c: c.cast("double"))
+    exact = F.try_subtract(F.try_multiply(wide(k), wide(ss)), F.try_multiply(wide(s), wide(s)))
+    spread = F.coalesce(double(exact), double(k) * double(ss) - double(s) * double(s))
+    variance = F.try_divide(spread, double(k) * double(k - 1))
+    points = quantiles(long, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    sums = sums.join(points, "column_name", "left").join(_domains(long), "column_name", "left")
     return sums.select(
         "column_name",
         "row_count",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import warnings
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from pyspark.sql.utils import AnalysisException
 from ruleweave.contract import FEATURES
 from ruleweave.operators.fingerprint import fingerprint
 from ruleweave.plans.training import Model
+from ruleweave.sources import commits
+
+MODEL_KEY = "model"
 
 # Artifact versions by model kind, and the stated rule orders.
 VERSIONS = {"strength": 2, "class_relative": 1}
@@ -20,6 +25,9 @@ ORDERS = {
 }
 
 
+MODEL_NAME, MODEL_TYPE = "associative_classifier", "Associative Classification"
+
+
 class ModelError(RuntimeError):
     """A stored model is missing, unfitted, of another version or altered."""
 
@@ -32,30 +40,52 @@ def rules_digest(rules: DataFrame) -> str:
     return fingerprint(_flat(rules)).first()["digest"]
 
 
+def table_digests(model: Model) -> dict[str, str]:
+    """Fingerprints of header and rules, each with the names and types of its columns."""
+
+    def digest(table: DataFrame) -> str:
+        kinds = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in sorted(table.schema, key=lambda f: f.name))
+        return sha256(f"{kinds};{fingerprint(table).first()['digest']}".encode()).hexdigest()
+
+    return {"header": digest(model.totals), "rules": digest(_flat(model.rules))}
+
+
+def model_digest(digests: dict[str, str], kind: str) -> str:
+    """One fingerprint over those of the tables, the kind and its version."""
+    parts = [f"{name}={value}" for name, value in sorted(digests.items())]
+    return sha256(";".join([*parts, kind, str(VERSIONS[kind])]).encode()).hexdigest()
+
+
 def save_model(model: Model, path: str, kind: str = "strength") -> str:
-    """Write rules and header; returns the fingerprint of the rules.
+    """Commit rules and header as one version; returns the fingerprint of the whole model.
 
-    An unfitted model (no rows seen) is refused.
+    Readers see the version before until all of this one is written.  An unfitted
+    model (no rows seen) is refused.
     """
+    spark = model.rules.sparkSession
     totals = model.totals.collect()
     if len(totals) != 1 or not totals[0]["n_samples"]:
         raise ModelError("Cannot save an unfitted classifier")
-    model.rules.write.mode("overwrite").parquet(f"{path}/rules")
-    model.totals.select(
-        "*", F.lit(kind).alias("kind"), F.lit(VERSIONS[kind]).alias("artifact_version")
-    ).write.mode("overwrite").parquet(f"{path}/header")
-    return rules_digest(model.rules.sparkSession.read.parquet(f"{path}/rules"))
+    digests = table_digests(model)
+    facts = {"kind": kind, "artifact_version": VERSIONS[kind], "digests": digests}
+    commits.commit(spark, path, MODEL_KEY, {"rules": model.rules, "header": model.totals}, facts)
+    return model_digest(digests, kind)
+
+
+def _stored(spark: SparkSession, path: str, kind: str) -> tuple[Model, dict]:
+    lines = commits.current(spark, path, MODEL_KEY)
+    if not lines:
+        raise ModelError("No model is stored here")
+    facts = json.loads(lines[0]["facts"])
+    if facts.get("kind") != kind or facts.get("artifact_version") != VERSIONS[kind]:
+        raise ModelError("Unsupported classifier artifact")
+    rules, header = (spark.read.parquet(f"{path}/{name}/{lines[0]['folder']}") for name in ("rules", "header"))
+    return Model(rules, header), facts
 
 
 def load_model(spark: SparkSession, path: str, kind: str = "strength") -> Model:
-    """Read a stored model of the expected kind and version."""
-    header = spark.read.parquet(f"{path}/header")
-    row = header.first()
-    if row is None or row["kind"] != kind or row["artifact_version"] != VERSIONS[kind]:
-        raise ModelError("Unsupported classifier artifact")
-    return Model(
-        spark.read.parquet(f"{path}/rules"), header.drop("kind", "artifact_version")
-    )
+    """Read the latest stored model of the expected kind and version."""
+    return _stored(spark, path, kind)[0]
 
 
 def load_verified_model(
@@ -65,18 +95,21 @@ def load_verified_model(
     strict: bool = False,
     kind: str = "strength",
 ) -> Model:
-    """Read a stored model only if its rules have the expected fingerprint.
+    """Read a stored model only if header and rules have the expected fingerprint.
 
     Without an expected value this is an error in strict mode and a warning
-    otherwise.
+    otherwise.  The error names the tables that are not as they were written.
     """
     if not expected:
         if strict:
             raise ModelError("A model fingerprint is required in strict mode")
         warnings.warn("No model fingerprint given; the model is unverified", RuntimeWarning, 2)
-    model = load_model(spark, path, kind)
-    if expected and rules_digest(model.rules) != expected.strip().lower():
-        raise ModelError("Model integrity check failed")
+    model, facts = _stored(spark, path, kind)
+    if expected:
+        digests = table_digests(model)
+        if model_digest(digests, kind) != expected.strip().lower():
+            altered = [name for name, value in digests.items() if facts["digests"].get(name) != value]
+            raise ModelError(f"Model integrity check failed: {', '.join(altered) or 'another model'}")
     return model
 
 
@@ -112,14 +145,19 @@ MANIFEST_FIELDS = "rules_digest string, dataset_digest string"
 
 
 def read_report(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """The one row of a report table; all fields NULL if the report is absent."""
+    """The one row of a report table; all fields NULL if the report is absent.
+
+    A table with several rows is no such report and ends the query with an error.
+    """
     try:
-        return spark.read.schema(schema).json(f"{path}/{name}").limit(1)
+        rows = spark.read.schema(schema).json(f"{path}/{name}")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        nothing = spark.createDataFrame([], schema)
-        return nothing.agg(*[F.first(f.name).alias(f.name) for f in nothing.schema])
+        rows = spark.createDataFrame([], schema)
+    several = F.raise_error(F.lit(f"Report {name!r} has more than one row"))
+    one = F.when(F.count("*") > 1, several.cast("boolean")).otherwise(True).alias("one_row")
+    return rows.agg(one, *[F.first(f.name).alias(f.name) for f in rows.schema]).where("one_row").drop("one_row")
 
 
 def report_view(
@@ -127,19 +165,21 @@ def report_view(
 ) -> DataFrame:
     """One row with the evaluation, quality and model state fields of a report.
 
-    The three parts are one-row tables, keyed alike to stand side by side.
+    The three parts are one-row tables, joined by a constant number.
     """
 
     def part(name: str, schema: str) -> DataFrame:
-        return read_report(spark, path, name, schema).withColumn("part", F.spark_partition_id() * 0)
+        return read_report(spark, path, name, schema).withColumn("part", F.lit(1))
 
     state = "Verified" if verified and model_loaded else "Integrity verification not configured"
     return (
         part("evaluation", EVALUATION_FIELDS)
-        .join(part("quality", QUALITY_FIELDS), "part", "full")
-        .join(part("manifest", MANIFEST_FIELDS), "part", "full")
+        .join(part("quality", QUALITY_FIELDS), "part")
+        .join(part("manifest", MANIFEST_FIELDS), "part")
         .drop("part")
         .withColumn("feature_names", F.lit(",".join(FEATURES)))
+        .withColumn("model_name", F.lit(MODEL_NAME))
+        .withColumn("model_type", F.lit(MODEL_TYPE))
         .withColumn("model_loaded", F.lit(model_loaded))
         .withColumn("integrity", F.lit(state))
     )
@@ -154,8 +194,8 @@ def manifest(
     """
     data = fingerprint(records, weight="n").first()
     return evaluation.select(
-        F.lit("associative_classifier").alias("model_name"),
-        F.lit("Associative Classification").alias("model_type"),
+        F.lit(MODEL_NAME).alias("model_name"),
+        F.lit(MODEL_TYPE).alias("model_type"),
         F.lit(VERSIONS[kind]).alias("artifact_version"),
         F.lit(data["row_count"]).alias("dataset_rows"),
         F.lit(data["digest"]).alias("dataset_digest"),

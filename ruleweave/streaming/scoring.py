@@ -22,8 +22,8 @@ def score_vectors(stream: DataFrame, table: DataFrame, text: str = "features") -
     return score(vectors.spread_codes(vectors.check_vectors(stream, text)), table)
 
 
-def encode_pages(stream: DataFrame) -> DataFrame:
-    """Raw pages to observations; lookups join static tables as in the batch job."""
+def observe_pages(stream: DataFrame) -> DataFrame:
+    """Raw pages to observations; `routing.route_stream` encodes, scores and stores them."""
     return pages.observe(stream)
 
 

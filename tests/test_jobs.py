@@ -355,7 +355,7 @@ def test_stream_pages(spark, tmp_path):
     spark.createDataFrame(pages, "url string, html string").write.parquet(str(tmp_path / "pages"))
     stream = spark.readStream.schema("url string, html string").parquet(str(tmp_path / "pages"))
     query = (
-        streams.encode_pages(stream)
+        streams.observe_pages(stream)
         .writeStream.format("memory")
         .queryName("seen_pages")
         .trigger(availableNow=True)
