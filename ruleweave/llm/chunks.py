@@ -77,6 +77,11 @@ class Chunks:
             young.update(zip(missing, self.ids_of(missing)))
         return list(map(young.__getitem__, chunks))
 
+    def store(self, words: pa.Array, others: list[str]) -> pa.LargeBinaryArray:
+        """Id bytes of distinct chunks: words with a blank before them, and behind them chunks of any other form."""
+        named = words.to_numpy(zero_copy_only=False).tolist()
+        return pa.array(self.known([*[" " + w for w in named], *others]), pa.large_binary())
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
         """Where the ids of each text end (in ids, from 0 on) and the id bytes of all; a null text is empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -85,7 +90,6 @@ class Chunks:
         pieces = cut.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
         at -= at[0]
         which = pieces.indices.to_numpy().astype(np.int64)
-        kinds = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         first = np.zeros(len(which), bool)
         first[at[:-1]] = True
         # a blank before another blank, white space or the end is no cut: such a piece belongs to the chunk before it
@@ -98,19 +102,19 @@ class Chunks:
             plain, joined = plain & ~row, (joined | row) & ~first  # such a text is one chunk
         heads = np.flatnonzero(~joined)
         numbers = np.empty(len(which), np.int64)
-        used = np.zeros(len(kinds), bool)
+        used = np.zeros(len(pieces.dictionary), bool)
         used[which[plain]] = True
-        names = [" " + kinds[k] for k in np.flatnonzero(used)]
         numbers[plain] = (np.cumsum(used) - 1)[which[plain]]
-        own = {name: i for i, name in enumerate(names)}
+        words = pieces.dictionary.filter(pa.array(used))
         ends = np.append(heads[1:], len(which))
         rest = np.flatnonzero(~plain[heads])
+        kinds = pieces.dictionary.to_numpy(zero_copy_only=False) if len(rest) else ()
+        others: dict[str, int] = {}
         for a, b in zip(heads[rest].tolist(), ends[rest].tolist()):
             name = " ".join([kinds[k] for k in which[a:b]])
             name = name if first[a] else " " + name
-            numbers[a] = own.setdefault(name, len(own))
-        store = pa.array(self.known(list(own)), pa.large_binary())
-        stops, data = gathered(store, numbers[heads])
+            numbers[a] = len(words) + others.setdefault(name, len(others))
+        stops, data = gathered(self.store(words, list(others)), numbers[heads])
         return stops[np.searchsorted(heads, at)] // IDS.itemsize, data
 
 

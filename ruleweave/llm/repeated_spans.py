@@ -31,9 +31,11 @@ from ruleweave.llm.suffix_order import suffix_order
 LENGTH, GRAM, SYMBOL = 50, 24, 5
 REACH = LENGTH - GRAM + 1
 #: Bytes of text in one cell of documents, and anchors in one range of hashes, that a task works on together.
-CELL_BYTES, RANGE_ANCHORS = 8 << 20, 500_000
+CELL_BYTES, RANGE_ANCHORS = 4 << 20, 200_000
+#: Anchors that a task gathers before it sorts them and passes them on.
+GATHERED = 250_000
 #: Starts worked on in one go inside a long text.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 #: Symbols of one suffix order.
 BATCH = 20_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -128,7 +130,7 @@ def _all_anchors(rows: DataFrame, bits: int, low: int, width: int) -> DataFrame:
                 if len(h):
                     held.append((h, digest, np.full(len(h), doc - low, np.uint64), np.full(len(h), cell, np.int64)))
                     size += len(h)
-                if size >= 1_000_000:
+                if size >= GATHERED:
                     yield from flush(held)
                     held, size = [], 0
             if size:

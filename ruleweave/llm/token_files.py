@@ -17,6 +17,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -35,8 +36,10 @@ LEAST = 4
 SPREAD = 256
 #: Smallest nonterminal; all ids are below it.
 FIRST = 1 << 24
-#: Chunks whose ids a worker remembers, and bytes of text it encodes at once.
-CHUNKS, SLICE = 300_000, 8 << 20
+#: Bytes of text of which a worker encodes the distinct chunks at once, and chunks in one call of the library.
+SLICE, CALL = 8 << 20, 50_000
+#: Words whose ids a worker remembers.
+REMEMBERED = 600_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _HEAD = "<4sQIIIIIBBB"
 
@@ -51,15 +54,15 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     seq, rules, lengths = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)], np.empty(0, np.uint64)
     every = False  # whether all pairs that pay are to be replaced, not only the most frequent ones
+    fresh = 0  # only pairs with a symbol from here on can have become frequent
     while len(seq) > LEAST:
-        spots = np.flatnonzero((seq[:-1] != END_ID) & (seq[1:] != END_ID))
-        if not len(spots):
-            break
+        open_ = seq != END_ID
+        spots = np.flatnonzero(open_[:-1] & open_[1:] & ((seq[:-1] >= fresh) | (seq[1:] >= fresh)))
         pairs = seq[spots].astype(np.uint64) << np.uint64(32) | seq[spots + 1]
         # sums over hashes bound the counts from above, so rare pairs need no sorting
         cell = (pairs * _MIX >> np.uint64(44)).astype(np.int64)
-        bound = np.bincount(cell)[cell]
-        least = LEAST if every else max(LEAST, int(bound.max()) // SPREAD)
+        bound = np.bincount(cell)[cell] if len(cell) else cell
+        least = LEAST if every else max(LEAST, int(bound.max(initial=0)) // SPREAD)
         spots, pairs = spots[bound >= least], pairs[bound >= least]
         kinds, which, counts = np.unique(pairs, return_inverse=True, return_counts=True)
         spots, which = spots[counts[which] >= least], which[counts[which] >= least]
@@ -69,11 +72,12 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         used = np.bincount(which, minlength=len(kinds)) >= LEAST
         spots, which = spots[used[which]], which[used[which]]
         if not len(spots):
-            if least == LEAST:
+            if least == LEAST and not fresh:
                 break
-            every = True
+            every, fresh = True, 0  # a look at all pairs before the end
             continue
-        every = False
+        every = least == LEAST
+        fresh = FIRST + len(lengths) if every else 0
         halves = np.stack([kinds[used] >> np.uint64(32), kinds[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[spots + 1] = False
@@ -185,8 +189,60 @@ class Block:
         return expand(self._symbols(_unpacked(self.left, self.bits, start, int(self.ends[n]))), self.rules)
 
 
+class Encoder(Chunks):
+    """The tokenizers library's encoder over the distinct chunks of a batch, without a loop over them.
+
+    Words met lately and their ids are remembered as Arrow columns.
+    """
+
+    def __init__(self, text: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = self.tokenizer = Tokenizer.from_str(text)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        if len(added) > 1:
+            raise ValueError("several added tokens are not supported")
+        super().__init__(self.each, 0, "".join(added))
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        # of a byte-level vocabulary each character stands for one byte
+        self.width = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())], np.int64)
+
+    def each(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, IDS).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def store(self, words: pa.Array, others: list[str]) -> pa.LargeBinaryArray:
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(at.is_null())
+        fresh = self._together(new)
+        known = pa.concat_arrays([self.ids, fresh])
+        at = at.to_numpy(zero_copy_only=False)
+        at = np.where(np.isnan(at), len(self.ids) + np.cumsum(np.isnan(at)) - 1, at).astype(np.int64)
+        found = known.take(pa.array(at))
+        if len(known) > REMEMBERED:  # the words of this batch are the latest
+            self.words, self.ids = words, found
+        else:
+            self.words, self.ids = pa.concat_arrays([self.words, new]), known
+        return pa.concat_arrays([found, pa.array(self.each(others), pa.large_binary())])
+
+    def _together(self, words: pa.Array) -> pa.LargeBinaryArray:
+        """Id bytes of words with a blank before them; the library cuts before every blank too, so one text holds many."""
+        stops, ids = [np.zeros(1, np.int64)], []
+        for start in range(0, len(words), CALL):
+            spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words.slice(start, CALL), pa.scalar(" ", pa.large_string()))
+            text = "".join(spaced.to_numpy(zero_copy_only=False))
+            found = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, IDS)  # without offsets
+            sizes = np.cumsum(pc.binary_length(spaced).to_numpy())
+            stops.append(np.searchsorted(np.cumsum(self.width[found]), sizes, "left") + 1 + stops[-1][-1])
+            ids.append(found.tobytes())
+        offsets = np.concatenate(stops) * IDS.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(ids))])
+
+
 class Library:
-    """The tokenizers library's encoder with a memory of chunks; made once in each worker."""
+    """A vocabulary file as it is broadcast; its encoder is made once in each worker."""
 
     def __init__(self, text: str):
         self.text, self.made = text, None
@@ -194,34 +250,9 @@ class Library:
     def __getstate__(self):
         return {"text": self.text, "made": None}
 
-    def chunks(self) -> Chunks:
+    def chunks(self) -> Encoder:
         if self.made is None:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_str(self.text)
-            tokenizer.no_truncation()
-            tokenizer.no_padding()
-            added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-            if len(added) > 1:
-                raise ValueError("several added tokens are not supported")
-            special = "".join(added)
-            # of a byte-level vocabulary each character stands for one byte
-            width = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())], np.int64)
-
-            def ids_of(chunks: list[str]) -> list[bytes]:
-                # those that start with a blank and hold no added token go in one call: the library cuts there too
-                plain = [c[:1] == " " and len(c) > 1 and not c[1].isspace() and not (special and special in c) for c in chunks]
-                joined = [c for c, p in zip(chunks, plain) if p]
-                ids = np.array(tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, IDS)  # without offsets
-                ends = np.cumsum(width[ids]) if len(ids) else np.empty(0, np.int64)
-                stops = np.searchsorted(ends, np.cumsum([len(c.encode("utf-8")) for c in joined]), "left") + 1
-                data, cuts = ids.tobytes(), [0, *(stops * IDS.itemsize).tolist()]
-                found = iter([data[a:b] for a, b in zip(cuts, cuts[1:])])
-                rest = iter(tokenizer.encode_batch_fast([c for c, p in zip(chunks, plain) if not p], add_special_tokens=False))
-                return [next(found) if p else np.array(next(rest).ids, IDS).tobytes() for p in plain]
-
-            self.made = Chunks(ids_of, CHUNKS, special)
+            self.made = Encoder(self.text)
         return self.made
 
 
