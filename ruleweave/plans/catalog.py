@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.contract import FEATURES, RECORD, TARGET
+from ruleweave.contract import CLASS_COUNTS, FEATURES, RECORD, TARGET
 from ruleweave.functions import codes, items, keys, urls, vectors
 from ruleweave.operators import (
     evaluate,
@@ -15,6 +15,7 @@ from ruleweave.operators import (
     fingerprint,
     history,
     mining,
+    open_items,
     pages,
     providers,
     quality,
@@ -217,6 +218,30 @@ def rule_characteristics(spark, sf_dir):
 # -- matching and explaining -------------------------------------------------------
 
 
+def _open_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class rules of the labelled records, mined as baskets of items."""
+    frame = frames.labelled(spark, sf_dir)
+    baskets = frame.select(F.array(*items.feature_items()).alias("items"), items.class_item().alias("consequent"))
+    rules = open_items.class_rules(baskets, PARAMS)
+    code = F.coalesce(*[F.when(F.col("consequent") == items.class_item(F.lit(c)), F.lit(c)) for c in CLASS_COUNTS])
+    return ranking.rank_rules(rules.withColumn("class", code).withColumn("run", F.lit("model")))
+
+
+@query
+def open_class_rules(spark, sf_dir):
+    return _open_rules(spark, sf_dir).select(*_rule_columns())
+
+
+@query
+def open_matched_rule_counts(spark, sf_dir):
+    rules = _open_rules(spark, sf_dir).select(F.col("rank").alias("rule"), "antecedent")
+    present = frames.labelled(spark, sf_dir).select(*FEATURES).distinct()
+    baskets = present.select(F.struct(*FEATURES).alias("id"), F.array(*items.feature_items()).alias("items"))
+    counted = open_items.matches(baskets, settle(rules)).groupBy("id").agg(F.count("*").alias("n"))
+    both = baskets.join(counted, "id", "left")
+    return both.select("id.*", F.coalesce("n", F.lit(0)).cast("long").alias("matching_rule_count"))
+
+
 @query
 def matched_rule_counts(spark, sf_dir):
     cells = _cells(spark, sf_dir)

@@ -1187,6 +1187,11 @@ def all_sql() -> dict[str, str]:
             MATCHED,
             f"SELECT {F9}, coalesce(matching_rule_count, 0) AS matching_rule_count FROM (SELECT DISTINCT {F9} FROM lab) v LEFT JOIN m_first f ON f.vkey = {_key('v.')}",
         ),
+        "open_class_rules": _with(mined, f"SELECT {RULE_COLUMNS} FROM m_rules"),
+        "open_matched_rule_counts": _with(
+            MATCHED,
+            f"SELECT {F9}, coalesce(matching_rule_count, 0) AS matching_rule_count FROM (SELECT DISTINCT {F9} FROM lab) v LEFT JOIN m_first f ON f.vkey = {_key('v.')}",
+        ),
         "predictions": _with(
             [*MATCHED, *_score("m_", "lab", "scored")],
             "SELECT record_id, Result AS actual, predicted, matching_rule_count, rank FROM scored",
