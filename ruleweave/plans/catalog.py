@@ -28,6 +28,7 @@ from ruleweave.operators.mining import Mining
 from ruleweave.plans import training
 from ruleweave.session import scratch_table, settle
 from ruleweave.sources import derive, frames, history_store, store, tables
+from ruleweave.streaming import routing
 
 PARAMS = Mining(min_support=0.01, min_confidence=0.5, min_lift=1.0)
 THRESHOLDS = [0.3, 0.5, 0.7]
@@ -776,12 +777,29 @@ def history_append(spark, sf_dir):
     return stored.groupBy("prediction_status", "label").agg(F.count("*").alias("row_count"))
 
 
+@query
+def routed_history(spark, sf_dir):
+    """Pages of all routes committed as one batch and read back: history rows and refused ones."""
+    requests = _derived("vector_requests", spark, sf_dir)
+    rows = requests.select(F.col("request_id").alias("id"), "url", F.lit("<a href='/x'>x</a><form>").alias("html"))
+    lookups = routing.Lookups(
+        providers.common_suffixes(spark), _as_of(), vectors=_derived("vector_provider", spark, sf_dir)
+    )
+    model = training.fit(frames.labelled(spark, sf_dir), PARAMS)
+    path, moment = scratch_table(spark, "routed"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    routing.commit_routed(rows, path, "batch", lookups, model.vector_table(), moment)
+    stored = history_store.read_history(spark, path)
+    kept = stored.select("id", "prediction_status", F.lit(None).cast("string").alias("error"), F.col("prediction").isNotNull().alias("predicted"))
+    refused = routing.read_refused(spark, path).select("id", F.lit("refused").alias("prediction_status"), "error", F.lit(False).alias("predicted"))
+    return kept.unionByName(refused)
+
+
 @query
 def legacy_history(spark, sf_dir):
     """A history written without states, read in the current schema."""
     old = _derived("history", spark, sf_dir).drop("prediction_status")
     path = scratch_table(spark, "legacy")
-    history_store.append_history(old, path)
+    old.withColumn("day", F.to_date("created_at")).write.partitionBy("day").parquet(path)
     stored = history_store.read_history(spark, path)
     return stored.select("id", "url", "prediction", "label", "prediction_status", "created_at")
 

@@ -1154,6 +1154,12 @@ def all_sql() -> dict[str, str]:
             + ", ".join(f"p.{n}" for n in FEATURES)
             + " FROM screened r LEFT JOIN vector_one_ok p ON r.trimmed = p.asked AND r.url_error IS NULL",
         ),
+        "routed_history": _with(
+            requests,
+            """SELECT r.request_id AS id, CASE WHEN r.url_error IS NOT NULL THEN 'refused' WHEN p.asked IS NOT NULL THEN 'predicted'
+  ELSE 'feature_mapping_unavailable' END AS prediction_status, r.url_error AS error, r.url_error IS NULL AND p.asked IS NOT NULL AS predicted
+FROM screened r LEFT JOIN (SELECT asked FROM vector_one_ok WHERE vector_error IS NULL) p ON r.trimmed = p.asked""",
+        ),
         "item_encoding": _with(LAB, f"SELECT record_id, {_transaction()} AS items FROM lab"),
         "item_universe": _universe(),
         "item_matrix": _matrix(),
