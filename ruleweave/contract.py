@@ -60,4 +60,9 @@ HISTORY_SCHEMA = T.StructType(
 
 
 class ContractError(ValueError):
-    """A table or record breaks the data contract."""
+    """A table or record breaks the data contract.
+
+    ``invalid`` holds all bad values as rows (column_name, value, row_count), if it is for those.
+    """
+
+    invalid = None

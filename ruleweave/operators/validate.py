@@ -91,21 +91,18 @@ def invalid_values(
 
 
 def _raise_invalid(frame: DataFrame, name: str, domains: Mapping[str, Sequence[int]]) -> None:
-    values = [
-        row["value"]
-        for row in invalid_values(frame, domains)
-        .where(F.col("column_name") == name)
-        .orderBy("value")
-        .limit(MESSAGE_VALUES + 1)
-        .collect()
-    ]
+    """An error that names the first bad values and carries all of them as rows in ``invalid``."""
+    bad = invalid_values(frame, domains).where(F.col("column_name") == name)
+    values = [row["value"] for row in bad.orderBy("value").limit(MESSAGE_VALUES + 1).collect()]
     shown = [int(v) if v == int(v) else v for v in values[:MESSAGE_VALUES] if v == v]
     more = ", ..." if len(values) > MESSAGE_VALUES else ""
     kind = "Target" if name == TARGET else "Feature"
-    raise ContractError(
+    error = ContractError(
         f"{kind} column {name!r} contains invalid values {shown}{more}; "
         f"expected only {sorted(domains[name])}"
     )
+    error.invalid = bad
+    raise error
 
 
 def _check(frame: DataFrame, domains: Mapping[str, Sequence[int]], outside: str) -> DataFrame:

@@ -270,9 +270,10 @@ def test_fingerprint(frame):
 # -- history -----------------------------------------------------------------------
 
 HISTORY = [
-    (1, "Dataset Feature Vector Test", -1, "Phishy", -1, "predicted", datetime(2026, 9, 18, 10)),
-    (2, "Dataset Feature Vector Test", 1, "Legitimate", 1, "predicted", datetime(2026, 9, 19, 10)),
-    (3, "https://example.com/", None, None, None, "feature_mapping_unavailable", datetime(2026, 9, 19, 11)),
+    (11, "https://a.example.org/login", 0, "Suspicious", 0, "predicted", datetime(2025, 3, 2, 8, 30)),
+    (12, "https://b.example.org/", -1, "Phishy", -1, "predicted", datetime(2025, 3, 2, 23, 59, 59)),
+    (13, "https://c.example.org/x", None, None, None, "feature_mapping_unavailable", datetime(2025, 3, 5)),
+    (14, "https://d.example.org/", 1, "Legitimate", 1, "predicted", datetime(2025, 3, 7, 12)),
 ]
 
 
@@ -293,28 +294,28 @@ def test_filters(past):
         filters, error = history.parse_filters(args)
         return sorted(r["id"] for r in history.apply_filters(past, filters).collect()), error
 
-    assert ids() == ([1, 2, 3], None)
-    assert ids(classification="Phishy", status="predicted") == ([1], None)
-    assert ids(date_from="2026-09-19") == ([2, 3], None)
-    assert ids(date_to="2026-09-18") == ([1], None)
-    assert ids(classification="Phishy' OR 1=1") == ([1, 2, 3], "Unsupported classification filter.")
-    assert ids(date_from="19.09.2026", status="predicted") == ([1, 2], "Dates must use the YYYY-MM-DD format.")
+    assert ids() == ([11, 12, 13, 14], None)
+    assert ids(classification="Phishy", status="predicted") == ([12], None)
+    assert ids(date_from="2025-03-05") == ([13, 14], None)
+    assert ids(date_to="2025-03-02") == ([11, 12], None)
+    assert ids(classification="Suspicious; --") == ([11, 12, 13, 14], "Unsupported classification filter.")
+    assert ids(date_from="02/03/2025", status="predicted") == ([11, 12, 14], "Dates must use the YYYY-MM-DD format.")
     assert ids(date_from="bad", status="bad")[1] == "Unsupported prediction status filter."
-    end = history.parse_filters({"date_to": "2026-09-18"})[0]["date_to"]
-    assert end == datetime(2026, 9, 18, 23, 59, 59, 999999)
+    end = history.parse_filters({"date_to": "2025-03-02"})[0]["date_to"]
+    assert end == datetime(2025, 3, 2, 23, 59, 59, 999999)
 
 
 def test_dashboard(past, model):
     row = history.overview(past).first().asDict()
-    assert row == {"total": 3, "phishy": 1, "suspicious": 0, "legitimate": 1, "predicted": 2, "mapping_unverified": 1}
+    assert row == {"total": 4, "phishy": 1, "suspicious": 1, "legitimate": 1, "predicted": 3, "mapping_unverified": 1}
     counted = history.rule_counts(past, model.vector_table())
     counts = {r["id"]: r["rule_count"] for r in counted.collect()}
-    assert counts[3] is None and counts[1] > 0 and counts[2] > 0
+    assert counts.pop(13) is None and counts[12] > 0 and counts[14] > 0
     found = history.rule_evidence(counted).first()
-    assert found["prediction_count"] == 2 and found["average_matching_rules"] == (counts[1] + counts[2]) / 2
+    assert found["prediction_count"] == 3 and found["average_matching_rules"] == sum(counts.values()) / 3
     values = {(r["feature"], r["value"]): (r["row_count"], r["observations"]) for r in history.feature_distribution(counted).collect()}
-    assert values["SFH", -1] == (1, 2) and values["age_of_domain", 1] == (2, 2)
-    assert [r["id"] for r in history.recent(past, 2).collect()] == [3, 2]
+    assert values["SFH", -1] == (1, 3) and values["age_of_domain", 1] == (3, 3)
+    assert [r["id"] for r in history.recent(past, 2).collect()] == [14, 13]
 
 
 def test_history_store(spark, past, tmp_path):
@@ -323,8 +324,8 @@ def test_history_store(spark, past, tmp_path):
     history_store.append_history(past, path)
     history_store.append_history(past, path)
     stored = history_store.read_history(spark, path)
-    assert stored.count() == 6
-    filters, _ = history.parse_filters({"date_from": "2026-09-19"})
+    assert stored.count() == 8
+    filters, _ = history.parse_filters({"date_from": "2025-03-05"})
     assert history.apply_filters(stored, filters).count() == 4
 
 
@@ -347,7 +348,7 @@ def test_stream_scoring(spark, past, model, tmp_path):
     stored = history_store.read_history(spark, out).orderBy("id").collect()
     batch = streams.score_vectors(past.select("id", "features"), table).where("vector_error IS NULL")
     expected = {r["id"]: r["predicted"] for r in batch.collect()}
-    assert {r["id"]: r["prediction"] for r in stored} == expected and len(expected) == 2
+    assert {r["id"]: r["prediction"] for r in stored} == expected and len(expected) == 3
 
 
 def test_stream_pages(spark, tmp_path):

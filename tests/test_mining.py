@@ -146,10 +146,11 @@ def test_bad_parameters(bad):
 
 
 RULES = [
-    ("r1", ["SFH=0"], 0.8, 2.0, 0.2, 1),
-    ("r2", ["SFH=0", "SSLfinal_State=0"], 0.8, 2.0, 0.2, -1),
-    ("r3", ["SFH=0"], 0.9, 1.5, 0.1, 1),
-    ("r4", ["SFH=1"], 1.0, 4.0, 0.5, 1),
+    ("wide", ["web_traffic=-1"], 0.75, 1.25, 0.4, -1),
+    ("pair", ["URL_Length=1", "web_traffic=-1"], 0.75, 1.25, 0.4, 0),
+    ("sure", ["web_traffic=-1"], 0.95, 1.1, 0.05, 0),
+    ("other", ["web_traffic=0"], 0.99, 3.0, 0.3, -1),
+    ("lone", ["Request_URL=-1", "URL_Length=1"], 0.6, 1.75, 0.15, 1),
 ]
 
 
@@ -171,19 +172,21 @@ def hand_rules(spark):
 def test_hand_made_rules_rank_and_match(spark):
     ranked = ranking.rank_rules(hand_rules(spark))
     order = [(r["antecedent"], r["confidence"]) for r in ranked.orderBy("rank").collect()]
-    assert order[0] == (["SFH=1"], 1.0)
-    vector = sum(((1 if n == "age_of_domain" else 0) + 2) << (2 * i) for i, n in enumerate(FEATURES))
+    assert [c for _, c in order] == [0.99, 0.95, 0.75, 0.75, 0.6]
+    assert order[2][0] == ["URL_Length=1", "web_traffic=-1"]  # the longer one of a tie
+    codes = {"URL_Length": 1, "web_traffic": -1, "Request_URL": -1}
+    vector = sum((codes.get(n, 0) + 2) << (2 * i) for i, n in enumerate(FEATURES))
     hits = scoring.matches(ranked).where(F.col("vector") == vector).orderBy("rank").collect()
-    assert [(h["class"], h["rank"]) for h in hits] == [(1, 2), (-1, 3), (1, 4)]
+    assert [(h["class"], h["rank"]) for h in hits] == [(0, 2), (0, 3), (-1, 4), (1, 5)]
     evidence = scoring.feature_evidence(scoring.matches(ranked).where(F.col("vector") == vector))
     counts = {r["feature"]: (r["matching_rule_count"], r["strongest_rank"]) for r in evidence.collect()}
-    assert counts["SFH"] == (3, 2) and counts["SSLfinal_State"] == (1, 3)
-    assert counts["web_traffic"] == (0, None)
+    assert counts["web_traffic"] == (3, 2) and counts["URL_Length"] == (2, 3) and counts["Request_URL"] == (1, 5)
+    assert counts["SFH"] == (0, None)
 
 
 def test_class_breaks_full_ties(spark):
-    rules = hand_rules(spark).where("size(antecedent) = 1 AND confidence = 0.8")
-    tied = rules.unionByName(rules.withColumn("class", F.lit(-1)))
+    rules = hand_rules(spark).where("size(antecedent) = 1 AND confidence = 0.75")
+    tied = rules.unionByName(rules.withColumn("class", F.lit(1)))
     first = ranking.rank_rules(tied).where("rank = 1").first()
     assert first["class"] == -1
 
@@ -191,8 +194,8 @@ def test_class_breaks_full_ties(spark):
 def test_upper_median(spark):
     ranked = ranking.rank_rules(hand_rules(spark))
     row = ranking.rule_characteristics(ranked).where("field = 'lift'").first()
-    assert (row["rules"], row["min"], row["median"], row["max"]) == (4, 1.5, 2.0, 4.0)
-    row = ranking.rule_characteristics(ranked).where("field = 'confidence'").first()
-    assert row["median"] == 0.9
-    kept = ranking.filter_rules(ranked, min_confidence=0.8, min_lift=2.0).orderBy("rank")
+    assert (row["rules"], row["min"], row["median"], row["max"]) == (5, 1.1, 1.25, 3.0)
+    row = ranking.rule_characteristics(ranked.where("rank < 5")).where("field = 'confidence'").first()
+    assert (row["rules"], row["median"]) == (4, 0.95)  # not the mean with 0.75
+    kept = ranking.filter_rules(ranked, min_confidence=0.7, min_lift=1.2).orderBy("rank")
     assert [r["rank"] for r in kept.collect()] == [1, 3, 4]

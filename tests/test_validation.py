@@ -23,9 +23,9 @@ def test_duplicates_are_kept(spark):
 @pytest.mark.parametrize(
     "column, value, text",
     [
-        ("SFH", 2, r"'SFH' contains invalid values \[2\]"),
-        ("SFH", None, "'SFH' contains missing values"),
-        ("Result", 2, r"Target column 'Result' contains invalid values \[2\]"),
+        ("URL_of_Anchor", 5, r"'URL_of_Anchor' contains invalid values \[5\]"),
+        ("web_traffic", None, "'web_traffic' contains missing values"),
+        ("Result", -7, r"Target column 'Result' contains invalid values \[-7\]"),
         ("Result", None, "Target column 'Result' contains missing values"),
     ],
 )
@@ -75,9 +75,9 @@ CASES = [
     ("{}", "Live feature record is missing required features: " + ", ".join(FEATURES)),
     (vector(SFH="drop"), "Live feature record is missing required features: SFH"),
     (vector(zz=1, aa=1), "Live feature record contains unsupported features: aa, zz"),
-    (vector(SFH="not-an-integer"), "Feature 'SFH' must be an integer"),
-    (vector(SFH="9"), "Feature 'SFH' has invalid value 9; expected [-1, 0, 1]"),
-    (vector(SFH=None), "Feature 'SFH' must be an integer"),
+    (vector(URL_Length="long"), "Feature 'URL_Length' must be an integer"),
+    (vector(Request_URL="4"), "Feature 'Request_URL' has invalid value 4; expected [-1, 0, 1]"),
+    (vector(web_traffic=None), "Feature 'web_traffic' must be an integer"),
     (vector(SFH="1.7"), "Feature 'SFH' must be an integer"),
     (vector(SFH=1.7), None),
     (vector(SFH=" 1 "), None),
@@ -127,3 +127,11 @@ def test_profile_against_pandas(spark):
     corr = pdf.corr()
     for r in quality.correlation_matrix(records).collect():
         assert r["correlation"] == pytest.approx(corr.loc[r["column_a"], r["column_b"]])
+
+
+def test_all_bad_values_come_as_rows(spark):
+    rows = [(1,) * 9 + (1,)] + [(10 + i % 50, *[1] * 9) for i in range(100)]
+    with pytest.raises(ContractError, match=r"invalid values \[10, .*, 29\], \.\.\.|invalid values \[10, .*\.\.\.") as caught:
+        validate.validate_training(frame_of(spark, rows))
+    found = {int(r["value"]): r["row_count"] for r in caught.value.invalid.collect()}
+    assert found == {v: 2 for v in range(10, 60)}
