@@ -56,14 +56,21 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     every = False  # whether all pairs that pay are to be replaced, not only the most frequent ones
     fresh = 0  # only pairs with a symbol from here on can have become frequent
     while len(seq) > LEAST:
-        open_ = seq != END_ID
-        spots = np.flatnonzero(open_[:-1] & open_[1:] & ((seq[:-1] >= fresh) | (seq[1:] >= fresh)))
-        pairs = seq[spots].astype(np.uint64) << np.uint64(32) | seq[spots + 1]
+        if fresh:
+            new = np.flatnonzero(seq >= fresh)
+            spots = np.union1d(new, new - 1)
+            spots = spots[(spots >= 0) & (spots < len(seq) - 1)]
+        else:
+            spots = np.arange(len(seq) - 1)
+        first, second = (seq[spots], seq[spots + 1]) if fresh else (seq[:-1], seq[1:])
+        pairs = first.astype(np.uint64) << np.uint64(32) | second
         # sums over hashes bound the counts from above, so rare pairs need no sorting
         cell = (pairs * _MIX >> np.uint64(44)).astype(np.int64)
         bound = np.bincount(cell)[cell] if len(cell) else cell
+        bound[(first == END_ID) | (second == END_ID)] = 0
         least = LEAST if every else max(LEAST, int(bound.max(initial=0)) // SPREAD)
-        spots, pairs = spots[bound >= least], pairs[bound >= least]
+        often = bound >= least
+        spots, pairs = spots[often], pairs[often]
         kinds, which, counts = np.unique(pairs, return_inverse=True, return_counts=True)
         spots, which = spots[counts[which] >= least], which[counts[which] >= least]
         # of spots that follow each other directly, every second one from the first
@@ -181,7 +188,17 @@ class Block:
         return np.where(numbers >= self.low, numbers + np.uint64(FIRST - self.low), numbers).astype(np.uint32)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self._symbols(_unpacked(self.left, self.bits, 0, self.n_symbols)), self.rules)
+        """Ids of all documents, gathered from the expansions of the rules, each made once."""
+        symbols, total = self._symbols(_unpacked(self.left, self.bits, 0, self.n_symbols)), int(self.lengths.sum())
+        if not len(self.rules) or total > 4 * self.n_ids:  # rules that are long beside the text
+            return expand(symbols, self.rules)
+        table = np.concatenate([expand(np.arange(FIRST, FIRST + len(self.rules), dtype=np.uint32), self.rules), symbols])
+        starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths.astype(np.int64)
+        new = symbols >= FIRST
+        at, sizes = np.arange(total, total + len(symbols)), np.ones(len(symbols), np.int64)
+        at[new], sizes[new] = starts[symbols[new] - FIRST], self.lengths[symbols[new] - FIRST].astype(np.int64)
+        before = np.cumsum(sizes) - sizes
+        return table[np.repeat(at - before, sizes) + np.arange(int(sizes.sum()))]
 
     def document(self, n: int) -> np.ndarray:
         """Ids of document number n; only its own symbols are read."""
