@@ -118,8 +118,11 @@ def explanation_view(rules: DataFrame) -> DataFrame:
     )
 
 
-def rule_characteristics(rules: DataFrame) -> DataFrame:
-    """Count, min, max, mean and upper median of the numeric rule fields per run."""
+def rule_characteristics(rules: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Count, min, max, mean and upper median of the numeric rule fields per run.
+
+    ``runs`` has the ``run`` column of all runs; those without rules get a count of 0.
+    """
     fields = ("support", "confidence", "lift", "antecedent_length")
     entries = F.array(
         *[
@@ -131,7 +134,7 @@ def rule_characteristics(rules: DataFrame) -> DataFrame:
     n = F.count("*").over(group)
     place = F.row_number().over(group.orderBy("value"))
     upper_middle = F.floor(n / 2) + 1
-    return (
+    found = (
         rules.select("run", F.inline(entries))
         .withColumn("median", F.when(place == upper_middle, F.col("value")))
         .groupBy("run", "field")
@@ -143,10 +146,16 @@ def rule_characteristics(rules: DataFrame) -> DataFrame:
             F.max("median").alias("median"),
         )
     )
+    if runs is None:
+        return found
+    every = runs.select("run").distinct().select("run", F.explode(F.array(*map(F.lit, fields))).alias("field"))
+    return every.join(found, ["run", "field"], "left").withColumn("rules", F.coalesce("rules", F.lit(0)))
 
 
-def rules_per_class(rules: DataFrame) -> DataFrame:
-    """Number of rules per run and class, zeros kept for classes without rules."""
+def rules_per_class(rules: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Number of rules per run and class, zeros kept for classes and, given ``runs``, for runs without rules."""
+    if runs is not None:
+        rules = runs.select("run").distinct().join(rules.select("run", "class"), "run", "left")
     classes = F.array(F.lit(-1), F.lit(0), F.lit(1))
     return (
         rules.groupBy("run")

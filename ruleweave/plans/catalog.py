@@ -445,7 +445,7 @@ def cross_validation(spark, sf_dir):
 @query
 def model_summary(spark, sf_dir):
     model, cells, _ = training.class_relative_job(frames.labelled(spark, sf_dir), "record_id", 0.3, SEED)
-    rules = ranking.rules_per_class(model.rules).select(
+    rules = ranking.rules_per_class(model.rules, model.totals).select(
         F.lit("rules").alias("part"), "class", F.col("rules").alias("amount")
     )
     rows = training.class_distribution(cells).select(

@@ -61,7 +61,7 @@ def side(cells: DataFrame, name: str, run: str = mining.MODEL) -> DataFrame:
 def threshold_experiments(
     cells: DataFrame, thresholds: list[float], min_support: float = 0.01, min_lift: float = 1.0
 ) -> DataFrame:
-    """One row per confidence threshold, fitted on ``train`` and scored on ``test``.
+    """One row per confidence threshold, fitted on ``train`` and scored on ``test``, also if nothing is mined.
 
     Rules are mined and ranked once at the lowest threshold; a higher one keeps
     a part of them in the same order.
@@ -89,19 +89,21 @@ def threshold_experiments(
     )
     itemsets = frequent.groupBy("run").agg(F.count("*").alias("frequent_itemsets"))
     generated = mining.generated_rules(frequent, [float(t) for t in thresholds])
-    counts = (
-        generated.join(F.broadcast(itemsets), "run")
-        .withColumn("run", F.col("min_confidence").cast("string"))
-    )
+    counts = generated.join(F.broadcast(itemsets), "run").withColumn("run", F.col("min_confidence").cast("string"))
     kept = rules.groupBy("run").agg(F.count("*").alias("kept_rules"))
+    asked = [(float(t),) for t in thresholds]
+    base = train.sparkSession.createDataFrame(asked, "min_confidence double").distinct()
+    none = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
     return (
-        counts.join(evaluate.run_metrics(scored), "run")
+        base.withColumn("run", F.col("min_confidence").cast("string"))
+        .join(counts.drop("min_confidence"), "run", "left")
+        .join(evaluate.run_metrics(scored), "run", "left")
         .join(kept, "run", "left")
         .select(
             "min_confidence",
-            "frequent_itemsets",
-            "generated_rules",
-            F.coalesce("kept_rules", F.lit(0)).cast("long").alias("kept_rules"),
+            none("frequent_itemsets"),
+            none("generated_rules"),
+            none("kept_rules"),
             "accuracy",
             "macro_f1",
             F.col("rows_unmatched").alias("unmatched_rows"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from helpers import frame_of, random_rows
 from ruleweave.contract import FEATURES, HISTORY_SCHEMA, RECORD, TARGET
-from ruleweave.operators import evaluate, explain, fingerprint, history, mining, scoring, split
+from ruleweave.operators import evaluate, explain, fingerprint, history, mining, ranking, scoring, split
 from ruleweave.operators.mining import Mining
 from ruleweave.plans import training
 from ruleweave.sources import history_store, store
@@ -180,6 +180,18 @@ def test_experiments_equal_separate_fits(frame):
         assert (row["accuracy"], row["macro_f1"]) == (alone["accuracy"], alone["macro_f1"])
 
 
+def test_zeros_when_nothing_is_mined(frame):
+    cells = split.side_cells(split.row_split(frame, "record_id", 0.3, 7))
+    found = training.threshold_experiments(cells, [0.9, 1.0], min_support=0.999).collect()
+    assert [(r["frequent_itemsets"], r["generated_rules"], r["kept_rules"]) for r in found] == [(0, 0, 0)] * 2
+    assert all(r["accuracy"] is not None and r["unmatched_rows"] for r in found)
+    fitted = training.fit(frame, Mining(0.999, 0.9))
+    assert {(r["field"], r["rules"]) for r in ranking.rule_characteristics(fitted.rules, fitted.totals).collect()} == {
+        (f, 0) for f in ("support", "confidence", "lift", "antecedent_length")
+    }
+    assert sorted((r["class"], r["rules"]) for r in ranking.rules_per_class(fitted.rules, fitted.totals).collect()) == [(-1, 0), (0, 0), (1, 0)]
+
+
 def test_threshold_choice(spark):
     rows = [(0.3, 0.5, 0.6), (0.5, 0.7, 0.6), (0.7, 0.7, 0.6), (0.9, 0.9, 0.5)]
     frame = spark.createDataFrame(rows, "min_confidence double, accuracy double, macro_f1 double")
