@@ -31,9 +31,9 @@ from ruleweave.llm.suffix_order import suffix_order
 LENGTH, GRAM, SYMBOL = 50, 24, 5
 REACH = LENGTH - GRAM + 1
 #: Bytes of text in one cell of documents, and anchors in one range of hashes, that a task works on together.
-CELL_BYTES, RANGE_ANCHORS = 4 << 20, 200_000
+CELL_BYTES, RANGE_ANCHORS = 8 << 20, 500_000
 #: Anchors that a task gathers before it sorts them and passes them on.
-GATHERED = 250_000
+GATHERED = 500_000
 #: Starts worked on in one go inside a long text.
 STRETCH = 1 << 18
 #: Symbols of one suffix order.
@@ -422,7 +422,7 @@ def find(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     keyed = documents.select("doc_id", cell, F.unhex(F.md5(text)).alias("digest"))
     nothing = F.lit(None).cast("binary")
     noted = keyed.join(copies, ["doc_id", "digest"], "left_semi").select("cell", "doc_id", "digest", nothing.alias("settled"), nothing.alias("open"))
-    known = _repeated(_all_anchors(rows, bits, low, width), width)
+    known = landed(_repeated(_all_anchors(rows, bits, low, width), width), "anchors")  # and the shuffle of all anchors goes
     known = known.select("cell", F.lit(None).cast("long").alias("doc_id"), nothing.alias("digest"), "settled", "open")
     found = landed(_snippets(rows, known.unionByName(noted), low, width), "snippets")
 
