@@ -26,8 +26,7 @@ def test_differencing_against_lists():
         items = [(s, s) for s in sizes]
         loads = sorted(sum(names) for names in sharding.difference(items, shards))
         assert sum(loads) == sum(sizes)
-        if shards == 2:
-            assert loads == brute(items, 2)
+        assert loads == brute(items, shards)
         assert loads[-1] - loads[0] <= max(sizes)
     assert sharding.difference([], 4) == [[], [], [], []]
 

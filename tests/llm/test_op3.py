@@ -38,7 +38,7 @@ def brute(rows):
     out = []
     for d, t, s in rows:
         m = measures(t)
-        bad = {k for (h, k), own in texts.items() if h == s and len(own) >= 20 and len(own) > 0.2 * len(hosts[s])}
+        bad = {k for (h, k), own in texts.items() if h == s and len(own) >= line_rules.MIN_TEXTS}
         left = sum(len(WORD.findall(x)) for x in (t or "").split("\n") if key(x) not in bad)
         out.append((d, *m, not (m[5] or left < 10 or left < 0.5 * m[0])))
     return out
@@ -81,6 +81,7 @@ def test_limit_does_not_grow_with_the_host(spark):
     judged = {r.doc_id: r for r in line_rules.judge(docs_frame(spark, rows)).collect()}
     assert all(judged[i].n_left_words == 2 and not judged[i].kept for i in range(20))
     assert all(judged[100 + i].kept for i in range(300))
+    same(spark, rows)
 
 
 def test_lines_are_taken_out(spark, monkeypatch):
