@@ -31,9 +31,9 @@ from ruleweave.llm.suffix_order import suffix_order
 LENGTH, GRAM, SYMBOL = 50, 24, 5
 REACH = LENGTH - GRAM + 1
 #: Bytes of text in one cell of documents, and anchors in one range of hashes, that a task works on together.
-CELL_BYTES, RANGE_ANCHORS = 8 << 20, 500_000
+CELL_BYTES, RANGE_ANCHORS = 4 << 20, 200_000
 #: Anchors that a task gathers before it sorts them and passes them on.
-GATHERED = 500_000
+GATHERED = 250_000
 #: Starts worked on in one go inside a long text.
 STRETCH = 1 << 18
 #: Symbols of one suffix order.
@@ -112,11 +112,13 @@ def _unpack(blobs: list[bytes], widths: list[int]) -> list[np.ndarray]:
     return out
 
 
-BLOBS = pa.schema([("part", pa.int64()), ("cell", pa.int64()), ("blob", pa.binary())])
+BLOBS = pa.schema([("part", pa.int64()), ("blob", pa.binary())])
+#: Bytes that the number of a cell takes.
+CELL = 4
 
 
 def _all_anchors(rows: DataFrame, bits: int, low: int, width: int) -> DataFrame:
-    """(part, cell, blob): anchor hash, snippet digest and document, gathered by range of hashes and cell.
+    """(part, blob): anchor hash, snippet digest, document and cell, gathered by range of hashes.
 
     Documents are counted from ``low`` and take ``width`` bytes.  Of an anchor with
     one digest in many documents of a cell the smallest and the largest say enough.
@@ -138,20 +140,20 @@ def _all_anchors(rows: DataFrame, bits: int, low: int, width: int) -> DataFrame:
 
         def flush(held):
             h, digest, doc, c = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((doc, digest, h, c, h >> np.uint64(48 - bits)))
+            order = np.lexsort((doc, c, digest, h))
             h, digest, doc, c = h[order], digest[order], doc[order], c[order]
             new = (h[1:] != h[:-1]) | (digest[1:] != digest[:-1]) | (c[1:] != c[:-1])
             first, last = np.append(True, new), np.append(new, True)
             keep = first | last
             h, digest, doc, c = h[keep], digest[keep], doc[keep], c[keep]
             part = (h >> np.uint64(48 - bits)).astype(np.int64)
-            edges = np.flatnonzero((np.diff(part) != 0) | (np.diff(c) != 0)) + 1
+            edges = np.flatnonzero(np.diff(part)) + 1
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(h)]):
-                yield int(part[a]), int(c[a]), _pack([h[a:b], digest[a:b], doc[a:b]], [6, 6, width])
+                yield int(part[a]), _pack([h[a:b], digest[a:b], doc[a:b], c[a:b]], [6, 6, width, CELL])
 
         return batches_of(blobs(), BLOBS, most=20_000)
 
-    return rows.select("cell", "doc_id", "text").mapInArrow(run, "part long, cell long, blob binary")
+    return rows.select("cell", "doc_id", "text").mapInArrow(run, "part long, blob binary")
 
 
 def _repeated(blobs: DataFrame, width: int) -> DataFrame:
@@ -162,10 +164,8 @@ def _repeated(blobs: DataFrame, width: int) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        cells = table.column("cell").to_numpy()
-        packed = table.column("blob").to_pylist()
-        h, digest, doc = _unpack(packed, [6, 6, width])
-        c = np.repeat(cells, [len(b) // (12 + width) for b in packed])
+        h, digest, doc, c = _unpack(table.column("blob").to_pylist(), [6, 6, width, CELL])
+        c = c.astype(np.int64)
         order = np.argsort(h, kind="stable")
         h, digest, doc, c = h[order], digest[order], doc[order], c[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
