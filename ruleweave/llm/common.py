@@ -34,7 +34,7 @@ def landed(frame: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        frame.write.option("compression", "zstd").parquet(path)
+        frame.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(frame.schema).parquet(path)

@@ -238,14 +238,14 @@ def _snippets(rows: DataFrame, notes: DataFrame, low: int, width: int) -> DataFr
         order = np.argsort(settled)
         settled, owner, still = settled[order], owner[order], np.sort(still)
         copies = {(d, g) for d, g in zip(right.column("doc_id").to_pylist(), right.column("digest").to_pylist()) if g is not None}
+        copied = {d for d, _ in copies}
         texts, places = [], []
         ids, cells = left.column("doc_id").to_pylist(), left.column("cell").to_pylist()
         for number, (doc, cell) in enumerate(zip(ids, cells) if len(settled) or len(still) else ()):
             text = (left.column("text")[number].as_py() or "").encode("utf-8")
             if len(text) < LENGTH:
                 continue
-            digest = hashlib.md5(text, usedforsecurity=False).digest()
-            if (doc, digest) in copies:
+            if doc in copied and (doc, hashlib.md5(text, usedforsecurity=False).digest()) in copies:
                 continue
             h, at, lo, hi, sid = anchors(np.frombuffer(text, np.uint8))
             gone = open_ = np.zeros(len(h), bool)
@@ -260,6 +260,7 @@ def _snippets(rows: DataFrame, notes: DataFrame, low: int, width: int) -> DataFr
             if open_.any():
                 own = np.stack([np.full(int(open_.sum()), v) for v in (row, doc, len(texts))] + [lo[open_], at[open_] - lo[open_], hi[open_] - lo[open_]])
                 places.append((h[open_].astype(np.int64), sid[open_].astype(np.int64), own.astype(np.int64)))
+            digest = hashlib.md5(text, usedforsecurity=False).digest()
             texts.append((row, text, doc, digest, _merged(lo[gone], hi[gone]).astype("<i8").tobytes()))
         return _noted(texts, places)
 
