@@ -6,6 +6,8 @@ what is shuffled are line hashes, counted per host over distinct texts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ SYMBOLS = "#*$%&|<>"
 #: Frequent lines up to this number, and up to this number of one host, are broadcast; more go by shuffle.
 BROADCAST_LINES, HOST_LINES = 200_000, 2_000
 _GAP = "[ \\t-\\r]+"
+#: Gaps that are not a single space already.
+_LONG_GAP = "[ \\t-\\r]{2,}|[\\t-\\r]"
 
 
 def words(text: Column) -> Column:
@@ -68,8 +72,8 @@ def base_measures(documents: DataFrame) -> DataFrame:
     frame = documents.withColumn("_words", words(text))
     frame = frame.withColumn("_repeat", repeat_words(F.col("_words"))).withColumn("n_words", F.size("_words").cast("long")).drop("_words")
     measured = {
-        "word_chars": F.char_length(F.regexp_replace(text, _GAP, "")).cast("long"),
-        "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.char_length(reduce(lambda rest, blank: F.replace(rest, F.lit(blank), F.lit("")), BLANKS, text)).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": F.col("_repeat"),
     }
@@ -80,8 +84,8 @@ def base_measures(documents: DataFrame) -> DataFrame:
 
 def line_key(line: Column) -> Column:
     """Hash of a line in lower case, digits as 0, runs of blanks as one; null without a word."""
-    plain = F.btrim(F.regexp_replace(F.translate(F.lower(line), "123456789", "000000000"), _GAP, " "), F.lit(BLANKS))
-    return F.when(plain != "", F.xxhash64(plain))
+    plain = F.btrim(F.regexp_replace(F.regexp_replace(F.lower(line), "[1-9]", "0"), _LONG_GAP, " "), F.lit(BLANKS))
+    return let(plain, lambda x: F.when(x != "", F.xxhash64(x)))
 
 
 def _keys(text: Column) -> Column:
@@ -138,5 +142,7 @@ def judge(documents: DataFrame, host: str = "source", min_left: float = MIN_LEFT
 
 def clean(documents: DataFrame, host: str = "source", min_left: float = MIN_LEFT) -> DataFrame:
     """The kept rows, `text` without frequent lines; other columns stay."""
-    kept = judge(documents, host, min_left).where("kept").withColumn("text", F.col("left_text"))
-    return kept.select(documents.columns)
+    judged = judge(documents, host, min_left)
+    # in one array, so that the filter is not moved below the measures, which would then be taken twice
+    kept = judged.select(*documents.drop("text").columns, F.inline(F.array(F.struct("kept", F.col("left_text").alias("text")))))
+    return kept.where("kept").select(documents.columns)

@@ -107,3 +107,8 @@ def test_pipeline_stage_takes_lines_out(spark):
     got = [tuple(r) for r in corpus_pipeline.quality_rules(spark, frame, "").select("doc_id", "text", "n_chars").collect()]
     judged = {d: prose(d, 40) for d, *m in brute(rows) if not m[5]}
     assert judged and sorted(got) == sorted((d, t, len(t)) for d, t in judged.items())
+
+
+def test_clean_takes_the_measures_once(spark):
+    plan = line_rules.clean(docs_frame(spark, awkward()))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "split" in x]
