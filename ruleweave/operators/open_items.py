@@ -1,14 +1,17 @@
 """Mining and matching of open item sets, where items cannot be packed into a key.
 
-Itemsets come from Spark's own FP-growth.  Whether a basket holds a rule is a set
+Equal baskets are counted first and mined once, by pattern growth over Spark's
+groupings, so the rows of a large table never stand before the miner one by one.  Whether a basket holds a rule is a set
 containment join: every rule waits at its rarest item, so only baskets with that
 item are held against it.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleweave.operators.mining import Mining
@@ -23,6 +26,39 @@ def _items(column: str = "items"):
     return F.array_distinct(F.array_compact(F.coalesce(F.col(column), F.array().cast("array<string>"))))
 
 
+def frequent_sets(baskets: DataFrame, least: int) -> DataFrame:
+    """``items, freq`` of the item sets that stand in ``least`` of the weighted baskets (distinct ``items``, ``n``).
+
+    Pattern growth as in FP-growth, one level at a time: a set waits with what its
+    baskets hold beyond it, equal remainders as one weighted row, and is extended
+    by each item of them.  Items go from rare to frequent, so the remainders are
+    made of frequent items and many are equal.  Everything is grouped by Spark; no
+    tree is held anywhere.
+    """
+    held = settle(baskets.withColumn("basket", F.monotonically_increasing_id()))
+    counts = held.select(F.explode("items").alias("item"), "n").groupBy("item").agg(F.sum("n").alias("freq")).where(F.col("freq") >= least)
+    # at most the mean basket size over the least support
+    names = settle(counts.withColumn("code", F.row_number().over(Window.orderBy("freq", "item"))))
+    coded = held.select("basket", "n", F.explode("items").alias("item")).join(names, "item")
+    coded = coded.groupBy("basket").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("code")).alias("rest"))
+    bases = coded.groupBy("rest").agg(F.sum("n").alias("n")).withColumn("codes", F.array().cast("array<int>"))
+    levels = []
+    while True:
+        grown = bases.select("codes", "rest", "n", F.posexplode("rest").alias("at", "code"))
+        grown = grown.select(F.array_append("codes", F.col("code")).alias("codes"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"), "n")
+        grown = settle(grown.groupBy("codes", "rest").agg(F.sum("n").alias("n")))
+        often = settle(grown.groupBy("codes").agg(F.sum("n").alias("freq")).where(F.col("freq") >= least))
+        if often.isEmpty():
+            break
+        levels.append(often)
+        bases = grown.where(F.size("rest") > 0).join(often.select("codes"), "codes")
+    if not levels:
+        return baskets.select("items", F.col("n").alias("freq")).limit(0)
+    every = reduce(DataFrame.unionByName, levels).withColumn("set", F.monotonically_increasing_id())
+    named = settle(every).select("set", "freq", F.explode("codes").alias("code")).join(names.select("code", "item"), "code")
+    return named.groupBy("set").agg(F.collect_list("item").alias("items"), F.first("freq").alias("freq")).select("items", "freq")
+
+
 def class_rules(baskets: DataFrame, mining: Mining) -> DataFrame:
     """Rules of baskets (``items``, ``consequent``) whose consequent is a class, unranked.
 
@@ -30,18 +66,19 @@ def class_rules(baskets: DataFrame, mining: Mining) -> DataFrame:
     supports antecedents only.
     """
     tagged = F.concat(F.lit(_CLASS), F.col("consequent"))
-    rows = baskets.select(_items().alias("items"), tagged.alias("class"))
-    n = rows.count()
+    rows = baskets.select(F.array_sort(_items()).alias("items"), tagged.alias("class"))
+    rows = settle(rows.groupBy("items", "class").agg(F.count("*").alias("n")))
+    n = rows.agg(F.sum("n")).first()[0]
     if not n:
         return baskets.sparkSession.createDataFrame([], "antecedent array<string>, consequent string, support double, confidence double, lift double, antecedent_length int")
-    transactions = rows.select(F.array_compact(F.array_append("items", F.col("class"))).alias("items"))
-    found = settle(FPGrowth(minSupport=mining.min_support, itemsCol="items").fit(transactions).freqItemsets)
+    transactions = rows.select(F.array_compact(F.array_append("items", F.col("class"))).alias("items"), "n")
+    found = settle(frequent_sets(transactions, math.ceil(mining.min_support * n)))
     is_class = lambda item: item.startswith(_CLASS)
     sets = found.select(
         F.array_sort(F.filter("items", lambda i: ~is_class(i))).alias("antecedent"), F.filter("items", is_class).alias("classes"), "freq"
     )
     covered = sets.where("size(classes) = 0").select("antecedent", F.col("freq").alias("covered"))
-    classes = rows.where("class is not null").groupBy("class").agg(F.count("*").alias("class_n"))
+    classes = rows.where("class is not null").groupBy("class").agg(F.sum("n").alias("class_n"))
     joint = sets.where("size(classes) = 1 and size(antecedent) > 0").select("antecedent", F.col("classes")[0].alias("class"), "freq")
     rules = joint.join(covered, "antecedent").join(classes, "class")
     if mining.max_len is not None:

@@ -71,3 +71,13 @@ def test_empty_tables(spark):
     assert open_items.matches(none, rules).count() == 0
     assert open_items.matches(none.unionByName(spark.createDataFrame([(1, ["a"], None)], none.schema)), rules.limit(0)).count() == 0
     assert open_items.class_rules(spark.createDataFrame([(1, [], "x"), (2, None, None)], none.schema), Mining()).where(F.lit(True)).count() == 0
+
+
+def test_equal_baskets_are_mined_once(spark, monkeypatch):
+    rows = [(i, ["a", "b"] if i % 2 else ["a"], "good") for i in range(300)]
+    seen, mine = [], open_items.frequent_sets
+    monkeypatch.setattr(open_items, "frequent_sets", lambda baskets, least: seen.append(baskets.count()) or mine(baskets, least))
+    frame = spark.createDataFrame(rows, "id int, items array<string>, consequent string")
+    got = {tuple(r["antecedent"]): r["support"] for r in open_items.class_rules(frame, Mining(0.1, 0.5, 1.0)).collect()}
+    assert seen == [2]
+    assert got == {("a",): 1.0, ("b",): 0.5, ("a", "b"): 0.5}
