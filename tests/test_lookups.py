@@ -169,3 +169,18 @@ def test_provider_vectors_are_screened_and_unique(spark):
     assert found[4]["vector_error"] and found[5]["vector_error"] == "Enter a valid URL"
     bare = {r["id"]: r["vector_error"] for r in providers.provider_vectors(requests, None).collect()}
     assert bare[3] == "Internal hostnames are not allowed" and "mapping_unverified" in bare[1]
+
+
+def test_tasks_of_a_lookup_and_of_a_table_grow_with_the_rows(spark, tmp_path):
+    from ruleweave.session import spread
+
+    spark.range(2_000).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    assert spread(rows, 100).rdd.getNumPartitions() == 20
+    left = rows.selectExpr("if(id % 10 = 0, null, id % 50) AS key", "id", "repeat('x', 100) AS wide")
+    right = spark.range(40).selectExpr("id AS key", "id * 2 AS twice")
+    found = joins.lookup(left, right, "key", rows_per_task=100)
+    assert found.rdd.getNumPartitions() == 20
+    assert sorted(map(tuple, found.select("id", "twice").collect())) == sorted(
+        (i, 2 * (i % 50) if i % 10 and i % 50 < 40 else None) for i in range(2_000)
+    )
