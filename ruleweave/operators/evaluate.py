@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ruleweave.contract import CLASS_COUNTS, CLASSES, TARGET
 from ruleweave.operators.scoring import score
+from ruleweave.session import settle
 
 _CODES = {-1: "m1", 0: "z0", 1: "p1"}
 
@@ -153,14 +154,15 @@ def record_evaluation(frame: DataFrame, table: DataFrame, rules: DataFrame) -> D
     """Labelled rows with their outcome and the rule that decided.
 
     ``table`` and ``rules`` belong to one run; both are bounded by the key domain.
+    They are joined first, so that the rows are held against one small table.
     """
     chosen = rules.select(F.col("rank"), F.array_join("antecedent", "|").alias("selected_rule"))
+    outcomes = settle(table.join(F.broadcast(chosen), "rank", "left"))
     return (
-        score(frame, table)
+        score(frame, outcomes)
         .withColumnRenamed(TARGET, "actual")
         .withColumn("matched", F.col("matching_rule_count") > 0)
         .withColumn("default_rule", ~F.col("matched"))
-        .join(F.broadcast(chosen), "rank", "left")
     )
 
 
