@@ -169,6 +169,12 @@ def test_metrics_against_plain_counting(frame, model):
     assert wrong.count() == sum(a != p for a, p in pairs)
 
 
+def test_rows_are_held_against_one_small_table(frame):
+    model = training.fit(frame, PARAMS)
+    found = evaluate.record_evaluation(frame, model.vector_table(), model.rules)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+
+
 def test_experiments_equal_separate_fits(frame):
     cells = training.group_sides(frame, 0.2, 42)
     found = {r["min_confidence"]: r for r in training.threshold_experiments(cells, [0.5, 0.8], 0.05).collect()}
