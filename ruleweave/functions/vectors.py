@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleweave.contract import DOMAINS, FEATURES
+from ruleweave.functions.once import once
 
 
 def add_raw_values(frame: DataFrame, text: str = "features") -> DataFrame:
@@ -78,7 +79,7 @@ def check_vectors(frame: DataFrame, text: str = "features") -> DataFrame:
 
     Order of checks: missing keys, extra keys, then per feature integer and domain.
     """
-    frame = add_raw_values(frame, text).withColumn("codes", F.transform("raw", _integer))
+    frame = once(add_raw_values(frame, text), codes=F.transform("raw", _integer))
     present = F.coalesce(F.col("names"), F.array().cast("array<string>"))
     expected = F.array(*[F.lit(name) for name in FEATURES])
     missing = F.array_join(F.array_except(expected, present), ", ")
@@ -97,7 +98,7 @@ def check_vectors(frame: DataFrame, text: str = "features") -> DataFrame:
         )
         .otherwise(F.get(failures, F.lit(0)))
     )
-    return frame.withColumn("vector_error", error)
+    return once(frame, vector_error=error)
 
 
 def spread_codes(frame: DataFrame) -> DataFrame:
