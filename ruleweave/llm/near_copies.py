@@ -30,8 +30,8 @@ REACH = 2 * PARTS - 1
 MARKS, COMPARE = 512, 180
 #: Members of one bucket that are compared with each other in one go; larger buckets are dealt over pairs of blocks.
 BLOCK = 512
-#: Rounds in which nodes try the nearest node of another component before all pairs that are left.
-NEAREST_ROUNDS = 2
+#: Shingles whose sets a task keeps while it compares the texts of one bucket or pair of blocks.
+HELD = 500_000
 #: Words whose hashes a task remembers.
 REMEMBERED = 200_000
 _POSITIONS = PARTS * WIDTH
@@ -171,15 +171,20 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _open_members(met: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, large buckets dealt over pairs of blocks."""
+def _open_members(met: DataFrame, classes: DataFrame, roots: DataFrame, inside: bool) -> DataFrame:
+    """The members of buckets that hold several components, dealt over blocks (`inside`) or over pairs of different blocks."""
     labelled = met.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    if not inside:
+        labelled = labelled.where(F.col("n") > BLOCK)
     mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     out = labelled.join(mixed.select("key"), "key").join(classes.select("node", "size", "marks", "sig"), "node")
     out = out.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     out = out.withColumn("own", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return out.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "own", "size", "marks", "sig")
+    if inside:
+        out = out.withColumn("other", F.col("own"))
+    else:
+        out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own != other")
+    return out.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *MEMBER)
 
 
 def _first_met(own: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -189,45 +194,102 @@ def _first_met(own: np.ndarray, others: np.ndarray) -> np.ndarray:
     return shared.reshape(-1, _POSITIONS).argmax(axis=1)
 
 
-def _across(members: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs (a, b, far) of nodes of different roots that meet in a bucket and are near by size and marks.
+#: What a bucket knows of a member.
+MEMBER = ("node", "root", "own", "size", "marks", "sig")
+_MEMBERS = "key long, i int, j int, node long, root long, own int, size long, marks binary, sig binary"
+MEMBERS = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.int64()), ("root", pa.int64()), ("own", pa.int32()), ("size", pa.int64()), ("marks", pa.binary()), ("sig", pa.binary())])
 
-    With `nearest` each node names just the nearest one of each group of rows.
-    Nodes that meet in several buckets are compared in the first one alone: all
-    buckets in which nodes of different roots meet are here.
 
-    Rows are (key, i, j, node, root, own, size, marks, sig): a bucket, or a pair of its blocks.
-    Within a pair of different blocks only pairs from both sides are compared.
-    """
+class _Group:
+    """The members of a bucket, or of a pair of its blocks, of which only pairs from both sides are compared."""
+
+    def __init__(self, key: int, i: int, j: int, held: list[tuple]):
+        self.key, self.apart = key, i != j
+        self.node, self.root, self.own, self.size = (np.array([r[c] for r in held]) for c in (3, 4, 5, 6))
+        self.marks = np.frombuffer(b"".join(r[7] for r in held), np.uint8).reshape(-1, MARKS)
+        self.sigs = np.frombuffer(b"".join(r[8] for r in held), "<u2").reshape(-1, _POSITIONS)
+
+    def near(self, n: int) -> np.ndarray:
+        """Later members of other components that are near member n by size and marks, the nearest first.
+
+        Nodes that meet in several buckets are near in the first one alone.
+        """
+        ok = self.root != self.root[n]
+        ok[: n + 1] = False
+        ok &= 100 * np.minimum(self.size, self.size[n]) >= SIMILAR * np.maximum(self.size, self.size[n])
+        if self.apart:
+            ok &= self.own != self.own[n]
+        spots = np.flatnonzero(ok)
+        if len(spots):
+            spots = spots[_first_met(self.sigs[n], self.sigs[spots]) == self.key >> 16 * (WIDTH - 1)]
+        if not len(spots):
+            return spots
+        far = (self.marks[spots] != self.marks[n]).sum(axis=1)
+        order = np.argsort(far, kind="stable")
+        return spots[order[far[order] <= COMPARE]]
+
+
+def _touched(members: DataFrame) -> DataFrame:
+    """The members that are near another one of their bucket or pair of blocks: only their texts are needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for (key, i, j), group in groupby(rows_of(batches), key=lambda r: r[:3]):
+            for at, group in groupby(rows_of(batches), key=lambda r: r[:3]):
                 held = list(group)
                 if len(held) < 2:
                     continue
-                node, root, own, size = (np.array([r[c] for r in held]) for c in (3, 4, 5, 6))
-                marks = np.frombuffer(b"".join(r[7] for r in held), np.uint8).reshape(-1, MARKS)
-                sigs = np.frombuffer(b"".join(r[8] for r in held), "<u2").reshape(-1, _POSITIONS)
+                found, near = _Group(*at, held), np.zeros(len(held), bool)
                 for n in range(len(held)):
-                    ok = (root != root[n]) & (node != node[n] if nearest else node > node[n])
-                    ok &= 100 * np.minimum(size, size[n]) >= SIMILAR * np.maximum(size, size[n])
-                    if i != j:
-                        ok &= own != own[n]
-                    spots = np.flatnonzero(ok)
-                    if len(spots):
-                        spots = spots[_first_met(sigs[n], sigs[spots]) == key >> 16 * (WIDTH - 1)]
-                    if len(spots):
-                        far = (marks[spots] != marks[n]).sum(axis=1)
-                        picked = [int(far.argmin())] if nearest else range(len(spots))
-                        for m in picked:
-                            if far[m] <= COMPARE:
-                                yield int(node[n]), int(node[spots[m]]), int(far[m])
-
-        return batches_of(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64()), ("far", pa.int64())]))
+                    spots = found.near(n)
+                    near[spots] = True
+                    near[n] |= len(spots) > 0
+                yield from (held[n] for n in np.flatnonzero(near))
+
+        return batches_of(rows(), MEMBERS)
 
     dealt = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long, far long")
+    return dealt.mapInArrow(run, _MEMBERS)
+
+
+def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket, confirmed on the full sets.
+
+    Texts are compared where they meet, and only while no link found there has
+    joined their components: a group gives fewer links than it has members,
+    however many of its pairs are near and however few of those are links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for at, group in groupby(rows_of(batches), key=lambda r: r[:3]):
+                held = list(group)
+                found, sets, kept = _Group(*at, held), {}, 0
+
+                def shingles(n):
+                    nonlocal kept
+                    if n not in sets:
+                        if kept > HELD:
+                            sets.clear()
+                            kept = 0
+                        sets[n] = shingle_set(held[n][9])
+                        kept += len(sets[n])
+                    return sets[n]
+
+                for n in range(len(held)):
+                    for m in found.near(n).tolist():
+                        if found.root[m] == found.root[n]:
+                            continue
+                        one, two = shingles(n), shingles(m)
+                        both = len(one & two)
+                        if 100 * both >= SIMILAR * (len(one) + len(two) - both):
+                            found.root[found.root == found.root[m]] = found.root[n]
+                            yield int(found.node[n]), int(found.node[m])
+
+        return batches_of(rows(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    dealt = members.join(texts, "node").select("key", "i", "j", *MEMBER, "words")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -236,11 +298,6 @@ def _best(pairs: DataFrame) -> DataFrame:
     return best.select("a", F.col("best.b").alias("b"))
 
 
-def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return landed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-
-
 def _merge(roots: DataFrame, links: DataFrame) -> DataFrame:
     """Roots after further links between the components."""
     for c in "ab":
@@ -258,10 +315,9 @@ def link(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of (doc_id, text).
 
     Texts with the same words are one class, compared once.  In each bucket the
-    members are first held against one of them, then against the nearest of another
-    component; buckets whose members are still not all connected have every pair
-    across components compared that was not, so no link that could join two
-    components is left out.
+    members are first held against one of them; buckets whose members are then not
+    all connected have every pair across components compared, first inside blocks
+    and then between them, so no link that could join two components is left out.
 
     A text without words, or a null one, has no shingles and its own id as
     component.  A row with a null id takes part in linking but never names a
@@ -289,15 +345,12 @@ def link(documents: DataFrame) -> DataFrame:
         texts = texts.dropDuplicates(["node"]) if texts.count() != texts.select("node").distinct().count() else texts
 
     stars = met.join(leaders, "key").where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    tried = _untried(_best(_near(stars, classes)), None)
+    tried = landed(_best(_near(stars, classes)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = confirm(tried, texts)
     roots = landed(components(links), "star-roots")
-    for _ in range(NEAREST_ROUNDS):
-        near = _untried(_best(_across(_open_members(met, classes, roots), True)), tried)
-        tried = tried.unionByName(near)
-        roots = _merge(roots, confirm(near, texts))
-    left = _untried(_across(_open_members(met, classes, roots), False), tried)
-    roots = _merge(roots, confirm(left, texts))
+    for inside in (True, False):
+        near = landed(_touched(_open_members(met, classes, roots, inside)), "near")
+        roots = _merge(roots, _links(near, texts))
     roots = classes.select("class", "node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = roots.groupBy("root").agg(F.min("id").alias("component"))
     named = roots.join(names, "root").select("class", "component")

@@ -79,3 +79,39 @@ def test_chains(spark, monkeypatch, block):
 
 def test_whole_table(spark, sf_dir):
     same(spark, [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])
+
+
+def unlinked(n, seed=91):
+    """Texts near to each other that are no links: each changes other words of one text."""
+    rng = random.Random(seed)
+    base = prose(seed, 160).split()
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(0, 160, 10), 3):
+            words[at + 4] = f"u{i}x{at}"
+        rows.append((i + 1, " ".join(words), "a"))
+    return rows
+
+
+@pytest.mark.parametrize("block", [512, 9])
+def test_near_texts_that_are_no_links_make_no_row_a_pair(spark, monkeypatch, block):
+    """What a step makes is bounded by the members of its groups, not by their pairs."""
+    made = []
+
+    def counted(step):
+        def run(members, *more):
+            before = members.count()
+            out = near_copies.landed(step(members, *more), "counted")
+            made.append((before, out.count()))
+            return out
+
+        return run
+
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    for name in ("_touched", "_links"):
+        monkeypatch.setattr(near_copies, name, counted(getattr(near_copies, name)))
+    rows = unlinked(40) + [(100 + d, t, s) for d, t, s in chains()[:40]]
+    same(spark, rows)
+    assert made and max(before for before, _ in made) > 0
+    assert all(after <= before for before, after in made)
