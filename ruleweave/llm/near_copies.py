@@ -94,7 +94,7 @@ SIGNED = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("n", pa.int
 
 
 def signed(documents: DataFrame) -> DataFrame:
-    """doc_id, class (digest of the words), set size, signature and marks of every row."""
+    """Class (digest of the words), id, set size, signature and marks of every row with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, factors = hasher(), _odd_numbers(MARKS)
@@ -105,14 +105,12 @@ def signed(documents: DataFrame) -> DataFrame:
                 if len(h):
                     sig = signature(h, factors)
                     yield doc, digest, len(h), sig[:_POSITIONS].tobytes(), sig.astype(np.uint8).tobytes()
-                else:
-                    yield doc, digest, 0, None, None
 
         return batches_of(rows(), SIGNED)
 
     words = documents.select("doc_id", plain(F.col("text")).alias("words"))
     words = words.select("doc_id", F.unhex(F.md5("words")).alias("class"), "words")
-    return landed(words.mapInArrow(run, "doc_id long, class binary, n long, sig binary, marks binary"), "signed")
+    return words.mapInArrow(run, "doc_id long, class binary, n long, sig binary, marks binary")
 
 
 def keys(classes: DataFrame) -> DataFrame:
@@ -325,8 +323,8 @@ def link(documents: DataFrame) -> DataFrame:
     Repeated rows get equal results; other columns are ignored; an empty table
     gives no rows.
     """
-    rows = signed(documents)
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("marks").alias("marks"), F.first("n").alias("size"))
+    # signatures are the bulk of what is written: they are kept by class alone, not by row
+    classes = signed(documents).groupBy("class").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("marks").alias("marks"), F.first("n").alias("size"))
     classes = landed(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     met = keys(classes)
@@ -337,8 +335,8 @@ def link(documents: DataFrame) -> DataFrame:
     leaders = met.join(weight, "node").groupBy("key").agg(F.max(F.struct(F.col("weight"), (-F.col("node")).alias("m"))).alias("best"))
     leaders = leaders.select("key", (-F.col("best.m")).alias("leader"))
     nodes = met.select("node").distinct().join(classes.select("node", "class", "id"), "node")
-    source = documents.select("doc_id", plain(F.col("text")).alias("words"))
-    source = source.withColumn("class", F.unhex(F.md5("words"))).withColumnRenamed("doc_id", "id")
+    rows = documents.select("doc_id", plain(F.col("text")).alias("words")).withColumn("class", F.unhex(F.md5("words")))
+    source = rows.withColumnRenamed("doc_id", "id")
     same = F.col("s.class").eqNullSafe(F.col("n.class")) & F.col("s.id").eqNullSafe(F.col("n.id"))
     texts = landed(source.alias("s").join(nodes.alias("n"), same).select("node", "words"), "bucket-texts")
     if not texts.isEmpty():
@@ -351,10 +349,10 @@ def link(documents: DataFrame) -> DataFrame:
     for inside in (True, False):
         near = landed(_touched(_open_members(met, classes, roots, inside)), "near")
         roots = _merge(roots, _links(near, texts))
-    roots = classes.select("class", "node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = classes.select("class", "node", "id", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = roots.groupBy("root").agg(F.min("id").alias("component"))
-    named = roots.join(names, "root").select("class", "component")
-    out = rows.join(named, "class", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    named = roots.join(names, "root").select("class", "component", "size")
+    out = rows.select("doc_id", "class").join(named, "class", "left")
+    component = F.when(F.col("size").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", F.coalesce("size", F.lit(0).cast("long")).alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
